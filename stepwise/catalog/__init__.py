@@ -37,7 +37,12 @@ def register(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 
 
 def with_ctes(body: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    """Prefix ``body`` with the binding CTEs; a body that starts with its own
+    ``WITH`` is merged into the same clause."""
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(ctes) + ",\n" + b[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + b
 
 
 __all__ = ["REGISTRY", "register", "with_ctes", "Entry", "EVENTS_CTE", "ORDERS_CTE",

@@ -34,7 +34,7 @@ def bridge_join(df: DataFrame, bridge: DataFrame, on: Sequence[str], stable: str
     """Map a local id to the stable key; drop unmatched rows and count them
     with an :class:`Observation` (no extra job)."""
     obs = Observation(obs_name)
-    joined = df.join(bridge.select(*on, stable), list(on), "left")
+    joined = df.join(bridge, list(on), "left")
     joined = joined.observe(obs, F.count_if(F.col(stable).isNull()).alias("unmatched"),
                             F.count(F.lit(1)).alias("rows"))
     return joined.where(F.col(stable).isNotNull()), obs
