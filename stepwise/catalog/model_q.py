@@ -1 +1,56 @@
-"""Queries bound to the driver tables."""
+"""Feature matrix, statistics, CV folds and models on the fact binding."""
+
+from pyspark.sql import functions as F
+
+from stepwise.catalog import FACT_CTE, MATCHES_CTE, register, with_ctes
+from stepwise.catalog.rel_q import STANDINGS_SQL, standings_rank
+from stepwise.plans import bindings as B
+from stepwise.plans.features import build_feature_matrix
+
+
+def feature_matrix(spark, sf):
+    return build_feature_matrix(B.fact(spark, sf), standings_rank(spark, sf))
+
+
+_W = "PARTITION BY entity, epoch ORDER BY step, fixture"
+_TW = "PARTITION BY side, epoch ORDER BY step"
+FM_CTE = STANDINGS_SQL + """,
+base AS (
+  SELECT * FROM fact f WHERE minutes > 0 AND (SELECT count(*) FROM fact g
+    WHERE g.entity = f.entity AND g.epoch = f.epoch AND g.minutes > 0) >= 5),
+tfx AS (
+  SELECT epoch, side, step, fixture,
+         min(CASE WHEN is_home = 1 THEN home_score ELSE away_score END) AS gf,
+         min(CASE WHEN is_home = 1 THEN away_score ELSE home_score END) AS ga
+  FROM fact GROUP BY ALL),
+ts AS (SELECT epoch, side, step, sum(gf) AS gf, sum(ga) AS ga FROM tfx GROUP BY ALL),
+tf AS (
+  SELECT epoch, side, step,
+    sum(gf) OVER (""" + _TW + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS team_gf_prior,
+    avg(CAST(ga = 0 AS DOUBLE)) OVER (""" + _TW + """ ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS team_cs_rate5,
+    sum(ga) OVER (""" + _TW + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      / nullif(row_number() OVER (""" + _TW + """) - 1, 0) AS ga_prior_rate
+  FROM ts),
+bw AS (
+  SELECT epoch, step, fixture, entity, segment, side, other_side, is_home, points,
+""" + ",\n".join(
+    f"    avg({c}) OVER ({_W} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS {c}_roll{k}"
+    for c in ("points", "minutes", "goals", "xg") for k in (3, 5)) + """,
+    avg(points) OVER (""" + _W + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS points_todate,
+    avg(minutes) OVER (""" + _W + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS minutes_todate,
+    lag(points) OVER (""" + _W + """) AS points_lag1,
+    lag(price) OVER (""" + _W + """) AS price_lag1
+  FROM base),
+fm AS (
+  SELECT b.*, o.team_gf_prior, o.team_cs_rate5, p.ga_prior_rate AS opp_ga_prior_rate, coalesce(st.rank, 10) AS opp_rank
+  FROM bw b
+  LEFT JOIN tf o ON b.epoch = o.epoch AND b.side = o.side AND b.step = o.step
+  LEFT JOIN tf p ON b.epoch = p.epoch AND b.other_side = p.side AND b.step = p.step
+  LEFT JOIN st ON b.epoch = st.epoch AND b.other_side = st.side)"""
+
+
+@register("pl_feature_matrix", with_ctes("SELECT * FROM fm", FACT_CTE, MATCHES_CTE, FM_CTE),
+          ids=("PL1", "FLT1", "FLT2", "WIN1", "WIN2", "WIN3", "WIN4", "WIN5", "WIN6", "JN5", "JN12",
+               "AGG12", "PRJ21", "PRJ22"))
+def q_pl1(spark, sf):
+    return feature_matrix(spark, sf)
