@@ -9,7 +9,9 @@ from stepwise.plans.features import build_feature_matrix
 
 
 def feature_matrix(spark, sf):
-    return build_feature_matrix(B.fact(spark, sf), standings_rank(spark, sf))
+    from stepwise.session import materialized
+    return materialized(spark, ("feature_matrix", sf),
+                        lambda: build_feature_matrix(B.fact(spark, sf), standings_rank(spark, sf)))
 
 
 _W = "PARTITION BY entity, epoch ORDER BY step, fixture"
@@ -54,3 +56,247 @@ fm AS (
                "AGG12", "PRJ21", "PRJ22"))
 def q_pl1(spark, sf):
     return feature_matrix(spark, sf)
+
+
+# ============================================================ statistics / CV / models
+from stepwise.operators import models as M  # noqa: E402
+from stepwise.operators import stats as ST  # noqa: E402
+
+VAL_EPOCH = 2000
+FM_SQL = (FACT_CTE, MATCHES_CTE, FM_CTE)
+
+
+def _fm_split(spark, sf):
+    fm = feature_matrix(spark, sf)
+    return fm.where(F.col("epoch") < VAL_EPOCH), fm.where(F.col("epoch") == VAL_EPOCH)
+
+
+def _baseline_pred(spark, sf):
+    """ML8 on the validation epoch: rolling mean, else the segment's training mean."""
+    train, val = _fm_split(spark, sf)
+    tm = train.groupBy("segment").agg(F.avg("points").alias("_tm"))
+    v = val.join(F.broadcast(tm), "segment", "left")
+    return M.rolling_baseline(v, "points_roll5", F.col("_tm")).drop("_tm")
+
+
+BASE_PRED_CTE = f"""tm AS (SELECT segment, avg(points) AS m FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY segment),
+bp AS (SELECT fm.*, coalesce(points_roll5, tm.m) AS pred FROM fm LEFT JOIN tm USING (segment) WHERE epoch = {VAL_EPOCH})"""
+
+
+@register("cv_expanding_folds", with_ctes("""
+SELECT fold, CAST(val_epoch AS INTEGER) AS val_epoch, CAST(len(tr) AS INTEGER) AS n_train_epochs,
+       array_to_string(tr, ',') AS train_epochs FROM (
+  SELECT CAST(i - n + 3 AS INTEGER) AS fold, epoch AS val_epoch,
+         coalesce(list(epoch) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS tr, i, n
+  FROM (SELECT epoch, row_number() OVER (ORDER BY epoch) AS i, count(*) OVER () AS n
+        FROM (SELECT DISTINCT epoch FROM fact) d) e) t
+WHERE i > n - 3 AND len(tr) >= 1""", FACT_CTE), ids=("CV1",))
+def q_cv1(spark, sf):
+    f = ST.expanding_folds(B.fact(spark, sf), "epoch", 3)
+    return f.select("fold", "val_epoch", F.size("train_epochs").alias("n_train_epochs"),
+                    F.array_join("train_epochs", ",").alias("train_epochs"))
+
+
+@register("st_baseline_metrics", with_ctes("""
+SELECT segment, count(*) AS n, avg(abs(pred - points)) AS mae, sqrt(avg((pred - points) * (pred - points))) AS rmse,
+       1.0 - sum((pred - points) * (pred - points)) / nullif(count(*) * var_pop(points), 0) AS r2
+FROM bp WHERE pred IS NOT NULL AND points IS NOT NULL GROUP BY segment""", *FM_SQL, BASE_PRED_CTE),
+    ids=("ST4", "ML8"))
+def q_st4(spark, sf):
+    return ST.regression_metrics(_baseline_pred(spark, sf), ["segment"], "points", "pred")
+
+
+_AVG_RANK = "(rank() OVER (PARTITION BY {g} ORDER BY {x}) + (count(*) OVER (PARTITION BY {g}, {x}) - 1) / 2.0)"
+
+
+@register("st_spearman", with_ctes(f"""
+SELECT segment, corr(rx, ry) AS spearman FROM (
+  SELECT segment, {_AVG_RANK.format(g='segment', x='points_roll5')} AS rx, {_AVG_RANK.format(g='segment', x='points')} AS ry
+  FROM fm WHERE points_roll5 IS NOT NULL AND points IS NOT NULL) t GROUP BY segment""", *FM_SQL), ids=("ST2",))
+def q_st2(spark, sf):
+    return ST.spearman(feature_matrix(spark, sf), ["segment"], "points_roll5", "points")
+
+
+def _topn_sql(variable: bool) -> str:
+    k = "least(rows, 10)" if variable else "10"
+    skip = "" if variable else "WHERE rows > 10"
+    return with_ctes(f"""
+r AS (SELECT segment, epoch, step, entity, fixture,
+        row_number() OVER (PARTITION BY segment, epoch, step ORDER BY coalesce(points_roll5, 0) DESC, entity, fixture) AS rp,
+        row_number() OVER (PARTITION BY segment, epoch, step ORDER BY points DESC, entity, fixture) AS ra,
+        count(*) OVER (PARTITION BY segment, epoch, step) AS rows FROM fm),
+s AS (SELECT segment, epoch, step, any_value(rows) AS rows,
+        count(*) FILTER (WHERE rp <= {k} AND ra <= {k}) AS hits FROM r GROUP BY ALL)
+SELECT segment, avg(hits / {k}) AS top10_precision, count(*) AS n_slices FROM s {skip} GROUP BY segment""",
+                     *FM_SQL).replace("\nr AS (", "\n, r AS (", 1).replace("SELECT * FROM fm", "")
+
+
+@register("st_topn_precision", _topn_sql(False), ids=("ST5", "SET4", "WIN13"))
+def q_st5(spark, sf):
+    fm = feature_matrix(spark, sf).withColumn("pred", F.coalesce("points_roll5", F.lit(0.0)))
+    return ST.top_n_precision(fm, ["segment"], ["epoch", "step"], "points", "pred", ["entity", "fixture"], 10)
+
+
+@register("st_topk_precision_variable", _topn_sql(True), ids=("ST6",))
+def q_st6(spark, sf):
+    fm = feature_matrix(spark, sf).withColumn("pred", F.coalesce("points_roll5", F.lit(0.0)))
+    return ST.top_n_precision(fm, ["segment"], ["epoch", "step"], "points", "pred", ["entity", "fixture"], 10,
+                              variable_k=True)
+
+
+@register("st_stratified_metrics", with_ctes("""
+SELECT segment, stratum, count(*) AS n, avg(abs(pred - points)) AS mae,
+       sqrt(avg((pred - points) * (pred - points))) AS rmse,
+       1.0 - sum((pred - points) * (pred - points)) / nullif(count(*) * var_pop(points), 0) AS r2 FROM (
+  SELECT segment, pred, points, 'home' AS stratum FROM bp WHERE is_home = 1
+  UNION ALL SELECT segment, pred, points, 'away' FROM bp WHERE NOT is_home = 1
+  UNION ALL SELECT segment, pred, points, 'vs_top6' FROM bp WHERE opp_rank <= 6
+  UNION ALL SELECT segment, pred, points, 'vs_rest' FROM bp WHERE opp_rank > 6) t
+WHERE pred IS NOT NULL AND points IS NOT NULL GROUP BY segment, stratum HAVING count(*) >= 10""",
+    *FM_SQL, BASE_PRED_CTE), ids=("ST7", "ST8"))
+def q_st7(spark, sf):
+    strata = {"home": F.col("is_home") == 1, "away": F.col("is_home") != 1,
+              "vs_top6": F.col("opp_rank") <= 6, "vs_rest": F.col("opp_rank") > 6}
+    return ST.stratified_metrics(_baseline_pred(spark, sf), ["segment"], "points", "pred", strata, 10)
+
+
+@register("st_calibration", with_ctes("""
+q AS (SELECT segment, list_sort(list_distinct(quantile_cont(pred, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e
+      FROM bp WHERE pred IS NOT NULL GROUP BY segment)
+SELECT segment, CAST(len(list_filter(e[2:len(e)-1], lambda x: x < pred)) AS INTEGER) AS bin, count(*) AS n,
+       avg(pred) AS mean_pred, avg(points) AS mean_actual
+FROM bp JOIN q USING (segment) WHERE pred IS NOT NULL GROUP BY ALL""", *FM_SQL, BASE_PRED_CTE).replace(
+    "\nq AS (", "\n, q AS (", 1), ids=("ST11", "WIN12"))
+def q_st11(spark, sf):
+    return ST.calibration(_baseline_pred(spark, sf), ["segment"], "points", "pred")
+
+
+@register("st_residuals_by_step", with_ctes("""
+SELECT segment, step, avg(points - pred) AS mean_residual, count(*) AS n,
+       avg(points - pred) FILTER (WHERE opp_rank <= 5) AS mean_residual_vs_top5
+FROM bp WHERE pred IS NOT NULL GROUP BY segment, step""", *FM_SQL, BASE_PRED_CTE), ids=("ST10", "V11"))
+def q_st10(spark, sf):
+    p = _baseline_pred(spark, sf).where(F.col("pred").isNotNull()).withColumn("_r", F.col("points") - F.col("pred"))
+    return p.groupBy("segment", "step").agg(F.avg("_r").alias("mean_residual"), F.count(F.lit(1)).alias("n"),
+                                            F.avg(F.when(F.col("opp_rank") <= 5, F.col("_r"))).alias("mean_residual_vs_top5"))
+
+
+@register("st_holdout_per_slice", with_ctes("""
+SELECT segment, avg(mae) AS mean_mae, avg(rmse) AS mean_rmse, count(*) AS n_slices FROM (
+  SELECT segment, step, avg(abs(pred - points)) AS mae, sqrt(avg((pred - points) * (pred - points))) AS rmse
+  FROM bp WHERE pred IS NOT NULL GROUP BY segment, step) t GROUP BY segment""", *FM_SQL, BASE_PRED_CTE),
+    ids=("ST14",))
+def q_st14(spark, sf):
+    m = ST.regression_metrics(_baseline_pred(spark, sf), ["segment", "step"], "points", "pred")
+    return m.groupBy("segment").agg(F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"),
+                                    F.count(F.lit(1)).alias("n_slices"))
+
+
+def _model_preds(spark, sf):
+    from stepwise.session import materialized
+    return materialized(spark, ("model_preds", sf), lambda: _build_model_preds(spark, sf))
+
+
+def _build_model_preds(spark, sf):
+    """Long table (model, keys, pred) for three closed-form baselines."""
+    train, val = _fm_split(spark, sf)
+    keys = ["segment", "entity", "epoch", "step", "fixture", "points", "opp_rank", "is_home"]
+    b = _baseline_pred(spark, sf).select(*keys, "pred").withColumn("model", F.lit("rolling"))
+    v = M.venue_mean_baseline(train, val, ["segment"], "is_home", "points").select(*keys, "pred") \
+        .withColumn("model", F.lit("venue_mean"))
+    d = M.difficulty_baseline(train, val, ["segment"], "opp_rank", "points_roll5", "points") \
+        .select(*keys, "pred").withColumn("model", F.lit("difficulty"))
+    return b.unionByName(v).unionByName(d)
+
+
+PREDS_CTE = f"""vm AS (SELECT segment, is_home, avg(points) AS m FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY ALL),
+gm AS (SELECT segment, avg(points) AS g FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY ALL),
+mb AS (SELECT segment, CASE WHEN coalesce(opp_rank, 10) <= 6 THEN 'A' WHEN coalesce(opp_rank, 10) <= 14 THEN 'B' ELSE 'C' END AS bin,
+         avg(points) / nullif(avg(coalesce(points_roll5, 0.0)), 0.0) AS m FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY ALL),
+preds AS (
+  SELECT 'rolling' AS model, segment, entity, epoch, step, fixture, points, opp_rank, is_home, pred FROM bp
+  UNION ALL
+  SELECT 'venue_mean', f.segment, entity, epoch, step, fixture, points, opp_rank, f.is_home, coalesce(vm.m, gm.g)
+  FROM fm f LEFT JOIN vm ON f.segment = vm.segment AND f.is_home = vm.is_home LEFT JOIN gm ON f.segment = gm.segment
+  WHERE epoch = {VAL_EPOCH}
+  UNION ALL
+  SELECT 'difficulty', f.segment, entity, epoch, step, fixture, points, opp_rank, is_home,
+         coalesce(points_roll5, 0.0) * coalesce(CASE WHEN mb.m > 0 THEN mb.m ELSE 1.0 END, 1.0)
+  FROM fm f LEFT JOIN mb ON f.segment = mb.segment
+    AND mb.bin = CASE WHEN coalesce(opp_rank, 10) <= 6 THEN 'A' WHEN coalesce(opp_rank, 10) <= 14 THEN 'B' ELSE 'C' END
+  WHERE epoch = {VAL_EPOCH})"""
+
+
+@register("ml_baseline_predictions", with_ctes("""
+SELECT model, segment, entity, step, fixture, pred FROM preds""", *FM_SQL, BASE_PRED_CTE, PREDS_CTE),
+    ids=("ML8", "ML9", "ML10", "PRJ18", "JN11"))
+def q_ml_baselines(spark, sf):
+    return _model_preds(spark, sf).select("model", "segment", "entity", "step", "fixture", "pred")
+
+
+@register("st_model_comparison", with_ctes("""
+SELECT model, avg(mae) AS mean_metric, CAST(row_number() OVER (ORDER BY avg(mae), model) AS BIGINT) AS model_rank
+FROM (SELECT model, segment, avg(abs(pred - points)) AS mae FROM preds WHERE pred IS NOT NULL GROUP BY ALL) t
+GROUP BY model""", *FM_SQL, BASE_PRED_CTE, PREDS_CTE), ids=("AGG24", "V8", "V24"))
+def q_agg24(spark, sf):
+    from stepwise.operators.aggregates import mean_metric_ranked
+    m = ST.regression_metrics(_model_preds(spark, sf), ["model", "segment"], "points", "pred")
+    return mean_metric_ranked(m, [], "model", "mae")
+
+
+@register("st_baseline_gate", with_ctes(f"""
+m AS (SELECT model, segment, avg(abs(pred - points)) AS mae, sqrt(avg((pred - points) * (pred - points))) AS rmse
+      FROM preds WHERE pred IS NOT NULL GROUP BY ALL),
+sp AS (SELECT model, segment, corr(rx, ry) AS spearman FROM (
+   SELECT model, segment, {_AVG_RANK.format(g='model, segment', x='pred')} AS rx,
+          {_AVG_RANK.format(g='model, segment', x='points')} AS ry FROM preds WHERE pred IS NOT NULL) t GROUP BY ALL),
+mm AS (SELECT * FROM m JOIN sp USING (model, segment))
+SELECT a.segment, a.model,
+  CAST(a.mae < b.mae AS INTEGER) + CAST(a.rmse < b.rmse AS INTEGER) + coalesce(CAST(a.spearman > b.spearman AS INTEGER), 0) AS wins,
+  CAST(a.mae < b.mae AS INTEGER) + CAST(a.rmse < b.rmse AS INTEGER) + coalesce(CAST(a.spearman > b.spearman AS INTEGER), 0) >= 2 AS beats_baseline
+FROM mm a JOIN mm b ON a.segment = b.segment AND b.model = 'rolling' WHERE a.model <> 'rolling'""",
+    *FM_SQL, BASE_PRED_CTE, PREDS_CTE).replace("\nm AS (", "\n, m AS (", 1), ids=("ST13", "ST2"))
+def q_st13(spark, sf):
+    p = _model_preds(spark, sf)
+    m = ST.metrics_with_rank(p, ["model", "segment"], "points", "pred")
+    return ST.baseline_gate(m, ["segment"], "model", "rolling")
+
+
+@register("st_family_gate", with_ctes("""
+SELECT model, count(*) FILTER (WHERE a.mae < b.mae) AS segments_won, count(*) FILTER (WHERE a.mae < b.mae) >= 2 AS passes
+FROM (SELECT model, segment, avg(abs(pred - points)) AS mae FROM preds WHERE pred IS NOT NULL GROUP BY ALL) a
+JOIN (SELECT segment, avg(abs(pred - points)) AS mae FROM preds WHERE pred IS NOT NULL AND model = 'venue_mean' GROUP BY ALL) b
+  USING (segment) WHERE model <> 'venue_mean' GROUP BY model""", *FM_SQL, BASE_PRED_CTE, PREDS_CTE), ids=("ST15",))
+def q_st15(spark, sf):
+    m = ST.regression_metrics(_model_preds(spark, sf), ["model", "segment"], "points", "pred")
+    return ST.family_gate(m, "segment", "model", "venue_mean")
+
+
+@register("ml_impute_stratified", with_ctes(f"""
+em AS (SELECT epoch, avg(points_roll3) AS e1, avg(opp_ga_prior_rate) AS e2 FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY epoch),
+gmn AS (SELECT avg(points_roll3) AS g1, avg(opp_ga_prior_rate) AS g2 FROM fm WHERE epoch < {VAL_EPOCH})
+SELECT entity, fixture, epoch, coalesce(points_roll3, em.e1, gmn.g1, 0.0) AS points_roll3,
+       coalesce(opp_ga_prior_rate, em.e2, gmn.g2, 0.0) AS opp_ga_prior_rate
+FROM fm LEFT JOIN em USING (epoch), gmn""", *FM_SQL).replace("\nem AS (", "\n, em AS (", 1), ids=("ML1",))
+def q_ml1(spark, sf):
+    fm = feature_matrix(spark, sf)
+    feats = ["points_roll3", "opp_ga_prior_rate"]
+    means = M.impute_fit(fm.where(F.col("epoch") < VAL_EPOCH), "epoch", feats)
+    return M.impute_apply(fm.select("entity", "fixture", "epoch", *feats), means, "epoch", feats)
+
+
+@register("ml_ridge_one_feature", with_ctes(f"""
+s AS (SELECT segment, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(points) AS my FROM
+      (SELECT segment, coalesce(points_roll5, 0.0) AS x, points FROM fm WHERE epoch < {VAL_EPOCH}) t GROUP BY segment),
+b AS (SELECT t.segment, sum(((x - mx) / CASE WHEN sx = 0 THEN 1 ELSE sx END) * (points - my)) / (any_value(n) + 10.0) AS beta
+      FROM (SELECT segment, coalesce(points_roll5, 0.0) AS x, points FROM fm WHERE epoch < {VAL_EPOCH}) t JOIN s USING (segment)
+      GROUP BY t.segment)
+SELECT f.segment, entity, fixture,
+       my + beta * (coalesce(points_roll5, 0.0) - mx) / CASE WHEN sx = 0 THEN 1 ELSE sx END AS pred
+FROM fm f JOIN s USING (segment) JOIN b USING (segment) WHERE epoch = {VAL_EPOCH}""", *FM_SQL)
+    .replace("\ns AS (", "\n, s AS (", 1), ids=("ML3", "ML2", "CV2"))
+def q_ml3_one(spark, sf):
+    fm = feature_matrix(spark, sf).withColumn("x", F.coalesce("points_roll5", F.lit(0.0)))
+    coefs = M.fit_linear(fm.where(F.col("epoch") < VAL_EPOCH), ["segment"], ["x"], "points", [10.0])
+    out = M.linear_predict(fm.where(F.col("epoch") == VAL_EPOCH), coefs, ["segment"], ["x"])
+    return out.select("segment", "entity", "fixture", "pred")

@@ -86,6 +86,12 @@ ORDERS_CTE = """od AS (
 
 # ----------------------------------------------------------------------- fact
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table, built once per application (checkpointed)."""
+    from stepwise.session import materialized
+    return materialized(spark, ("fact", sf_dir), lambda: build_fact(spark, sf_dir))
+
+
+def build_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity x fixture fact (the star schema's central table)."""
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
@@ -180,6 +186,11 @@ fact AS (
 
 # -------------------------------------------------------------------- matches
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stepwise.session import materialized
+    return materialized(spark, ("matches", sf_dir), lambda: build_matches(spark, sf_dir))
+
+
+def build_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided matches: supplier nation (home) v customer nation (away) per month."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linestatus")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

@@ -22,6 +22,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "8g",
 }
 
 
@@ -92,4 +93,19 @@ def is_local_path(path: str) -> bool:
 
 
 __all__ = ["get_session", "checkpoint_dir", "scratch_path", "cut_lineage",
-           "write_and_reload", "is_local_path", "os"]
+           "write_and_reload", "is_local_path", "materialized"]
+
+
+_MATERIALIZED: dict = {}
+
+
+def materialized(spark: SparkSession, key, build) -> DataFrame:
+    """Build a derived table once per application and keep it as a reliable
+    checkpoint in the shared checkpoint folder (lineage cut, survives the loss
+    of an executor).  Later calls with the same ``key`` reuse it."""
+    k = (spark.sparkContext.applicationId, key)
+    hit = _MATERIALIZED.get(k)
+    if hit is None:
+        hit = cut_lineage(build())
+        _MATERIALIZED[k] = hit
+    return hit
