@@ -300,3 +300,166 @@ def q_ml3_one(spark, sf):
     coefs = M.fit_linear(fm.where(F.col("epoch") < VAL_EPOCH), ["segment"], ["x"], "points", [10.0])
     out = M.linear_predict(fm.where(F.col("epoch") == VAL_EPOCH), coefs, ["segment"], ["x"])
     return out.select("segment", "entity", "fixture", "pred")
+
+
+# ------------------------------------------------------------ CV runner and learners
+from stepwise.plans import cv as CV  # noqa: E402
+from stepwise.plans.features import feature_names  # noqa: E402
+
+RIDGE_FEATS = feature_names()
+
+
+def _long(spark, sf):
+    from stepwise.session import materialized
+    return materialized(spark, ("cv_long", sf), lambda: CV.prepare_folds(feature_matrix(spark, sf), RIDGE_FEATS, 3))
+
+
+def _ridge_oof(spark, sf):
+    from stepwise.session import materialized
+    return materialized(spark, ("ridge_oof", sf),
+                        lambda: CV.ridge_oof(_long(spark, sf), RIDGE_FEATS, "points", [0.1, 1.0, 10.0, 100.0, 1000.0]))
+
+
+@register("cv_ridge_alpha_grid", ids=("CV3", "CV2", "ML3", "ML1", "ML2", "SNK6"))
+def q_cv3(spark, sf):
+    return CV.alpha_search(_ridge_oof(spark, sf), "points")
+
+
+@register("cv_oof_metrics", ids=("CV2", "ST4", "ST7", "ST12", "SNK7"))
+def q_cv2(spark, sf):
+    oof = _ridge_oof(spark, sf).where(F.col("alpha") == 10.0)
+    m = ST.metrics_with_rank(oof, ["segment", "fold"], "points", "pred")
+    return ST.learning_curve(_long(spark, sf), m, ["segment"])
+
+
+@register("ml_bayesian_ridge", ids=("ML6",))
+def q_ml6(spark, sf):
+    long = _long(spark, sf)
+    tr, va = long.where("role = 'train'"), long.where("role = 'val'")
+    c = M.fit_linear(tr, ["segment", "fold"], RIDGE_FEATS, "points", [0.0], "bayesian_ridge",
+                     solver=M.bayesian_ridge_solver())
+    p = M.linear_predict(va, c, ["segment", "fold"], RIDGE_FEATS, "pred", std_name="pred_std")
+    return p.groupBy("segment", "fold").agg(F.avg("pred").alias("mean_pred"), F.avg("pred_std").alias("mean_std"),
+                                            F.avg(F.abs(F.col("pred") - F.col("points"))).alias("mae"))
+
+
+@register("ml_component_model", ids=("ML15", "JN15", "JN11"))
+def q_ml15(spark, sf):
+    from stepwise.operators.relational import reattach
+    comps = ["goals", "assists", "bonus"]
+    long = reattach(_long(spark, sf), B.fact(spark, sf), ["epoch", "step", "fixture", "entity"], comps)
+    tr = long.where("role = 'train'")
+    va = long.where("role = 'val'")
+    c = M.fit_components(tr, ["segment", "fold"], RIDGE_FEATS, comps, 1.0)
+    w = {"goals": 4.0, "assists": 3.0, "bonus": 1.0}
+    p = M.predict_components(va, c, ["segment", "fold"], RIDGE_FEATS, w, ["entity", "fixture", "epoch"])
+    return p.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"))
+
+
+@register("ml_pairwise_ridge", ids=("ML16",))
+def q_ml16(spark, sf):
+    base = ["points_roll5", "minutes_roll5", "xg_roll5", "opp_rank", "team_cs_rate5"]
+    long, names = M.pairwise_products(_long(spark, sf), base)
+    oof = CV.ridge_oof(long, names, "points", [10.0], "pairwise_ridge")
+    return ST.regression_metrics(oof, ["segment", "fold"], "points", "pred")
+
+
+@register("ml_two_stage", ids=("ML14",))
+def q_ml14(spark, sf):
+    feats = ["points_roll5", "minutes_roll5", "minutes_todate", "opp_rank"]
+    oof = CV.two_stage(_long(spark, sf), feats, "points", "minutes_roll3", 60)
+    return ST.regression_metrics(oof, ["segment", "fold"], "points", "pred")
+
+
+def _learner(kind, **params):
+    def q(spark, sf):
+        feats = ["points_roll5", "minutes_roll5", "xg_roll5", "points_todate", "opp_rank", "team_cs_rate5"]
+        oof = CV.spark_learner_oof(_long(spark, sf), feats, "points", kind, **params)
+        return ST.regression_metrics(oof, ["model", "segment", "fold"], "points", "pred")
+    return q
+
+
+register("ml_lasso", ids=("ML5",))(_learner("lasso", alpha=0.1))
+register("ml_elastic_net", ids=("ML4",))(_learner("elasticnet", alpha=0.5, l1_ratio=0.5))
+register("ml_poisson_glm", ids=("ML7",))(_learner("poisson", alpha=1e-4))
+register("ml_random_forest", ids=("ML12",))(_learner("forest", trees=200, depth=6))
+register("ml_gradient_boosting", ids=("ML13",))(_learner("gbt", trees=30, depth=4))
+
+
+@register("ml_stacking", ids=("ML17", "AGG17"))
+def q_ml17(spark, sf):
+    oof = _ridge_oof(spark, sf).where(F.col("alpha").isin(1.0, 100.0)) \
+        .withColumn("model", F.concat(F.lit("ridge_"), F.col("alpha").cast("int").cast("string")))
+    base = oof.select(*CV.KEYS, "fold", "points", "model", "pred")
+    st = CV.stack(base, ["ridge_1", "ridge_100"], "points")
+    return st.groupBy("segment", "fold").agg(
+        F.avg(F.abs(F.col("pred_average") - F.col("points"))).alias("mae_average"),
+        F.avg(F.abs(F.col("pred_stacking") - F.col("points"))).alias("mae_stacking"))
+
+
+@register("ml_padded_sequences", with_ctes("""
+SELECT entity, epoch, CAST(block AS INTEGER) AS block, CAST(count(*) AS INTEGER) AS n_steps,
+       sum(coalesce(points_roll3, 0.0) + coalesce(minutes_roll3, 0.0)) AS seq_sum FROM (
+  SELECT *, (row_number() OVER (PARTITION BY entity, epoch ORDER BY step, fixture) - 1) // 38 AS block FROM fm) t
+GROUP BY entity, epoch, block""", *FM_SQL), ids=("ML18",))
+def q_ml18(spark, sf):
+    s = M.padded_sequences(feature_matrix(spark, sf), ["entity", "epoch"], ["step", "fixture"],
+                           ["points_roll3", "minutes_roll3"], 38)
+    return s.select("entity", "epoch", "block", "n_steps",
+                    F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x).alias("seq_sum"))
+
+
+@register("ml_full_fit_metadata", ids=("ML19", "SNK4"))
+def q_ml19(spark, sf):
+    cv = CV.alpha_search(_ridge_oof(spark, sf), "points").where("is_best").select(
+        "segment", F.col("alpha").alias("cv_alpha"), F.col("mean_mae").alias("cv_mae"))
+    return CV.full_fit_and_save(feature_matrix(spark, sf), RIDGE_FEATS, "points", 10.0, cv)
+
+
+@register("ml_score_slice_ensemble", ids=("ML20", "FLT5", "WIN13", "V12", "V14", "V22"))
+def q_ml20(spark, sf):
+    from stepwise.plans.slices import select_slice
+    fm = feature_matrix(spark, sf)
+    train = fm.where(F.col("epoch") < VAL_EPOCH)
+    sl = select_slice(fm, "epoch", "step", VAL_EPOCH)
+    means = M.impute_fit_grouped(train, ["segment"], "epoch", RIDGE_FEATS)
+    imp_tr = M.impute_apply(train, means, "epoch", RIDGE_FEATS, by=["segment"])
+    imp_sl = M.impute_apply(sl, means, "epoch", RIDGE_FEATS, by=["segment"])
+    c = M.fit_linear(imp_tr, ["segment"], RIDGE_FEATS, "points", [10.0])
+    p = M.linear_predict(imp_sl, c, ["segment"], RIDGE_FEATS, "pred_ridge")
+    tm = train.groupBy("segment").agg(F.avg("points").alias("_tm"))
+    p = p.join(F.broadcast(tm), "segment").withColumn("pred_rolling", F.coalesce("points_roll5", "_tm"))
+    p = M.venue_mean_baseline(train, p, ["segment"], "is_home", "points", "pred_venue")
+    p = M.average_ensemble(p, ["pred_ridge", "pred_rolling", "pred_venue"], "pred_ensemble")
+    from stepwise.operators.windows import top_n_per_group
+    return top_n_per_group(p.select("segment", "entity", "fixture", "pred_ridge", "pred_rolling", "pred_venue",
+                                    "pred_ensemble"),
+                           ["segment"], [F.col("pred_ensemble").desc(), F.col("entity"), F.col("fixture")], 5,
+                           rank_name="rank")
+
+
+@register("ml_cold_start", with_ctes(f"""
+pe AS (SELECT entity, epoch + 1 AS epoch, avg(points) AS prev_mean FROM fm GROUP BY entity, epoch),
+fs AS (SELECT entity, epoch, min(step) AS first_step FROM fm GROUP BY ALL),
+g AS (SELECT avg(points) AS gm FROM fm WHERE epoch < {VAL_EPOCH})
+SELECT entity, fixture, step,
+  CASE WHEN step = first_step THEN coalesce(prev_mean, points_roll5, gm) ELSE coalesce(points_roll5, gm) END AS pred
+FROM fm LEFT JOIN pe USING (entity, epoch) JOIN fs USING (entity, epoch), g WHERE epoch = {VAL_EPOCH}""",
+    *FM_SQL).replace("\npe AS (", "\n, pe AS (", 1), ids=("ML11", "JN14"))
+def q_ml11(spark, sf):
+    from stepwise.operators.relational import prior_epoch
+    fm = feature_matrix(spark, sf)
+    stats = fm.groupBy("entity", "epoch").agg(F.avg("points").alias("prev_mean"))
+    first = fm.groupBy("entity", "epoch").agg(F.min("step").alias("first_step"))
+    gm = fm.where(F.col("epoch") < VAL_EPOCH).groupBy().agg(F.avg("points").alias("gm"))
+    v = (prior_epoch(fm.where(F.col("epoch") == VAL_EPOCH), stats, "entity", "epoch", ["prev_mean"], "{c}")
+         .join(first, ["entity", "epoch"])
+         .withColumn("_k", F.lit(0)).join(F.broadcast(gm.withColumn("_k", F.lit(0))), "_k").drop("_k"))
+    out = M.cold_start_baseline(v, "prev_mean", "points_roll5", F.col("gm"), F.col("step") == F.col("first_step"))
+    return out.select("entity", "fixture", "step", "pred")
+
+
+@register("st_residual_stats", ids=("ST9",))
+def q_st9(spark, sf):
+    return ST.residual_stats(_baseline_pred(spark, sf).where(F.col("pred").isNotNull()), ["segment"],
+                             "points", "pred", "opp_rank", "step")

@@ -178,3 +178,14 @@ def arg_extremes(df: DataFrame, by: Sequence[str], label: str, value: str) -> Da
                                F.max(value).alias(f"peak_{value}"),
                                F.min_by(label, value).alias(f"trough_{label}"),
                                F.min(value).alias(f"trough_{value}"))
+
+
+# JN11 / JN15 ------------------------------------------------------------------
+def reattach(features: DataFrame, raw: DataFrame, keys: Sequence[str], cols: Sequence[str],
+             defaults: dict | None = None) -> DataFrame:
+    """Left-join raw columns back to feature rows on their full key
+    (``epoch, step, seq, entity``), with optional fallbacks (minutes -> 60)."""
+    out = features.join(raw.select(*keys, *cols), list(keys), "left")
+    if defaults:
+        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+    return out
