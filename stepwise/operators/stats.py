@@ -171,10 +171,10 @@ def expanding_folds(df: DataFrame, epoch: str, n_folds: int, min_train: int = 1)
 def assign_folds(df: DataFrame, folds: DataFrame, epoch: str) -> DataFrame:
     """Long table: every row once per fold it serves in, with ``role``
     ``train`` or ``val``.  ``folds`` is bounded by the number of epochs."""
-    f = F.broadcast(folds)
-    tr = df.join(f, F.array_contains(f["train_epochs"], df[epoch])).withColumn("role", F.lit("train"))
-    va = df.join(f, f["val_epoch"] == df[epoch]).withColumn("role", F.lit("val"))
-    return tr.unionByName(va).drop("train_epochs", "val_epoch")
+    roles = (folds.select("fold", F.explode("train_epochs").alias(epoch), F.lit("train").alias("role"))
+                  .unionByName(folds.select("fold", F.col("val_epoch").alias(epoch), F.lit("val").alias("role"))))
+    # equi-join on the epoch against a table of (folds x epochs) rows: a hash join
+    return df.join(F.broadcast(roles), epoch)
 
 
 # ST12 ------------------------------------------------------------------------

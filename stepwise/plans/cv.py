@@ -33,7 +33,8 @@ def ridge_oof(long: DataFrame, feats: Sequence[str], target: str, alphas: Sequen
     solved from it, out-of-fold predictions for the validation rows."""
     train = long.where(F.col("role") == "train")
     coefs = M.fit_linear(train, ["segment", "fold"], feats, target, alphas, model)
-    val = long.where(F.col("role") == "val").select(*KEYS, "fold", target, "is_home", "opp_rank", *feats)
+    cols = list(dict.fromkeys([*KEYS, "fold", target, "is_home", "opp_rank", *feats]))
+    val = long.where(F.col("role") == "val").select(*cols)
     return _predict_all_alphas(val, coefs, feats)
 
 

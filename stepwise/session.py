@@ -22,6 +22,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
 }
 
@@ -71,10 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss).
 
-    ``localCheckpoint`` is never used: its blocks die with the executor.
+    The frame is persisted first so the checkpoint write does not recompute
+    it.  ``localCheckpoint`` is never used: its blocks die with the executor.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df = df.persist()
+    out = df.checkpoint(eager=eager)
+    df.unpersist()
+    return out
 
 
 def write_and_reload(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -100,12 +105,15 @@ _MATERIALIZED: dict = {}
 
 
 def materialized(spark: SparkSession, key, build) -> DataFrame:
-    """Build a derived table once per application and keep it as a reliable
-    checkpoint in the shared checkpoint folder (lineage cut, survives the loss
-    of an executor).  Later calls with the same ``key`` reuse it."""
+    """Build a derived table once per application and keep it as Parquet in
+    the shared checkpoint folder (lineage cut, survives the loss of an
+    executor, and later scans get column pruning and filter pushdown).
+    Later calls with the same ``key`` reuse it."""
     k = (spark.sparkContext.applicationId, key)
     hit = _MATERIALIZED.get(k)
     if hit is None:
-        hit = cut_lineage(build())
+        name = "_".join(str(x) for x in (key if isinstance(key, tuple) else (key,)))
+        name = "".join(ch if ch.isalnum() else "_" for ch in name)[-60:]
+        hit = write_and_reload(build(), name)
         _MATERIALIZED[k] = hit
     return hit
