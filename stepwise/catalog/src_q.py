@@ -1 +1,75 @@
-"""Queries bound to the driver tables."""
+"""Sources and loaders bound to the driver tables."""
+
+from pyspark.sql import functions as F
+
+from stepwise.catalog import EVENTS_CTE, FACT_CTE, register, with_ctes
+from stepwise.plans import bindings as B
+from stepwise.plans import starschema as L
+from stepwise.sources.files import browse, read_only_sql
+
+
+@register("src_nested_json_props", with_ctes("""
+SELECT segment, CAST(json_extract(props, '$.k') AS INTEGER) % 10 AS k_bucket, count(*) AS n,
+       avg(CAST(json_extract(props, '$.k') AS INTEGER)) AS mean_k
+FROM ev GROUP BY ALL""", EVENTS_CTE), ids=("SRC6",))
+def q_src6(spark, sf):
+    ev = B.events(spark, sf).withColumn("p", F.from_json("props", "k INT"))
+    return ev.groupBy("segment", (F.col("p.k") % 10).alias("k_bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p.k").alias("mean_k"))
+
+
+@register("src_adhoc_sql", """
+SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem
+WHERE l_quantity > 25 AND l_discount <= 0.05 GROUP BY l_returnflag, l_linestatus""", ids=("SRC8",))
+def q_src8(spark, sf):
+    B.table(spark, sf, "lineitem").createOrReplaceTempView("lineitem_v")
+    return read_only_sql(spark, """
+        SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem_v
+        WHERE l_quantity > :q AND l_discount <= :d GROUP BY l_returnflag, l_linestatus""", {"q": 25, "d": 0.05})
+
+
+@register("src_table_browser", """
+SELECT * FROM customer WHERE contains(lower(c_name), '000') AND contains(lower(c_mktsegment), 'build')
+ORDER BY c_custkey LIMIT 50""", ids=("SRC9", "FLT4"))
+def q_src9(spark, sf):
+    return browse(B.table(spark, sf, "customer"), {"c_name": "000", "c_mktsegment": "BUILD"}, 50,
+                  order=["c_custkey"])
+
+
+@register("ld_dim_entity", with_ctes("""
+SELECT l.entity, l.side, l.segment, l.price, d.debut_epoch FROM (
+  SELECT entity, side, segment, price, row_number() OVER (PARTITION BY entity ORDER BY epoch DESC, step DESC, fixture DESC) AS rn FROM fact) l
+JOIN (SELECT entity, min(epoch) AS debut_epoch FROM fact GROUP BY entity) d USING (entity) WHERE rn = 1""",
+    FACT_CTE), ids=("LD2", "AGG9", "AGG11"))
+def q_ld2(spark, sf):
+    return L.dim_entity(B.fact(spark, sf), "entity", ["epoch", "step", "fixture"], ["side", "segment", "price"]).select(
+        "entity", "side", "segment", "price", "debut_epoch")
+
+
+@register("ld_dim_side", with_ctes("""
+m AS (SELECT epoch, side, n_name AS name FROM (
+  SELECT epoch, side, n_name, row_number() OVER (PARTITION BY epoch, side ORDER BY count(*) DESC, n_name) AS rn
+  FROM fact JOIN nation ON other_side = n_nationkey GROUP BY epoch, side, n_name) t WHERE rn = 1)
+SELECT epoch, side, name, CAST(row_number() OVER (ORDER BY epoch, side) AS BIGINT) AS side_sk FROM m""",
+    FACT_CTE).replace("\nm AS (", "\n, m AS (", 1), ids=("LD3", "AGG7", "PRJ7"))
+def q_ld3(spark, sf):
+    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("other_side"), F.col("n_name").alias("name"))
+    obs = B.fact(spark, sf).join(F.broadcast(n), "other_side")
+    return L.dim_side(None, obs, "epoch", "side", "name")
+
+
+@register("ld_history_latest_copy", """
+SELECT entity, epoch, total FROM (
+  SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS INTEGER) AS epoch, source, total,
+         row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY source DESC, source_file) AS rn
+  FROM (SELECT l_suppkey, l_shipdate, l_linestatus AS source, 'f' || l_linestatus AS source_file,
+               sum(l_quantity) OVER (PARTITION BY l_suppkey, year(l_shipdate), l_linestatus) AS total FROM lineitem) c
+) t WHERE rn = 1 AND entity IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""", ids=("LD5", "AGG9", "JN7"))
+def q_ld5(spark, sf):
+    li = B.table(spark, sf, "lineitem")
+    copies = (li.groupBy(F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("epoch"),
+                         F.col("l_linestatus").alias("source"))
+              .agg(F.sum("l_quantity").alias("total"))
+              .withColumn("source_file", F.concat(F.lit("f"), F.col("source"))))
+    known = B.table(spark, sf, "supplier").where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("entity"))
+    return L.history(copies, "entity", "epoch", "source", known).select("entity", "epoch", "total")

@@ -112,11 +112,15 @@ def read_only_sql(spark: SparkSession, text: str, args: Mapping | None = None) -
 
 
 # SRC9 ------------------------------------------------------------------------
-def browse(df: DataFrame, filters: Mapping[str, str], limit: int = 100, max_limit: int = 500) -> DataFrame:
+def browse(df: DataFrame, filters: Mapping[str, str], limit: int = 100, max_limit: int = 500,
+           order: Sequence[str] | None = None) -> DataFrame:
     """Per-column case-insensitive ``contains`` filters joined by AND, capped
-    at ``max_limit`` rows (a display table, the limit is the feature)."""
+    at ``max_limit`` rows (a display table, the limit is the feature);
+    ``order`` makes the shown rows deterministic."""
     conds = [contains_ci(F.col(c), v) for c, v in filters.items() if v]
     out = df.where(reduce(lambda a, b: a & b, conds)) if conds else df
+    if order:
+        out = out.orderBy(*order)
     return out.limit(min(limit, max_limit))
 
 
