@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from stepwise.functions.scalars import all_of, in_list, per90, venue_label
 from stepwise.operators.relational import last_n_steps
 
-LATEST = F.struct("epoch", "step", "fixture")
+def _latest_key():
+    return F.struct("epoch", "step", "fixture")
 
 
 def _latest(c: str) -> Column:
-    return F.max_by(c, LATEST).alias(c)
+    return F.max_by(c, _latest_key()).alias(c)
 
 
 def _check(value: str, allowed: Sequence[str]) -> str:
