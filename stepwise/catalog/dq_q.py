@@ -40,6 +40,10 @@ def _rules(spark, sf):
         R("DQ4", "five nations per region", lambda: Q.group_cardinality(n, ["n_regionkey"], "n_nationkey", 5)),
         R("DQ5", "points reconcile with lines", lambda: Q.sums_disagree(
             li_hist, f_hist, ["entity", "epoch"], "l_quantity", "points", 5)),
+        R("DQ6", "fact rows agree with order lines within 1", lambda: Q._count(
+            li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_a")).join(
+                f.groupBy(F.col("fixture").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("_b")), "l_orderkey"),
+            F.abs(F.col("_a") - F.col("_b")) > 1)),
         R("DQ7", "twelve steps per epoch", lambda: Q.step_range(f, ["epoch"], "step", 1, 12)),
         R("DQ8", "no red cards before 1995", lambda: Q.null_before(
             f.withColumn("r", F.nullif("red", F.lit(0))), "epoch", 1995, "r")),
@@ -79,6 +83,9 @@ checks AS (
       (SELECT entity, epoch, sum(l_quantity) AS a FROM liq WHERE epoch < (SELECT m FROM latest) GROUP BY ALL) x
       LEFT JOIN (SELECT entity, epoch, sum(points) AS b FROM fact WHERE epoch < (SELECT m FROM latest) GROUP BY ALL) y USING (entity, epoch)
       WHERE abs(a - coalesce(b, 0)) > 5), NULL
+  UNION ALL SELECT 'DQ6', 'fact rows agree with order lines within 1', (SELECT count(*) FROM
+      (SELECT l_orderkey, count(*) AS a FROM lineitem GROUP BY 1) x JOIN (SELECT fixture AS l_orderkey, count(*) AS b FROM fact GROUP BY 1) y
+      USING (l_orderkey) WHERE abs(a - b) > 1), NULL
   UNION ALL SELECT 'DQ7', 'twelve steps per epoch', (SELECT count(*) FROM (SELECT epoch FROM fact GROUP BY 1 HAVING min(step) <> 1 OR max(step) <> 12)), NULL
   UNION ALL SELECT 'DQ8', 'no red cards before 1995', (SELECT count(*) FROM fact WHERE epoch < 1995 AND nullif(red, 0) IS NOT NULL), NULL
   UNION ALL SELECT 'DQ9', 'fact sides exist', (SELECT count(*) FROM fact WHERE side IS NOT NULL AND side NOT IN (SELECT n_nationkey FROM nation)), NULL
@@ -96,7 +103,7 @@ SELECT rule_id, name, CAST(violations AS BIGINT) AS violations, CAST(detail AS V
 _DQ_SQL = _DQ_SQL.replace("od AS (", "od AS (", 1).replace(")\nlatest AS", "),\nlatest AS", 1)
 
 
-@register("dq_run_checks", _DQ_SQL, ids=("DQ0", "DQ1", "DQ2", "DQ3", "DQ4", "DQ5", "DQ7", "DQ8", "DQ9",
+@register("dq_run_checks", _DQ_SQL, ids=("DQ0", "DQ1", "DQ2", "DQ3", "DQ4", "DQ5", "DQ6", "DQ7", "DQ8", "DQ9",
                                         "DQ10", "DQ14", "DQ15", "DQ17", "DQ18"))
 def q_dq(spark, sf):
     return Q.run_checks(_rules(spark, sf))

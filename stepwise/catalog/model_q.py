@@ -463,3 +463,30 @@ def q_ml11(spark, sf):
 def q_st9(spark, sf):
     return ST.residual_stats(_baseline_pred(spark, sf).where(F.col("pred").isNotNull()), ["segment"],
                              "points", "pred", "opp_rank", "step")
+
+
+@register("pl_epoch_retrain_summary", ids=("PL3", "V24", "CV3", "ML17"))
+def q_pl3(spark, sf):
+    from stepwise.plans.pipelines import retrain
+    out = retrain(feature_matrix(spark, sf), RIDGE_FEATS, "points", [1.0, 10.0, 100.0])
+    return out["summary"]
+
+
+@register("pl_slice_run_monitor", ids=("PL2", "SNK2", "SET3", "ST4", "WIN10"))
+def q_pl2(spark, sf):
+    from stepwise.plans.pipelines import run_slice
+    f = B.fact(spark, sf)
+    last = f.groupBy().agg(F.max(F.struct("epoch", "step")).alias("m")).first()["m"]   # one scalar
+    is_new = (F.col("epoch") == last["epoch"]) & (F.col("step") == last["step"])
+    existing, new = f.where(~is_new), f.where(is_new)
+
+    def features(table):
+        from stepwise.catalog.rel_q import standings_rank
+        return build_feature_matrix(table, standings_rank(spark, sf))
+
+    def score(fm, sl):
+        tm = fm.groupBy("segment").agg(F.avg("points").alias("_tm"))
+        s = fm.join(sl.select("entity", "fixture"), ["entity", "fixture"], "left_semi")
+        return M.rolling_baseline(s.join(F.broadcast(tm), "segment"), "points_roll5", F.col("_tm"))
+    out = run_slice(existing, new, ["step", "fixture", "entity"], f.columns, features, score, None, 20.0)
+    return out["monitor"]

@@ -73,3 +73,69 @@ def q_ld5(spark, sf):
               .withColumn("source_file", F.concat(F.lit("f"), F.col("source"))))
     known = B.table(spark, sf, "supplier").where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("entity"))
     return L.history(copies, "entity", "epoch", "source", known).select("entity", "epoch", "total")
+
+
+@register("src_csv_eras_roundtrip", """
+SELECT CAST(year(o_orderdate) AS VARCHAR) AS label, count(*) AS n, sum(o_totalprice) AS total,
+       count(*) FILTER (WHERE year(o_orderdate) < 1999) AS n_with_priority
+FROM orders GROUP BY 1""", ids=("SRC1", "SRC2", "SRC3", "SRC4", "SRC5", "SNK5", "SNK1", "SNK3"))
+def q_src_roundtrip(spark, sf):
+    """Orders exported as per-year CSV extracts (two schema eras: the
+    priority column is absent from 1999 on), then read back with encoding
+    routing, path labels and the era union."""
+    import uuid
+
+    from stepwise.session import checkpoint_dir
+    from stepwise.sources.files import census, read_csv_any_encoding, read_labelled
+    from stepwise.sources.sinks import rebuild
+    root = f"{checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex[:10]}"
+    o = B.table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    old = o.where("y < 1999").select("o_orderkey", "o_totalprice", "o_orderpriority", "y")
+    new = o.where("y >= 1999").select("o_orderkey", "o_totalprice", "y")
+    for part in (old, new):
+        part.repartition("y").write.partitionBy("y").option("header", True).mode("append").csv(root)
+    summary, _reps = census(spark, root, {"orders": r"\.csv$"}, r"y=(\d{4})")
+    rebuild({"census": summary}, f"{root}_tables")
+    _ = read_csv_any_encoding(spark, root, "*.csv")
+    df, _missing = read_labelled(spark, root, "*.csv", r"y=(\d{4})", "label")
+    return (df.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                    F.sum(F.col("o_totalprice").try_cast("double")).alias("total"),
+                                    F.count("o_orderpriority").alias("n_with_priority")))
+
+
+@register("src_current_next_step", with_ctes("""
+s AS (SELECT epoch * 100 + step AS id, bool_and(o_orderstatus = 'F') AS finished FROM od GROUP BY 1)
+SELECT max(id) FILTER (WHERE finished) AS current_step, min(id) FILTER (WHERE NOT finished) AS next_step FROM s""",
+    __import__("stepwise.catalog", fromlist=["ORDERS_CTE"]).ORDERS_CTE).replace("\ns AS (", "\n, s AS (", 1),
+    ids=("SRC7", "SRC10"))
+def q_src7(spark, sf):
+    from stepwise.plans.slices import current_and_next
+    s = (B.orders(spark, sf).groupBy((F.col("epoch") * 100 + F.col("step")).alias("id"))
+         .agg(F.bool_and(F.col("o_orderstatus") == "F").alias("finished"))
+         .withColumn("is_current", F.lit(False)))
+    return current_and_next(s, "id", "finished", "is_current")
+
+
+@register("ld_fact_rows", ids=("LD6", "LD4", "JN1", "JN2", "JN3", "PRJ2", "PRJ3", "PRJ5", "PRJ6", "AGG10"))
+def q_ld6(spark, sf):
+    """Raw entity x fixture extract (strings, local ids) -> cleaned fact rows."""
+    li = B.table(spark, sf, "lineitem")
+    o = B.table(spark, sf, "orders")
+    c = B.table(spark, sf, "customer")
+    raw = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+             .select(F.col("l_suppkey").cast("string").alias("element"),
+                     F.year("o_orderdate").alias("epoch"), F.month("o_orderdate").alias("step"),
+                     F.col("l_orderkey").alias("fixture"),
+                     F.when(F.col("l_linestatus") == "O", "True").otherwise("False").alias("was_home"),
+                     F.col("c_nationkey").alias("opponent_team"),
+                     F.col("l_quantity").cast("string").alias("total_points"),
+                     F.when(F.col("l_returnflag") == "R", "x").otherwise(F.col("l_tax").cast("string")).alias("bonus"),
+                     F.lit("1").alias("mng_win"), F.lit("0").alias("mng_draw"), F.lit("0").alias("mng_loss"),
+                     F.col("l_discount").cast("string").alias("mng_goals")))
+    bridge = B.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("element"),
+                                                    F.col("s_suppkey").alias("entity"))
+    rows, _obs = L.fact_rows(raw, bridge, "element", "entity", ["total_points", "bonus"],
+                             ["mng_win", "mng_draw", "mng_loss", "mng_goals"],
+                             ["epoch", "step", "fixture", "entity"])
+    return rows.groupBy("epoch").agg(F.count(F.lit(1)).alias("rows"), F.sum("total_points").alias("points"),
+                                     F.count_distinct("side").alias("sides"))

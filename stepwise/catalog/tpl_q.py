@@ -25,7 +25,7 @@ def q_t1(spark, sf):
 SELECT entity, CAST(sum(points) AS BIGINT) AS points, CAST(sum(goals) AS BIGINT) AS goals,
        arg_max(side, {LATEST}) AS side, arg_max(segment, {LATEST}) AS segment
 FROM fact WHERE epoch = 1998 AND segment = 'EUROPE' GROUP BY entity ORDER BY points DESC, entity LIMIT 10""",
-    FACT_CTE), ids=("T2",))
+    FACT_CTE), ids=("T2", "AGG6"))
 def q_t2(spark, sf):
     return T.top_scorers(_f(spark, sf), 1998, 10, "EUROPE")
 
@@ -43,7 +43,7 @@ SELECT epoch, CAST(sum(points) AS BIGINT) AS points, CAST(sum(minutes) AS BIGINT
        CAST(sum(goals) AS BIGINT) AS goals, count(*) AS rows,
        arg_min(price, (step, fixture)) AS start_price, arg_max(price, (step, fixture)) AS end_price,
        arg_max(price, (step, fixture)) - arg_min(price, (step, fixture)) AS price_change
-FROM fact WHERE entity = 7 GROUP BY epoch""", FACT_CTE), ids=("T4", "T20"))
+FROM fact WHERE entity = 7 GROUP BY epoch""", FACT_CTE), ids=("T4", "T20", "V4", "AGG22"))
 def q_t4(spark, sf):
     return T.entity_career(_f(spark, sf), 7)
 
