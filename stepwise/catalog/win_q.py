@@ -159,3 +159,18 @@ FROM ev""", EVENTS_CTE), ids=("WIN14",))
 def q_win14(spark, sf):
     ev = B.events(spark, sf).select("seq", "segment", "target", "entity")
     return W.median_flag(ev, ["segment"], "target", F.col("entity") < 10).drop("entity")
+
+
+@register("win_features_hot_split", with_ctes(f"""
+SELECT entity, epoch, step, seq, target,
+  avg(target) OVER ({_WIN} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS target_roll3,
+  avg(target) OVER ({_WIN} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS target_roll5,
+  avg(target) OVER ({_WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target_todate,
+  lag(target, 1) OVER ({_WIN}) AS target_lag1
+FROM ev""", EVENTS_CTE), ids=("WIN1", "WIN2", "WIN3"))
+def q_win_hot(spark, sf):
+    """Same features with every group above 12 rows treated as hot (forces
+    the split path on most user-weeks: blocks of 8 positions, 4 ranges)."""
+    from stepwise.operators.hotgroups import lagged_features
+    ev = B.events(spark, sf).select("entity", "epoch", "step", "seq", "target")
+    return lagged_features(ev, R, ["target"], (3, 5), ["target"], ["target"], hot_rows=12, partitions=4, block=8)

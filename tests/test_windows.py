@@ -70,3 +70,20 @@ def test_rolling_alert(spark):
                                "seg string, ep int, st int, mae double")
     out = W.rolling_alert(df, ["seg"], ["ep", "st"], "mae", 2.5).orderBy("st").toPandas()
     assert list(out["alert"]) == [False, False, False, False, True, True]
+
+
+def test_hot_group_split_matches_plain_windows(spark):
+    from stepwise.operators.hotgroups import _plain, lagged_features
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):                      # one dominant group with nulls and double steps
+        rows.append((1, 1, i // 3, i, None if i % 7 == 0 else float(rng.integers(0, 20))))
+    rows += [(2, 1, i, 1000 + i, float(i)) for i in range(5)]   # a normal group
+    df = frame(spark, rows)
+    got = lagged_features(df, R, ["x"], (3, 5), ["x"], ["x"], hot_rows=50, partitions=7, block=16)
+    want = _plain(df, R, ["x"], (3, 5), ["x"], ["x"])
+    cols = ["e", "sq", "x_roll3", "x_roll5", "x_todate", "x_lag1"]
+    a = got.select(*cols).orderBy("e", "sq").toPandas()
+    b = want.select(*cols).orderBy("e", "sq").toPandas()
+    assert len(a) == len(b) == 405
+    assert np.allclose(a.fillna(-999).to_numpy(dtype=float), b.fillna(-999).to_numpy(dtype=float))
