@@ -50,7 +50,7 @@ def team_features(team: DataFrame) -> DataFrame:
 
 
 def build_feature_matrix(fact: DataFrame, standings_rank: DataFrame, min_rows: int = 5,
-                         min_epoch: int | None = None) -> DataFrame:
+                         min_epoch: int | None = None, hot_rows: int | None = 5_000_000) -> DataFrame:
     """Lag-safe feature matrix, all segments in one pass (PL1).
 
     FLT1 (minutes > 0, epoch >= k) and FLT2 (>= ``min_rows`` rows per
@@ -58,6 +58,9 @@ def build_feature_matrix(fact: DataFrame, standings_rank: DataFrame, min_rows: i
     team and opponent features come from the side x step frame (JN12) and the
     opponent's rank (JN5, default 10).  Standings cover the whole epoch, as in
     the reference (flagged: a past row sees the epoch's final table).
+
+    ``hot_rows``: entity-epoch groups larger than this are split into blocks
+    (:mod:`stepwise.operators.hotgroups`); ``None`` uses plain windows only.
     """
     from stepwise.functions.scalars import min_group_size
     from stepwise.plans.bindings import FACT_ROLES as R
@@ -65,9 +68,13 @@ def build_feature_matrix(fact: DataFrame, standings_rank: DataFrame, min_rows: i
     if min_epoch is not None:
         base = base.where(F.col("epoch") >= min_epoch)
     base = min_group_size(base, R.group, min_rows)
-    out = W.lagged_rolling_mean(base, R, PLAYER_ROLL, ks=(3, 5))
-    out = W.lagged_expanding_mean(out, R, TODATE)
-    out = W.lag_features(out, R, LAGS)
+    if hot_rows is None:
+        out = W.lagged_rolling_mean(base, R, PLAYER_ROLL, ks=(3, 5))
+        out = W.lagged_expanding_mean(out, R, TODATE)
+        out = W.lag_features(out, R, LAGS)
+    else:
+        from stepwise.operators.hotgroups import lagged_features
+        out = lagged_features(base, R, PLAYER_ROLL, (3, 5), TODATE, LAGS, hot_rows=hot_rows)
     team = team_features(team_step_frame(fact))
     own = team.select("epoch", "side", "step", "team_gf_prior", "team_cs_rate5")
     opp = team.select("epoch", F.col("side").alias("other_side"), "step",
