@@ -40,7 +40,6 @@ def main() -> None:
 
     # warm-up (JVM start, code generation) on the smallest fixture, not timed
     warm = "/root/testdata/sf0.001"
-    import os.path
     if os.path.isdir(warm) and warm != sf_dir:
         run(B.build_fact(spark, warm))
         run(reg["tpl02_top_scorers"].fn(spark, warm))

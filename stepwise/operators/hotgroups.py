@@ -51,6 +51,10 @@ def lagged_features(df: DataFrame, r: Roles, roll: Sequence[str], ks: Sequence[i
         raise ValueError("block must exceed the largest window")
     sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn"))
     hot = sizes.where(F.col("_gn") > hot_rows).select(*g)
+    # Decide at runtime: one aggregate pass finds the hot keys; with none,
+    # the plain single-sort window plan is used unchanged.
+    if hot.isEmpty():
+        return _plain(df, r, roll, ks, todate, lags)
     # bound: at most (total rows / hot_rows) keys
     hot_b = F.broadcast(hot)
     normal = _plain(df.join(hot_b, g, "left_anti"), r, roll, ks, todate, lags)

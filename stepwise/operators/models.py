@@ -49,6 +49,22 @@ def impute_fit_grouped(train: DataFrame, by: Sequence[str], epoch: str, feats: S
 
 
 # Gram statistics -------------------------------------------------------------
+def collect_wide(df: DataFrame) -> list:
+    """Collect a small, wide aggregate with whole-stage codegen enabled for
+    its many buffer fields (``spark.sql.codegen.maxFields`` raised for this
+    one action, then restored)."""
+    conf = df.sparkSession.conf
+    old = conf.get("spark.sql.codegen.maxFields", None)
+    conf.set("spark.sql.codegen.maxFields", str(max(1000, len(df.columns) * 4)))
+    try:
+        return df.collect()
+    finally:
+        if old is None:
+            conf.unset("spark.sql.codegen.maxFields")
+        else:
+            conf.set("spark.sql.codegen.maxFields", old)
+
+
 def gram_stats(df: DataFrame, by: Sequence[str], feats: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """One aggregation pass: every moment a linear fit needs, per group."""
     d = len(feats)
@@ -133,7 +149,7 @@ def fit_linear(train: DataFrame, by: Sequence[str], feats: Sequence[str], target
     sd, cov, noise_var)`` with one row per group and alpha -- bounded by
     groups x alphas, so it is safe to broadcast back for scoring."""
     spark = train.sparkSession
-    stats = gram_stats(train, by, feats, [target]).collect()   # O(groups * d^2) numbers
+    stats = collect_wide(gram_stats(train, by, feats, [target]))   # O(groups * d^2) numbers
     rows = []
     for r in stats:
         m = moments_from_row(r, len(feats), 1)
@@ -211,7 +227,7 @@ def fit_components(train: DataFrame, by: Sequence[str], feats: Sequence[str], co
     """One ridge per component from a single Gram pass (several right-hand
     sides); weights are applied at prediction time."""
     spark = train.sparkSession
-    stats = gram_stats(train, by, feats, components).collect()
+    stats = collect_wide(gram_stats(train, by, feats, components))
     rows = []
     for r in stats:
         m = moments_from_row(r, len(feats), len(components))

@@ -18,13 +18,13 @@ from stepwise.operators.windows import top_n_per_group
 
 
 # ST2 -------------------------------------------------------------------------
-def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, buckets: int = 256) -> DataFrame:
+def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, buckets: int = 64) -> DataFrame:
     """Add the 1-based average rank of ``col`` within ``by`` (ties share the
     mean of their positions, as ``pandas.rank()``); nulls get a null rank."""
     by = list(by)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = (df.where(F.col(col).isNotNull()).groupBy(*by)
-               .agg(F.array_distinct(F.percentile_approx(col, probs, 10000)).alias("_edges")))
+               .agg(F.array_distinct(F.percentile_approx(col, probs, 1000)).alias("_edges")))
     x = F.col(col)
     keyed = _join_small(df, edges, by).withColumn(
         "_b", F.when(x.isNotNull(), F.size(F.filter("_edges", lambda e: e < x))))
