@@ -149,11 +149,12 @@ def standings(matches: DataFrame, epoch: str, home: str, away: str,
     m = matches.select(epoch, *match_keys, home, away, home_score, away_score)
     if distinct:
         m = m.distinct()
-    h = m.select(F.col(epoch), F.col(home).alias("side"), F.col(home_score).alias("gf"),
-                 F.col(away_score).alias("ga"))
-    a = m.select(F.col(epoch), F.col(away).alias("side"), F.col(away_score).alias("gf"),
-                 F.col(home_score).alias("ga"))
-    both = h.unionByName(a).withColumn("p", result_points(F.col("gf"), F.col("ga")))
+    # one pass over the matches: each match row becomes a row per side
+    sides = F.explode(F.array(
+        F.struct(F.col(home).alias("side"), F.col(home_score).alias("gf"), F.col(away_score).alias("ga")),
+        F.struct(F.col(away).alias("side"), F.col(away_score).alias("gf"), F.col(home_score).alias("ga"))))
+    both = m.select(epoch, sides.alias("_s")).select(epoch, "_s.side", "_s.gf", "_s.ga")
+    both = both.withColumn("p", result_points(F.col("gf"), F.col("ga")))
     return (both.groupBy(epoch, "side")
                 .agg(F.sum("p").cast("bigint").alias("pts"),
                      (F.sum("gf") - F.sum("ga")).cast("bigint").alias("gd"),

@@ -75,7 +75,10 @@ def build_feature_matrix(fact: DataFrame, standings_rank: DataFrame, min_rows: i
     else:
         from stepwise.operators.hotgroups import lagged_features
         out = lagged_features(base, R, PLAYER_ROLL, (3, 5), TODATE, LAGS, hot_rows=hot_rows)
-    team = team_features(team_step_frame(fact))
+    # side x step table (sides x steps rows): checkpointed once so the own-side
+    # and opponent joins share it instead of recomputing it from the fact
+    from stepwise.session import cut_lineage
+    team = cut_lineage(team_features(team_step_frame(fact)))
     own = team.select("epoch", "side", "step", "team_gf_prior", "team_cs_rate5")
     opp = team.select("epoch", F.col("side").alias("other_side"), "step",
                       F.col("ga_prior_rate").alias("opp_ga_prior_rate"))
