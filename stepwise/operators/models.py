@@ -177,13 +177,16 @@ def linear_predict(df: DataFrame, coefs: DataFrame, by: Sequence[str], feats: Se
         pred = pred + F.col("coef")[i] * zi
     out = j.withColumn(name, pred)
     if std_name:
+        # z' S z as plain arithmetic (codegen), using the symmetry of S
         d = len(feats)
-        zarr = F.array(*z)
-        quad = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), F.lit(0.0),
-                           lambda acc, a: acc + zarr[a] * F.aggregate(
-                               F.sequence(F.lit(0), F.lit(d - 1)), F.lit(0.0),
-                               lambda acc2, b: acc2 + F.col("cov")[a * d + b] * zarr[b]))
-        out = out.withColumn(std_name, F.sqrt(F.col("noise_var") + quad))
+        out = out.withColumns({f"_z{i}": zi for i, zi in enumerate(z)})
+        quad = F.lit(0.0)
+        for a in range(d):
+            row = F.col("cov")[a * d + a] * F.col(f"_z{a}")
+            for b in range(a + 1, d):
+                row = row + F.lit(2.0) * F.col("cov")[a * d + b] * F.col(f"_z{b}")
+            quad = quad + F.col(f"_z{a}") * row
+        out = out.withColumn(std_name, F.sqrt(F.col("noise_var") + quad)).drop(*[f"_z{i}" for i in range(d)])
     return out.drop("model", "alpha", "intercept", "coef", "mu", "sd", "cov", "noise_var")
 
 

@@ -13,6 +13,27 @@ from stepwise.operators import models as M
 from stepwise.operators import stats as ST
 from stepwise.session import cut_lineage, scratch_path
 
+FIT_THREADS = 4   # concurrent Spark ML fits (separate jobs share the cluster)
+
+
+def _per_group(long: DataFrame, name: str, fit_one) -> DataFrame:
+    """Run ``fit_one(segment, fold) -> predictions`` for every (segment,
+    fold) group -- a bounded list -- on a small thread pool, appending each
+    group's predictions to one table in the shared checkpoint folder.  Plans
+    stay small and nothing is held in driver memory."""
+    from concurrent.futures import ThreadPoolExecutor
+    spark = long.sparkSession
+    groups = [(r["segment"], r["fold"]) for r in
+              long.where(F.col("role") == "train").select("segment", "fold").distinct().collect()]
+    path = scratch_path(spark, name)
+
+    def run(ig):
+        i, g = ig
+        fit_one(*g).write.mode("overwrite").parquet(f"{path}/grp={i}")   # one folder per group
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as ex:
+        list(ex.map(run, enumerate(groups)))
+    return spark.read.parquet(path).drop("grp")
+
 KEYS = ["segment", "epoch", "step", "fixture", "entity"]
 
 
@@ -58,55 +79,46 @@ def two_stage(long: DataFrame, feats: Sequence[str], target: str, minutes: str,
               alpha: float = 1.0, min_rows: int = 10) -> DataFrame:
     """ML14: P(start) x E[y | start] + (1 - P) x E[y | bench] per segment and
     fold; a split with fewer than ``min_rows`` training rows uses all rows."""
-    spark = long.sparkSession
     d = long.withColumn("_start", (F.col(minutes) >= start_min).cast("double"))
     train = d.where(F.col("role") == "train")
     val = d.where(F.col("role") == "val")
-    groups = train.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("n"),
-                                                 F.sum("_start").alias("n_start")).collect()
-    parts = []
-    for g in groups:   # bounded: segments x folds
-        tr = train.where((F.col("segment") == g["segment"]) & (F.col("fold") == g["fold"]))
-        va = val.where((F.col("segment") == g["segment"]) & (F.col("fold") == g["fold"]))
-        if 0 < g["n_start"] < g["n"]:
-            clf = M.spark_ml_fit(tr, feats, "_start", "logistic", n=g["n"])
+
+    def fit_one(seg, fold):
+        sel = (F.col("segment") == seg) & (F.col("fold") == fold)
+        tr, va = train.where(sel), val.where(sel)
+        g = tr.agg(F.count(F.lit(1)).alias("n"), F.sum("_start").alias("n_start")).first()
+        n, n_start = g["n"], g["n_start"] or 0.0
+        if 0 < n_start < n:
+            clf = M.spark_ml_fit(tr, feats, "_start", "logistic", n=n)
             va = M.spark_ml_predict(clf, va, feats, "_p", prob=True)
         else:
-            va = va.withColumn("_p", F.lit(float(g["n_start"] > 0)))
+            va = va.withColumn("_p", F.lit(float(n_start > 0)))
         for flag, name in ((1.0, "_e1"), (0.0, "_e0")):
-            sub = tr.where(F.col("_start") == flag)
-            n_sub = g["n_start"] if flag == 1.0 else g["n"] - g["n_start"]
-            use = sub if n_sub >= min_rows else tr
+            n_sub = n_start if flag == 1.0 else n - n_start
+            use = tr.where(F.col("_start") == flag) if n_sub >= min_rows else tr
             c = M.fit_linear(use, ["segment", "fold"], feats, target, [alpha])
             va = M.linear_predict(va, c, ["segment", "fold"], feats, name)
-        parts.append(va.withColumn("pred", F.col("_p") * F.col("_e1") + (1 - F.col("_p")) * F.col("_e0"))
-                     .select(*KEYS, "fold", target, "pred", F.col("_p").alias("p_start")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return (va.withColumn("pred", F.col("_p") * F.col("_e1") + (1 - F.col("_p")) * F.col("_e0"))
+                  .select(*KEYS, "fold", target, "pred", F.col("_p").alias("p_start")))
+    return _per_group(long, "two-stage", fit_one)
 
 
 def spark_learner_oof(long: DataFrame, feats: Sequence[str], target: str, kind: str, **params) -> DataFrame:
     """OOF predictions of a Spark ML learner, fitted per (segment, fold)."""
     train = long.where(F.col("role") == "train")
     val = long.where(F.col("role") == "val")
-    groups = train.select("segment", "fold").distinct().collect()   # bounded
-    parts = []
-    for g in groups:
-        tr = train.where((F.col("segment") == g["segment"]) & (F.col("fold") == g["fold"]))
-        va = val.where((F.col("segment") == g["segment"]) & (F.col("fold") == g["fold"]))
+
+    def fit_one(seg, fold):
+        sel = (F.col("segment") == seg) & (F.col("fold") == fold)
+        tr, va = train.where(sel), val.where(sel)
         shift = 0.0
         if kind == "poisson":
             shift = M.poisson_shift(tr, target)
             tr = tr.withColumn(target, F.col(target) + shift)
         model = M.spark_ml_fit(tr, feats, target, kind, **params)
         p = M.spark_ml_predict(model, va, feats, "pred").withColumn("pred", F.col("pred") - F.lit(shift))
-        parts.append(p.select(*KEYS, "fold", target, "pred"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("model", F.lit(kind))
+        return p.select(*KEYS, "fold", target, "pred")
+    return _per_group(long, f"oof-{kind}", fit_one).withColumn("model", F.lit(kind))
 
 
 def stack(oof_long: DataFrame, models: Sequence[str], target: str, alpha: float = 0.5) -> DataFrame:

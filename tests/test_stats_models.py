@@ -79,6 +79,11 @@ def test_bayesian_ridge_std_positive(spark):
     c = M.fit_linear(df, ["g"], list("abc"), "y", [0.0], "br", solver=M.bayesian_ridge_solver())
     p = M.linear_predict(df, c, ["g"], list("abc"), "pred", std_name="std").toPandas()
     assert (p["std"] > 0).all()
+    row = c.first()
+    S = np.array(row["cov"]).reshape(3, 3)
+    Z = (X - np.array(row["mu"])) / np.array(row["sd"])
+    want = np.sqrt(row["noise_var"] + np.einsum("ij,jk,ik->i", Z, S, Z))
+    assert np.allclose(p["std"].to_numpy(), want)
     assert np.corrcoef(p["pred"], y)[0, 1] > 0.8
 
 
