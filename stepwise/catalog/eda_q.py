@@ -38,7 +38,7 @@ def q_e3(spark, sf):
 
 @register("eda04_epoch_totals", with_ctes(f"""
 SELECT segment, {_DESC.format(x='total')} FROM (
-  SELECT segment, entity, epoch, sum(points) AS total FROM fact GROUP BY ALL) t GROUP BY segment""", FACT_CTE),
+  SELECT segment, entity, epoch, CAST(sum(points) AS BIGINT) AS total FROM fact GROUP BY ALL) t GROUP BY segment""", FACT_CTE),
     ids=("E4",))
 def q_e4(spark, sf):
     return X.epoch_totals_distribution(B.fact(spark, sf), "points")

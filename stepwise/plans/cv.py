@@ -29,9 +29,15 @@ def _per_group(long: DataFrame, name: str, fit_one) -> DataFrame:
 
     def run(ig):
         i, g = ig
-        fit_one(*g).write.mode("overwrite").parquet(f"{path}/grp={i}")   # one folder per group
+        try:
+            fit_one(*g).write.mode("overwrite").parquet(f"{path}/grp={i}")   # one folder per group
+            return None
+        except Exception:  # noqa: BLE001 -- retried below
+            return ig
     with ThreadPoolExecutor(max_workers=FIT_THREADS) as ex:
-        list(ex.map(run, enumerate(groups)))
+        failed = [x for x in ex.map(run, enumerate(groups)) if x is not None]
+    for i, g in failed:   # a failed group is refitted once, alone; overwrite keeps it idempotent
+        fit_one(*g).write.mode("overwrite").parquet(f"{path}/grp={i}")
     return spark.read.parquet(path).drop("grp")
 
 KEYS = ["segment", "epoch", "step", "fixture", "entity"]
