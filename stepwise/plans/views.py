@@ -15,7 +15,9 @@ def quadrants(df: DataFrame, by: Sequence[str], x: str, y: str, labels=("high-hi
     """Label rows by whether ``x`` and ``y`` are at or above their group
     medians (medians are one aggregate per group, joined back)."""
     med = df.groupBy(*by).agg(F.median(x).alias("_mx"), F.median(y).alias("_my"))
-    j = df.join(F.broadcast(med), list(by)) if by else \
+    # one row per group: the join strategy is left to AQE (runtime size);
+    # only the single global row is broadcast explicitly
+    j = df.join(med, list(by)) if by else \
         df.withColumn("_k", F.lit(0)).join(F.broadcast(med.withColumn("_k", F.lit(0))), "_k").drop("_k")
     hx, hy = F.col(x) >= F.col("_mx"), F.col(y) >= F.col("_my")
     q = (F.when(hx & hy, labels[0]).when(hx & ~hy, labels[1]).when(~hx & hy, labels[2]).otherwise(labels[3]))

@@ -34,9 +34,9 @@ def read_csv_any_encoding(spark: SparkSession, root: str, glob: str = "*.csv",
     bad bytes, it replaces them)."""
     files = _file_table(spark, root, glob, with_content=True).select(
         "path", F.expr("is_valid_utf8(content)").alias("utf8"))
-    groups = {bool(r["utf8"]): [] for r in files.select("utf8").distinct().collect()}
-    for r in files.select("path", "utf8").collect():   # file names only
-        groups[bool(r["utf8"])].append(r["path"])
+    groups: dict[bool, list[str]] = {}
+    for r in files.collect():   # (file name, flag) pairs only -- one pass over the bytes
+        groups.setdefault(bool(r["utf8"]), []).append(r["path"])
     parts = []
     for ok, paths in groups.items():
         if paths:
