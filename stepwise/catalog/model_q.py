@@ -459,7 +459,17 @@ def q_ml11(spark, sf):
     return out.select("entity", "fixture", "step", "pred")
 
 
-@register("st_residual_stats", ids=("ST9",))
+@register("st_residual_stats", with_ctes(f"""
+r AS (SELECT segment, step, opp_rank, points - pred AS res, abs(points - pred) AS ab, pred FROM bp WHERE pred IS NOT NULL),
+mn AS (SELECT segment, avg(res) AS mean_residual, avg(res) FILTER (WHERE opp_rank <= 5) AS mean_residual_vs_top5,
+              avg(res) FILTER (WHERE opp_rank >= 21) AS mean_residual_vs_bottom5 FROM r GROUP BY segment),
+wst AS (SELECT segment, arg_max(step, m) AS worst_step, max(m) AS worst_step_mae FROM
+        (SELECT segment, step, avg(ab) AS m FROM r GROUP BY ALL) t GROUP BY segment),
+rho AS (SELECT segment, corr(rx, ry) AS rho_abs_residual_pred FROM (
+        SELECT segment, {_AVG_RANK.format(g='segment', x='ab')} AS rx, {_AVG_RANK.format(g='segment', x='pred')} AS ry
+        FROM r) t GROUP BY segment)
+SELECT * FROM mn LEFT JOIN wst USING (segment) LEFT JOIN rho USING (segment)""", *FM_SQL, BASE_PRED_CTE)
+    .replace("\nr AS (", "\n, r AS (", 1), ids=("ST9", "SRT5"))
 def q_st9(spark, sf):
     return ST.residual_stats(_baseline_pred(spark, sf).where(F.col("pred").isNotNull()), ["segment"],
                              "points", "pred", "opp_rank", "step")

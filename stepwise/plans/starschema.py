@@ -77,6 +77,6 @@ def fact_rows(raw: DataFrame, bridge: DataFrame, local_id: str, entity: str, cou
                    if c.endswith(("win", "draw", "loss"))), F.lit(0))
         d = null_unless(d, wdl == 1, present)
     from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in d.columns if c not in keys][:3])
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in d.columns if c not in keys])   # full order
     d = d.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return d, obs
