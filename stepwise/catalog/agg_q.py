@@ -195,3 +195,12 @@ def q_agg23(spark, sf):
     return (B.fact(spark, sf).groupBy("entity", "epoch", "step")
             .agg(F.max("price").alias("max_price"), F.sum("points").alias("step_points"),
                  F.count(F.lit(1)).alias("n_fixtures")))
+
+
+@register("agg_describe_skew_safe", with_ctes("""
+SELECT segment, count(target) AS count, avg(target) AS mean, stddev_samp(target) AS std, min(target) AS min,
+       quantile_cont(target, 0.25) AS p25, quantile_cont(target, 0.5) AS p50, quantile_cont(target, 0.75) AS p75,
+       max(target) AS max
+FROM ev GROUP BY segment""", EVENTS_CTE), ids=("AGG13", "AGG14"))
+def q_agg13_safe(spark, sf):
+    return A.describe(B.events(spark, sf), ["segment"], "target", skew_safe=True)

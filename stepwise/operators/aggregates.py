@@ -59,9 +59,22 @@ def dedupe_exact(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> tup
 
 
 # AGG13 / AGG14 / AGG15 ------------------------------------------------------
-def describe(df: DataFrame, by: Sequence[str], col: str, approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, by: Sequence[str], col: str, approx: bool = False,
+             skew_safe: bool = False) -> DataFrame:
     """``DataFrame.describe()`` per group: count, mean, sample std, min,
-    25/50/75 (linear interpolation), max."""
+    25/50/75 (linear interpolation), max.
+
+    ``skew_safe=True`` computes the exact quartiles with
+    :func:`stepwise.operators.stats.exact_quantiles`, which never merges a
+    whole group in one task."""
+    if skew_safe:
+        from stepwise.operators.stats import exact_quantiles
+        base = (df.groupBy(*by).agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
+                                    F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
+                                    F.max(col).alias("max")))
+        q = exact_quantiles(df, by, col, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+        j = base.join(q, list(by), "left") if by else base.join(F.broadcast(q), how="left")
+        return j.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     q = _pct(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), approx)
     return (df.groupBy(*by)
               .agg(F.count(col).alias("count"), F.avg(col).alias("mean"),

@@ -174,13 +174,19 @@ def top_n_per_group(df: DataFrame, partition: Sequence[str], order: Sequence[Col
 
 # WIN14 ------------------------------------------------------------------------
 def median_flag(df: DataFrame, partition: Sequence[str], col: str, extra: Column | None = None,
-                median_name: str = "segment_median", flag_name: str = "flag") -> DataFrame:
+                median_name: str = "segment_median", flag_name: str = "flag",
+                skew_safe: bool = False) -> DataFrame:
     """Flag rows at or above their group's median (optionally AND ``extra``).
 
-    The median is an aggregate per group joined back, not a window, so a
-    group is never materialised in one task.
+    The median is an aggregate per group joined back, not a window.  With
+    ``skew_safe`` it comes from the bucketed exact quantiles, so even the
+    merge of a huge group's values is split across tasks.
     """
-    med = df.groupBy(*partition).agg(F.median(col).alias(median_name))
+    if skew_safe:
+        from stepwise.operators.stats import exact_quantiles
+        med = exact_quantiles(df, partition, col, [0.5], [median_name])
+    else:
+        med = df.groupBy(*partition).agg(F.median(col).alias(median_name))
     out = df.join(med, list(partition), "left")
     cond = F.col(col) >= F.col(median_name)
     if extra is not None:

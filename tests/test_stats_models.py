@@ -109,3 +109,16 @@ def test_registry_resolves_dependencies():
     for name, deps in [("ridge", ()), ("bayes", ()), ("blend", ("ridge", "bayes"))]:
         reg.register(M.ModelSpec(name, "linear", "base", None, None, deps=deps))
     assert [s.name for s in reg.resolve(["blend"])] == ["ridge", "bayes", "blend"]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    vals = np.concatenate([rng.integers(0, 5, 500).astype(float), rng.normal(10, 3, 300)])
+    g = np.where(np.arange(len(vals)) % 3 == 0, "a", "b")
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": vals}))
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r for r in ST.exact_quantiles(df, ["g"], "v", probs, buckets=7).collect()}
+    for key in ("a", "b"):
+        want = np.quantile(vals[g == key], probs)
+        have = [got[key][f"q{int(round(p * 100))}"] for p in probs]
+        assert np.allclose(have, want)
