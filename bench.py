@@ -3,9 +3,10 @@
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
 (default 8).  Prints one JSON line with per-workload wall-clock seconds.
 
-Workloads mirror the reference's end-to-end jobs: the star-schema build
-(its "full ETL rebuild"), the lag-safe feature matrix, the data-quality audit,
-the analyst templates and EDA tables, and the ridge alpha search (CV).
+Workloads mirror the reference's end-to-end jobs: the star-schema build and
+the data-quality audit (together its "full ETL rebuild", the headline
+metric), the lag-safe feature matrix, the analyst templates and EDA tables,
+statistics, and the ridge alpha search (CV).
 """
 
 from __future__ import annotations
@@ -61,9 +62,13 @@ def main() -> None:
     timed("cv_ridge_alpha_search", lambda: run(reg["cv_ridge_alpha_grid"].fn(spark, sf_dir)))
 
     total = round(sum(timings.values()), 3)
+    # Headline = the reference's only timed job: a full ETL rebuild (load the
+    # star schema, then run the post-load checks).  Every workload and the
+    # total are reported next to it.
+    etl = round(timings["etl_star_schema"] + timings["dq_audit"], 3)
     sf = sf_dir.rsplit("sf", 1)[-1] if "sf" in os.path.basename(sf_dir) else sf_dir
-    print(json.dumps({"metric": "total_workload_sec", "value": total, "unit": "sec",
-                      "queries": timings, "sf": sf, "cpus": cpus}))
+    print(json.dumps({"metric": "etl_rebuild_sec", "value": etl, "unit": "sec",
+                      "queries": timings, "total_workload_sec": total, "sf": sf, "cpus": cpus}))
     spark.stop()
 
 
