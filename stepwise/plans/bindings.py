@@ -195,18 +195,16 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided matches: supplier nation (home) v customer nation (away) per month."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linestatus")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .join(c, o.o_custkey == c.c_custkey)
-            .join(s, li.l_suppkey == s.s_suppkey)
-            .groupBy(F.year("o_orderdate").alias("epoch"), F.month("o_orderdate").alias("step"),
-                     F.col("s_nationkey").alias("home_side"), F.col("c_nationkey").alias("away_side"))
-            .agg(F.count_if(F.col("l_linestatus") == "O").alias("home_score"),
-                 F.count_if(F.col("l_linestatus") == "F").alias("away_score")))
+    """Two-sided matches: supplier nation (home) v customer nation (away) per
+    month; home score = lines with status O, away = lines with status F.
+
+    Derived from the materialised fact (whose ``yellow`` / ``transfers_out``
+    count exactly those lines per supplier and order), so the raw tables are
+    not joined a second time.
+    """
+    return (fact(spark, sf_dir)
+            .groupBy("epoch", "step", F.col("side").alias("home_side"), F.col("other_side").alias("away_side"))
+            .agg(F.sum("yellow").alias("home_score"), F.sum("transfers_out").alias("away_score")))
 
 
 MATCHES_CTE = """mt AS (
