@@ -32,7 +32,9 @@ def _per_group(long: DataFrame, name: str, fit_one) -> DataFrame:
         try:
             fit_one(*g).write.mode("overwrite").parquet(f"{path}/grp={i}")   # one folder per group
             return None
-        except Exception:  # noqa: BLE001 -- retried below
+        except Exception as e:  # noqa: BLE001 -- retried below
+            import logging
+            logging.getLogger("stepwise").warning("group %s failed, will retry: %s", g, str(e)[-2000:])
             return ig
     with ThreadPoolExecutor(max_workers=FIT_THREADS) as ex:
         failed = [x for x in ex.map(run, enumerate(groups)) if x is not None]
