@@ -48,9 +48,8 @@ def keep_latest(df: DataFrame, key: Sequence[str], order_desc: Sequence[str],
 def dedupe_exact(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, Column]:
     """Exact-key dedupe keeping the first row in ``order``.
 
-    Returns the frame plus a ``dropped`` aggregate expression the caller can
-    ``observe`` -- the count rides along with the job instead of running a
-    second one.
+    Returns the marked frame (``_rn = 1`` is kept) plus a ``dropped``
+    aggregate expression for the caller's summary aggregate.
     """
     w = Window.partitionBy(*key).orderBy(*order)
     marked = df.withColumn("_rn", F.row_number().over(w))

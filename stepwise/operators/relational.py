@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,15 +29,15 @@ def bounded(df: DataFrame, max_rows: int, why: str) -> DataFrame:  # noqa: ARG00
 
 
 # JN1 -------------------------------------------------------------------------
-def bridge_join(df: DataFrame, bridge: DataFrame, on: Sequence[str], stable: str,
-                obs_name: str = "bridge") -> tuple[DataFrame, Observation]:
-    """Map a local id to the stable key; drop unmatched rows and count them
-    with an :class:`Observation` (no extra job)."""
-    obs = Observation(obs_name)
+def bridge_join(df: DataFrame, bridge: DataFrame, on: Sequence[str], stable: str) -> tuple[DataFrame, DataFrame]:
+    """Map a local id to the stable key; drop unmatched rows.
+
+    Also returns a lazy one-row ``(unmatched, rows)`` count of the same join
+    -- evaluated only if the caller asks for it, and free of session-level
+    observation state (which Spark ML task closures cannot serialise)."""
     joined = df.join(bridge, list(on), "left")
-    joined = joined.observe(obs, F.count_if(F.col(stable).isNull()).alias("unmatched"),
-                            F.count(F.lit(1)).alias("rows"))
-    return joined.where(F.col(stable).isNotNull()), obs
+    counts = joined.agg(F.count_if(F.col(stable).isNull()).alias("unmatched"), F.count(F.lit(1)).alias("rows"))
+    return joined.where(F.col(stable).isNotNull()), counts
 
 
 # JN3 -------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.scalars import bool_to_int, coerce_numeric, count_stat, derived_with_override, null_unless
@@ -62,7 +62,7 @@ def history(copies: DataFrame, entity: str, epoch: str, source: str, known: Data
 def fact_rows(raw: DataFrame, bridge: DataFrame, local_id: str, entity: str, counts: Sequence[str],
               manager_cols: Sequence[str], keys: Sequence[str], is_home: str = "was_home",
               opponent: str = "opponent_team", match: Sequence[str] = ("epoch", "step", "fixture"),
-              ) -> tuple[DataFrame, Observation]:
+              ) -> tuple[DataFrame, DataFrame]:
     """Local id -> stable key (unmatched counted and dropped), home flag
     normalised **before** it is used, own side derived from the opponents,
     counting stats coerced (null -> 0), manager columns nulled unless

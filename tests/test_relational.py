@@ -59,3 +59,12 @@ def test_buckets(spark):
     d = spark.createDataFrame([(None,), (3,), (12,), (20,)], "r int").select(
         S.rank_difficulty(F.col("r")).alias("d"), S.rank_bin(F.col("r")).alias("b")).collect()
     assert [(r["d"], r["b"]) for r in d] == [(None, "B"), (5, "A"), (3, "B"), (1, "C")]
+
+
+def test_bridge_join_counts_unmatched(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "lid int")
+    bridge = spark.createDataFrame([(1, 10), (3, 30)], "lid int, sk int")
+    out, counts = R.bridge_join(df, bridge, ["lid"], "sk")
+    assert sorted(r["sk"] for r in out.collect()) == [10, 30]
+    c = counts.first()
+    assert (c["unmatched"], c["rows"]) == (1, 3)
