@@ -17,11 +17,13 @@ suffixes around equal anchors.  An anchor stands for the short run of windows
     is left for step 3; all others occur once.
 3.  The bytes around the open anchors are fetched, and the same family, now
     over whole windows in byte order, tells exactly which windows occurred
-    before.
+    before.  A gram left open in very many surroundings (the edge of a passage
+    that a large part of the corpus shares) is split: its windows are sent one by
+    one, settled per slice first, to buckets of their own digests.
 4.  The removed windows are gathered per text and cut out.
 
 Runs are compared by a 64-bit gram hash and a 64-bit hash of the surroundings,
-windows in step 3 byte by byte.
+windows in step 3 byte by byte, those of split grams by 128-bit digests.
 
 Defined results: texts are bytes of UTF-8, a null text is empty; a text shorter
 than ``length`` keeps everything; a string is removed where it starts later than
@@ -39,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from stepwise.llm.chunks import span_index
 from stepwise.llm.common import slices
@@ -49,6 +52,8 @@ GRAM = 32
 SLICE, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Entries and windows of one batch of the family.
 BATCH_ENTRIES, BATCH_WINDOWS = 1 << 17, 1 << 18
+#: A gram open in more runs than this is split into single windows.
+SPLIT_RUNS = 1000
 _NULL_ID = -(1 << 63)
 _BYTE = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ENTRIES = "bucket int, docs binary, keys binary, doc binary, start binary, width binary"
@@ -233,6 +238,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     fine = 4 * buckets
+    split_runs = SPLIT_RUNS
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, h, data, starts, offset in _pieces(batches, length):
@@ -274,6 +280,8 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         several = count[np.searchsorted(found, gram)] > 1 if len(gram) else np.zeros(0, bool)
         open_ = ~seen & several
         open_in = np.where(open_, (gram % np.uint64(fine)).astype(np.int64), -1)
+        which, runs = np.unique(gram[open_], return_counts=True)
+        open_in[open_ & np.isin(gram, which[runs > split_runs])] = fine
         out = seen | open_
         return pa.concat_tables([_found(ids[out], start[out], width[out], open_in[out]), _found(d0, s0, w0, np.full(len(s0), -1))])
 
@@ -282,32 +290,54 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     found = write_and_reload(entries.groupBy(own.alias("own")).applyInArrow(index_entries, _FOUND), "repeats")
 
     def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kinds = [pa.int32()] + [pa.binary()] * 5
+        for b in slices(batches, "data", SLICE):
             cols: list[list] = [[], [], [], [], [], []]
+            split: list[tuple[int, int, int, bytes]] = []
             for k, h, raw, runs in zip(b.column("k").to_pylist(), b.column("h").to_pylist(), b.column("data"), b.column("runs").to_pylist()):
                 data = raw.as_buffer()
-                for bucket in {r["open_in"] for r in runs}:
-                    some = [r for r in runs if r["open_in"] == bucket]
-                    start, width = np.array([r["start"] for r in some]), np.array([r["width"] for r in some])
-                    around = b"".join([data[s:s + w + length - 1].to_pybytes() for s, w in zip(start.tolist(), width.tolist())])
+                by_bucket: dict[int, list[tuple[int, int]]] = {}
+                for r in runs:
+                    by_bucket.setdefault(r["open_in"], []).append((r["start"], r["width"]))
+                for bucket, some in by_bucket.items():
+                    if bucket == fine:
+                        split += [(k, i, h, xxh3_128_digest(data[i:i + length])) for s, w in some for i in range(s, s + w)]
+                        continue
+                    start, width = np.array([s for s, _ in some]), np.array([w for _, w in some])
+                    around = b"".join([data[s:s + w + length - 1].to_pybytes() for s, w in some])
                     for c, v in zip(cols, (bucket, np.array([k, h], np.int64).tobytes(), around, np.zeros(len(some), np.int32).tobytes(),
                                            start.tobytes(), width.astype(np.uint8).tobytes())):
                         c.append(v)
-            kinds = [pa.int32()] + [pa.binary()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "docs", "keys", "doc", "start", "width"])
+            if split:
+                split.sort(key=lambda x: x[:2])
+                k, start, h = (np.array([x[i] for x in split], np.int64) for i in range(3))
+                keys = np.frombuffer(b"".join([x[3] for x in split]), "S16")
+                seen = IndexFamily().add(keys, _dense(k, start))
+                home = (keys.view("<u8")[::2] % np.uint64(fine)).astype(np.int64)
+                ids, one = np.stack([k, h], 1), np.ones(len(k), np.int64)
+                for part, bucket, key in ((~seen, fine + home[~seen], keys[~seen]), (seen, -1 - fine - np.abs(h[seen] % fine), keys[:0])):
+                    rows = _rows(bucket, ids, key, np.flatnonzero(part), start[part], one[part])
+                    if rows is not None:
+                        yield rows
 
     def index_windows(table: pa.Table) -> pa.Table:
+        table, done = _settled(table)
+        d0, s0, w0, _ = _unpack(done)
+        out: list[pa.Table] = [_found(d0, s0, w0, np.full(len(s0), -1))]
         ids, start, width, data = _unpack(table)
-        at = np.cumsum(width + length - 1) - (width + length - 1)
+        singles = table.num_rows and table.column("bucket")[0].as_py() >= fine  # a bucket of split grams
+        size = np.full(len(width), 16) if singles else width + length - 1
+        at = np.cumsum(size) - size
         by = np.lexsort((start, ids[:, 0]))
         ids, start, width, at = ids[by], start[by], width[by], at[by]
         rank = _dense(ids[:, 0], start) if len(by) else start
         family = IndexFamily()
-        out: list[pa.Table] = [_found(ids[:0], start[:0], width[:0], start[:0])]
         # runs of one text are apart, so (run, window) is the corpus order
         for s, e in _batch_ends(rank, width, BATCH_WINDOWS):
             window = span_index(at[s:e], width[s:e])
-            keys = data[window[:, None] + np.arange(length)].view(f"S{length}").ravel()
+            long = 16 if singles else length
+            keys = data[window[:, None] + np.arange(long)].view(f"S{long}").ravel()
             run = np.repeat(np.arange(s, e), width[s:e])
             begin = start[run] + window - at[run]
             seen = family.add(keys, rank[run] * 256 + (begin - start[run]))
@@ -322,7 +352,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     opened = (found.where("open_in >= 0").groupBy("k", "h")
               .agg(F.collect_list(F.struct("start", "width", "open_in")).alias("runs")))  # bounded by the text
     late = docs.join(opened, ["k", "h"]).select("k", "h", "data", "runs")
-    late = late.mapInArrow(list_windows, _ENTRIES).groupBy("bucket").applyInArrow(index_windows, _FOUND)
+    late = late.mapInArrow(list_windows, _ENTRIES).groupBy(own.alias("own")).applyInArrow(index_windows, _FOUND)
     return found.where("open_in < 0").select("k", "h", "start", "width").union(late.select("k", "h", "start", "width"))
 
 
