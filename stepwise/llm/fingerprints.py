@@ -124,17 +124,15 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and the exchange of the texts by key serves lending and borrowing."""
     low = -(1 << 63)  # a null id comes last
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = df.select(F.col(id_col).alias("id"), text.alias("text"))
-    docs = (src.withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(low))).withColumn("h", F.xxhash64("text"))
-            .withColumn("n_chars", F.char_length("text").cast("long")).withColumn("fp", fingerprint(F.col("text"))))
-    keys = src.select(F.coalesce(F.col("id").cast("long"), F.lit(low)).alias("k"), F.xxhash64("text").alias("h"),
-                      F.char_length("text").cast("long").alias("n")).distinct()
-    ring = neighbours(keys, [F.col("k").desc(), F.col("h").asc()], ["k", "h"])
+    src = df.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("k")).withColumn("h", F.xxhash64("text"))
+    ring = neighbours(src.select("k", "h", F.char_length("text").cast("long").alias("n")).distinct(), [F.col("k").desc(), F.col("h").asc()], ["k", "h"])
     lends = ring.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"),
                         F.floor(F.col("n") / 3).cast("int").alias("need"))
-    lent = (docs.join(lends, ["k", "h"]).select("to_k", "to_h", F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("fp").alias("next_fp"))
+    # both uses read the same columns, so one exchange of the texts serves them
+    lent = (src.join(lends, ["k", "h"])
+            .select("to_k", "to_h", F.substring("text", F.lit(1), F.col("need")).alias("head"), fingerprint(F.col("text")).alias("next_fp"))
             .groupBy("to_k", "to_h").agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp")))
-    both = docs.join(lent, (docs.k == lent.to_k) & (docs.h == lent.to_h))
+    both = src.join(lent, (src.k == lent.to_k) & (src.h == lent.to_h)).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.col("n_chars").cast("int") - F.floor(F.col("n_chars") / 3).cast("int")
-    return both.select("id", "text", "n_chars", F.col("fp").alias("fingerprint"),
+    return both.select(F.when(F.col("k") != low, F.col("k")).alias("id"), "text", "n_chars", fingerprint(F.col("text")).alias("fingerprint"),
                        F.concat(F.substring("text", F.lit(1), cut), F.col("head")).alias("edited"), "next_fp")
