@@ -150,8 +150,9 @@ def _links(keys: np.ndarray, fp: np.ndarray, subsets: list[tuple[int, ...]], bit
 
 
 def link_fingerprints(fps: DataFrame, fp_col: str = "fp", bits: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints at ``bits`` or fewer differing
-    bits, enough of them to connect every component."""
+    """(a, b): spanning links between distinct fingerprints.  Each joins a member of a
+    list to the smallest one that verified pairs of that list (``bits`` or fewer
+    differing bits) lead to; together they connect exactly what the pairs connect."""
     if not 1 <= bits <= 3:
         raise ValueError("bits must be 1 to 3: the index keeps the 8 - bits positions that must agree, three free bytes at most")
     shared = 8 - bits
