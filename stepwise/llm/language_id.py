@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from stepwise.llm.common import share, slices, worker_cache
 
+#: Bytes of text counted or scored at a time; numpy needs about 150 times as much for a moment.
+SLICE = 1 << 20
 #: The broadcast matrix holds buckets x languages floats; more languages than this is refused.
 MAX_LANGUAGES = 512
 
@@ -89,7 +91,7 @@ def train(df: DataFrame, text: Column, lang: Column, buckets: int = 1 << 15, ord
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", SLICE):
             texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist(), object)
             names, code = np.unique(langs.astype(str), return_inverse=True)
             bucket, row = ngram_buckets(texts, buckets, orders)
@@ -148,7 +150,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text", 4 << 20):
+        for b in slices(batches, "_text", SLICE):
             pred, conf = score(shared(), b.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(conf)], [*keep, "lang_pred", "score"])
 

@@ -49,7 +49,7 @@ from stepwise.session import write_and_reload
 
 GRAM = 32
 #: Bytes of text that a task handles at a time, and that one bucket of the index stands for.
-SLICE, BUCKET_BYTES = 4 << 20, 16 << 20
+SLICE, BUCKET_BYTES = 2 << 20, 16 << 20
 #: Entries and windows of one batch of the family.
 BATCH_ENTRIES, BATCH_WINDOWS = 1 << 17, 1 << 18
 #: A gram open in more runs than this is split into single windows.
@@ -337,7 +337,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for s, e in _batch_ends(rank, width, BATCH_WINDOWS):
             window = span_index(at[s:e], width[s:e])
             long = 16 if singles else length
-            keys = data[window[:, None] + np.arange(long)].view(f"S{long}").ravel()
+            keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, long)[window]).view(f"S{long}").ravel()
             run = np.repeat(np.arange(s, e), width[s:e])
             begin = start[run] + window - at[run]
             seen = family.add(keys, rank[run] * 256 + (begin - start[run]))
