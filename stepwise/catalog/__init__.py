@@ -52,5 +52,5 @@ __all__ = ["REGISTRY", "register", "with_ctes", "Entry", "EVENTS_CTE", "ORDERS_C
 def load_all() -> dict[str, Entry]:
     # import for side effects (registration)
     from stepwise.catalog import (  # noqa: F401
-        win_q, agg_q, rel_q, dq_q, tpl_q, eda_q, view_q, stat_q, model_q, src_q, stream_q)
+        win_q, agg_q, rel_q, dq_q, tpl_q, eda_q, view_q, model_q, src_q, stream_q)
     return REGISTRY

@@ -62,13 +62,21 @@ def q_pl1(spark, sf):
 from stepwise.operators import models as M  # noqa: E402
 from stepwise.operators import stats as ST  # noqa: E402
 
-VAL_EPOCH = 2000
+#: The validation epoch is the newest one of the feature matrix, in SQL and in Spark.
+VAL_SQL = "(SELECT max(epoch) FROM fm)"
+
+
+def val_epoch(fm):
+    return fm.agg(F.max("epoch")).first()[0]
+
+
 FM_SQL = (FACT_CTE, MATCHES_CTE, FM_CTE)
 
 
 def _fm_split(spark, sf):
     fm = feature_matrix(spark, sf)
-    return fm.where(F.col("epoch") < VAL_EPOCH), fm.where(F.col("epoch") == VAL_EPOCH)
+    last = val_epoch(fm)
+    return fm.where(F.col("epoch") < last), fm.where(F.col("epoch") == last)
 
 
 def _baseline_pred(spark, sf):
@@ -79,8 +87,8 @@ def _baseline_pred(spark, sf):
     return M.rolling_baseline(v, "points_roll5", F.col("_tm")).drop("_tm")
 
 
-BASE_PRED_CTE = f"""tm AS (SELECT segment, avg(points) AS m FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY segment),
-bp AS (SELECT fm.*, coalesce(points_roll5, tm.m) AS pred FROM fm LEFT JOIN tm USING (segment) WHERE epoch = {VAL_EPOCH})"""
+BASE_PRED_CTE = f"""tm AS (SELECT segment, avg(points) AS m FROM fm WHERE epoch < {VAL_SQL} GROUP BY segment),
+bp AS (SELECT fm.*, coalesce(points_roll5, tm.m) AS pred FROM fm LEFT JOIN tm USING (segment) WHERE epoch = {VAL_SQL})"""
 
 
 @register("cv_expanding_folds", with_ctes("""
@@ -209,22 +217,22 @@ def _build_model_preds(spark, sf):
     return b.unionByName(v).unionByName(d)
 
 
-PREDS_CTE = f"""vm AS (SELECT segment, is_home, avg(points) AS m FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY ALL),
-gm AS (SELECT segment, avg(points) AS g FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY ALL),
+PREDS_CTE = f"""vm AS (SELECT segment, is_home, avg(points) AS m FROM fm WHERE epoch < {VAL_SQL} GROUP BY ALL),
+gm AS (SELECT segment, avg(points) AS g FROM fm WHERE epoch < {VAL_SQL} GROUP BY ALL),
 mb AS (SELECT segment, CASE WHEN coalesce(opp_rank, 10) <= 6 THEN 'A' WHEN coalesce(opp_rank, 10) <= 14 THEN 'B' ELSE 'C' END AS bin,
-         avg(points) / nullif(avg(coalesce(points_roll5, 0.0)), 0.0) AS m FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY ALL),
+         avg(points) / nullif(avg(coalesce(points_roll5, 0.0)), 0.0) AS m FROM fm WHERE epoch < {VAL_SQL} GROUP BY ALL),
 preds AS (
   SELECT 'rolling' AS model, segment, entity, epoch, step, fixture, points, opp_rank, is_home, pred FROM bp
   UNION ALL
   SELECT 'venue_mean', f.segment, entity, epoch, step, fixture, points, opp_rank, f.is_home, coalesce(vm.m, gm.g)
   FROM fm f LEFT JOIN vm ON f.segment = vm.segment AND f.is_home = vm.is_home LEFT JOIN gm ON f.segment = gm.segment
-  WHERE epoch = {VAL_EPOCH}
+  WHERE epoch = {VAL_SQL}
   UNION ALL
   SELECT 'difficulty', f.segment, entity, epoch, step, fixture, points, opp_rank, is_home,
          coalesce(points_roll5, 0.0) * coalesce(CASE WHEN mb.m > 0 THEN mb.m ELSE 1.0 END, 1.0)
   FROM fm f LEFT JOIN mb ON f.segment = mb.segment
     AND mb.bin = CASE WHEN coalesce(opp_rank, 10) <= 6 THEN 'A' WHEN coalesce(opp_rank, 10) <= 14 THEN 'B' ELSE 'C' END
-  WHERE epoch = {VAL_EPOCH})"""
+  WHERE epoch = {VAL_SQL})"""
 
 
 @register("ml_baseline_predictions", with_ctes("""
@@ -273,32 +281,32 @@ def q_st15(spark, sf):
 
 
 @register("ml_impute_stratified", with_ctes(f"""
-em AS (SELECT epoch, avg(points_roll3) AS e1, avg(opp_ga_prior_rate) AS e2 FROM fm WHERE epoch < {VAL_EPOCH} GROUP BY epoch),
-gmn AS (SELECT avg(points_roll3) AS g1, avg(opp_ga_prior_rate) AS g2 FROM fm WHERE epoch < {VAL_EPOCH})
+em AS (SELECT epoch, avg(points_roll3) AS e1, avg(opp_ga_prior_rate) AS e2 FROM fm WHERE epoch < {VAL_SQL} GROUP BY epoch),
+gmn AS (SELECT avg(points_roll3) AS g1, avg(opp_ga_prior_rate) AS g2 FROM fm WHERE epoch < {VAL_SQL})
 SELECT entity, fixture, epoch, coalesce(points_roll3, em.e1, gmn.g1, 0.0) AS points_roll3,
        coalesce(opp_ga_prior_rate, em.e2, gmn.g2, 0.0) AS opp_ga_prior_rate
 FROM fm LEFT JOIN em USING (epoch), gmn""", *FM_SQL).replace("\nem AS (", "\n, em AS (", 1), ids=("ML1",))
 def q_ml1(spark, sf):
     fm = feature_matrix(spark, sf)
     feats = ["points_roll3", "opp_ga_prior_rate"]
-    means = M.impute_fit(fm.where(F.col("epoch") < VAL_EPOCH), "epoch", feats)
+    means = M.impute_fit(fm.where(F.col("epoch") < val_epoch(fm)), "epoch", feats)
     return M.impute_apply(fm.select("entity", "fixture", "epoch", *feats), means, "epoch", feats)
 
 
 @register("ml_ridge_one_feature", with_ctes(f"""
 s AS (SELECT segment, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(points) AS my FROM
-      (SELECT segment, coalesce(points_roll5, 0.0) AS x, points FROM fm WHERE epoch < {VAL_EPOCH}) t GROUP BY segment),
+      (SELECT segment, coalesce(points_roll5, 0.0) AS x, points FROM fm WHERE epoch < {VAL_SQL}) t GROUP BY segment),
 b AS (SELECT t.segment, sum(((x - mx) / CASE WHEN sx = 0 THEN 1 ELSE sx END) * (points - my)) / (any_value(n) + 10.0) AS beta
-      FROM (SELECT segment, coalesce(points_roll5, 0.0) AS x, points FROM fm WHERE epoch < {VAL_EPOCH}) t JOIN s USING (segment)
+      FROM (SELECT segment, coalesce(points_roll5, 0.0) AS x, points FROM fm WHERE epoch < {VAL_SQL}) t JOIN s USING (segment)
       GROUP BY t.segment)
 SELECT f.segment, entity, fixture,
        my + beta * (coalesce(points_roll5, 0.0) - mx) / CASE WHEN sx = 0 THEN 1 ELSE sx END AS pred
-FROM fm f JOIN s USING (segment) JOIN b USING (segment) WHERE epoch = {VAL_EPOCH}""", *FM_SQL)
+FROM fm f JOIN s USING (segment) JOIN b USING (segment) WHERE epoch = {VAL_SQL}""", *FM_SQL)
     .replace("\ns AS (", "\n, s AS (", 1), ids=("ML3", "ML2", "CV2"))
 def q_ml3_one(spark, sf):
     fm = feature_matrix(spark, sf).withColumn("x", F.coalesce("points_roll5", F.lit(0.0)))
-    coefs = M.fit_linear(fm.where(F.col("epoch") < VAL_EPOCH), ["segment"], ["x"], "points", [10.0])
-    out = M.linear_predict(fm.where(F.col("epoch") == VAL_EPOCH), coefs, ["segment"], ["x"])
+    coefs = M.fit_linear(fm.where(F.col("epoch") < val_epoch(fm)), ["segment"], ["x"], "points", [10.0])
+    out = M.linear_predict(fm.where(F.col("epoch") == val_epoch(fm)), coefs, ["segment"], ["x"])
     return out.select("segment", "entity", "fixture", "pred")
 
 
@@ -420,8 +428,8 @@ def q_ml19(spark, sf):
 def q_ml20(spark, sf):
     from stepwise.plans.slices import select_slice
     fm = feature_matrix(spark, sf)
-    train = fm.where(F.col("epoch") < VAL_EPOCH)
-    sl = select_slice(fm, "epoch", "step", VAL_EPOCH)
+    train = fm.where(F.col("epoch") < val_epoch(fm))
+    sl = select_slice(fm, "epoch", "step", val_epoch(fm))
     means = M.impute_fit_grouped(train, ["segment"], "epoch", RIDGE_FEATS)
     imp_tr = M.impute_apply(train, means, "epoch", RIDGE_FEATS, by=["segment"])
     imp_sl = M.impute_apply(sl, means, "epoch", RIDGE_FEATS, by=["segment"])
@@ -441,18 +449,18 @@ def q_ml20(spark, sf):
 @register("ml_cold_start", with_ctes(f"""
 pe AS (SELECT entity, epoch + 1 AS epoch, avg(points) AS prev_mean FROM fm GROUP BY entity, epoch),
 fs AS (SELECT entity, epoch, min(step) AS first_step FROM fm GROUP BY ALL),
-g AS (SELECT avg(points) AS gm FROM fm WHERE epoch < {VAL_EPOCH})
+g AS (SELECT avg(points) AS gm FROM fm WHERE epoch < {VAL_SQL})
 SELECT entity, fixture, step,
   CASE WHEN step = first_step THEN coalesce(prev_mean, points_roll5, gm) ELSE coalesce(points_roll5, gm) END AS pred
-FROM fm LEFT JOIN pe USING (entity, epoch) JOIN fs USING (entity, epoch), g WHERE epoch = {VAL_EPOCH}""",
+FROM fm LEFT JOIN pe USING (entity, epoch) JOIN fs USING (entity, epoch), g WHERE epoch = {VAL_SQL}""",
     *FM_SQL).replace("\npe AS (", "\n, pe AS (", 1), ids=("ML11", "JN14"))
 def q_ml11(spark, sf):
     from stepwise.operators.relational import prior_epoch
     fm = feature_matrix(spark, sf)
     stats = fm.groupBy("entity", "epoch").agg(F.avg("points").alias("prev_mean"))
     first = fm.groupBy("entity", "epoch").agg(F.min("step").alias("first_step"))
-    gm = fm.where(F.col("epoch") < VAL_EPOCH).groupBy().agg(F.avg("points").alias("gm"))
-    v = (prior_epoch(fm.where(F.col("epoch") == VAL_EPOCH), stats, "entity", "epoch", ["prev_mean"], "{c}")
+    gm = fm.where(F.col("epoch") < val_epoch(fm)).groupBy().agg(F.avg("points").alias("gm"))
+    v = (prior_epoch(fm.where(F.col("epoch") == val_epoch(fm)), stats, "entity", "epoch", ["prev_mean"], "{c}")
          .join(first, ["entity", "epoch"])
          .withColumn("_k", F.lit(0)).join(F.broadcast(gm.withColumn("_k", F.lit(0))), "_k").drop("_k"))
     out = M.cold_start_baseline(v, "prev_mean", "points_roll5", F.col("gm"), F.col("step") == F.col("first_step"))

@@ -68,7 +68,7 @@ def q_t6(spark, sf):
 @register("tpl07_xg_leaders_per90", with_ctes(f"""
 SELECT entity, sum(xg) AS total, CAST(sum(minutes) AS BIGINT) AS minutes, arg_max(side, {LATEST}) AS side,
        sum(xg) / nullif(sum(minutes) / 90.0, 0) AS value
-FROM fact WHERE epoch = 2000 GROUP BY entity ORDER BY value DESC NULLS LAST, entity LIMIT 10""", FACT_CTE),
+FROM fact WHERE epoch = 2000 AND minutes > 0 GROUP BY entity ORDER BY value DESC NULLS LAST, entity LIMIT 10""", FACT_CTE),
     ids=("T7", "PRJ12"))
 def q_t7(spark, sf):
     return T.xg_leaders(_f(spark, sf), 2000, 10, "xg", per_90=True)
@@ -88,7 +88,7 @@ def q_t8(spark, sf):
 SELECT entity, count(*) FILTER (WHERE minutes > 0) AS apps, CAST(sum(minutes) AS BIGINT) AS minutes,
        CAST(sum(points) AS BIGINT) AS points,
        sum(points) / nullif(count(*) FILTER (WHERE minutes > 0), 0) AS points_per_app
-FROM fact WHERE epoch = 1998 AND segment = 'ASIA' GROUP BY entity HAVING apps >= 60
+FROM fact WHERE epoch = 1998 AND segment = 'ASIA' AND minutes > 0 GROUP BY entity HAVING apps >= 60
 ORDER BY minutes DESC, entity LIMIT 10""", FACT_CTE), ids=("T9", "AGG5"))
 def q_t9(spark, sf):
     return T.reliable_starters(_f(spark, sf), 1998, 60, 10, "ASIA")
@@ -115,16 +115,16 @@ def q_t11(spark, sf):
 @register("tpl12_bonus_leaders", with_ctes(f"""
 SELECT entity, CAST(sum(bonus) AS BIGINT) AS bonus, CAST(sum(points) AS BIGINT) AS points,
        arg_max(side, {LATEST}) AS side, 100.0 * sum(bonus) / nullif(sum(points), 0) AS bonus_pct
-FROM fact WHERE epoch = 1999 GROUP BY entity ORDER BY bonus DESC, entity LIMIT 10""", FACT_CTE), ids=("T12",))
+FROM fact WHERE epoch = 1999 AND minutes > 0 GROUP BY entity ORDER BY bonus DESC, entity LIMIT 10""", FACT_CTE), ids=("T12",))
 def q_t12(spark, sf):
     return T.bonus_leaders(_f(spark, sf), 1999, 10)
 
 
 @register("tpl13_haul_hunters", with_ctes(f"""
 SELECT entity, count(*) FILTER (WHERE points >= 45) AS hauls, count(*) FILTER (WHERE minutes > 0) AS apps,
-       max(points) AS best, arg_max(side, {LATEST}) AS side,
+       max(points) AS best, avg(points) FILTER (WHERE minutes > 0) AS mean_points, arg_max(side, {LATEST}) AS side,
        count(*) FILTER (WHERE points >= 45) / nullif(count(*) FILTER (WHERE minutes > 0), 0) AS haul_rate
-FROM fact GROUP BY entity HAVING hauls >= 5 ORDER BY hauls DESC, entity LIMIT 10""", FACT_CTE), ids=("T13",))
+FROM fact GROUP BY entity HAVING apps >= 5 ORDER BY hauls DESC, mean_points DESC, entity LIMIT 10""", FACT_CTE), ids=("T13",))
 def q_t13(spark, sf):
     return T.haul_hunters(_f(spark, sf), 45, 10)
 
@@ -132,16 +132,16 @@ def q_t13(spark, sf):
 @register("tpl14_current_form", with_ctes("""
 SELECT entity, CAST(sum(points) AS BIGINT) AS form_points, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) AS rows
 FROM fact WHERE epoch = 2000 AND step > (SELECT max(step) FROM fact WHERE epoch = 2000) - 3
-GROUP BY entity HAVING minutes >= 100 ORDER BY form_points DESC, entity LIMIT 10""", FACT_CTE),
+AND minutes >= 45 GROUP BY entity ORDER BY form_points DESC, entity LIMIT 10""", FACT_CTE),
     ids=("T14", "JN9"))
 def q_t14(spark, sf):
-    return T.current_form(_f(spark, sf), 2000, 3, 100, 10)
+    return T.current_form(_f(spark, sf), 2000, 3, 45, 10)
 
 
 @register("tpl15_venue_splits", with_ctes("""
 SELECT epoch, CASE WHEN is_home = 1 THEN 'Home' ELSE 'Away' END AS venue, count(*) AS rows,
        avg(points) AS mean_points, CAST(sum(goals) AS BIGINT) AS goals
-FROM fact WHERE entity = 11 GROUP BY ALL""", FACT_CTE), ids=("T15", "PRJ11"))
+FROM fact WHERE entity = 11 AND minutes > 0 GROUP BY ALL""", FACT_CTE), ids=("T15", "PRJ11"))
 def q_t15(spark, sf):
     return T.venue_splits(_f(spark, sf), 11, by_epoch=True)
 
@@ -149,7 +149,7 @@ def q_t15(spark, sf):
 @register("tpl16_attacking_returns", with_ctes("""
 SELECT entity, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists,
        count(*) FILTER (WHERE minutes > 0) AS apps, CAST(sum(goals) + sum(assists) AS BIGINT) AS returns
-FROM fact WHERE epoch = 1997 GROUP BY entity HAVING apps >= 50 ORDER BY returns DESC, entity LIMIT 10""",
+FROM fact WHERE epoch = 1997 AND minutes > 0 GROUP BY entity HAVING apps >= 50 ORDER BY returns DESC, entity LIMIT 10""",
     FACT_CTE), ids=("T16",))
 def q_t16(spark, sf):
     return T.attacking_returns(_f(spark, sf), 1997, "returns", 50, 10)
@@ -164,12 +164,12 @@ def q_t17(spark, sf):
 
 @register("tpl18_keeper_stats", with_ctes("""
 SELECT entity, CAST(sum(saves) AS BIGINT) AS saves, CAST(sum(minutes) AS BIGINT) AS minutes,
-       count(*) FILTER (WHERE minutes > 0) AS apps, CAST(floor(sum(saves) / 3) AS BIGINT) AS save_points,
+       count(*) FILTER (WHERE minutes > 0) AS apps, CAST(round(sum(saves) / 3) AS BIGINT) AS save_points,
        sum(saves) / nullif(sum(minutes) / 90.0, 0) AS saves_per_90
-FROM fact WHERE epoch = 1999 AND segment = 'MIDDLE EAST' GROUP BY entity HAVING apps >= 30
+FROM fact WHERE epoch = 1999 AND segment = 'MIDDLE EAST' AND minutes >= 60 GROUP BY entity HAVING apps >= 10
 ORDER BY saves_per_90 DESC NULLS LAST, entity LIMIT 10""", FACT_CTE), ids=("T18",))
 def q_t18(spark, sf):
-    return T.keeper_stats(_f(spark, sf), 1999, "MIDDLE EAST", "saves_per_90", 30, 10)
+    return T.keeper_stats(_f(spark, sf), 1999, "MIDDLE EAST", "saves_per_90", 10, 10)
 
 
 @register("tpl19_suspension_risk", with_ctes("""
@@ -177,6 +177,6 @@ SELECT entity, CAST(sum(yellow) AS BIGINT) AS yellow, CAST(sum(red) AS BIGINT) A
        count(*) FILTER (WHERE minutes > 0) AS apps,
        (sum(yellow) + sum(red)) / nullif(count(*) FILTER (WHERE minutes > 0), 0) AS cards_per_app,
        sum(yellow) >= 5 AS at_risk
-FROM fact WHERE epoch = 2001 GROUP BY entity ORDER BY yellow DESC, entity LIMIT 10""", FACT_CTE), ids=("T19",))
+FROM fact WHERE epoch = 2001 AND minutes > 0 GROUP BY entity ORDER BY yellow DESC, red DESC, entity LIMIT 10""", FACT_CTE), ids=("T19",))
 def q_t19(spark, sf):
     return T.suspension_risk(_f(spark, sf), 2001, 10)

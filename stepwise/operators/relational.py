@@ -63,14 +63,14 @@ def orphans(child: DataFrame, parent: DataFrame, child_keys: Sequence[str],
             parent_keys: Sequence[str] | None = None, not_in: bool = False) -> DataFrame:
     """Child rows whose key is absent from the parent (``NOT EXISTS``).
 
-    ``not_in=True`` follows the ``NOT IN`` form: null child keys are dropped
-    first (they can never be reported by ``NOT IN``).
+    ``not_in=True`` follows the ``NOT IN`` form: rows with a null in any child
+    key are dropped first (they can never be reported by ``NOT IN``).
     """
     parent_keys = list(parent_keys or child_keys)
     p = parent.select(*[F.col(pk).alias(ck) for pk, ck in zip(parent_keys, child_keys)]).distinct()
     c = child
     if not_in:
-        c = c.where(F.coalesce(*[F.col(k).isNotNull() for k in child_keys]))
+        c = c.dropna(subset=list(child_keys))
     return c.join(p, list(child_keys), "left_anti")
 
 

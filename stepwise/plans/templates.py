@@ -95,7 +95,7 @@ def head_to_head(fact: DataFrame, a: int, b: int) -> DataFrame:
 def xg_leaders(fact: DataFrame, epoch: int, n: int, metric: str = "xg", per_90: bool = False,
                segment: str | None = None) -> DataFrame:
     m = _check(metric, ["xg", "goals", "assists"])
-    f = fact.where(all_of([F.col("epoch") == epoch, (F.col("segment") == segment) if segment else None]))
+    f = fact.where(all_of([F.col("epoch") == epoch, F.col("minutes") > 0, (F.col("segment") == segment) if segment else None]))
     g = f.groupBy("entity").agg(F.sum(m).alias("total"), F.sum("minutes").alias("minutes"), _latest("side"))
     val = per90(F.col("total"), F.col("minutes")) if per_90 else F.col("total").cast("double")
     return g.withColumn("value", val).orderBy(F.col("value").desc_nulls_last(), "entity").limit(n)
@@ -116,7 +116,7 @@ def price_movers(fact: DataFrame, epoch: int, n: int, direction: str = "both") -
 
 # T9
 def reliable_starters(fact: DataFrame, epoch: int, min_apps: int, n: int, segment: str | None = None) -> DataFrame:
-    f = fact.where(all_of([F.col("epoch") == epoch, (F.col("segment") == segment) if segment else None]))
+    f = fact.where(all_of([F.col("epoch") == epoch, F.col("minutes") > 0, (F.col("segment") == segment) if segment else None]))
     g = (f.groupBy("entity").agg(_apps(), F.sum("minutes").alias("minutes"), F.sum("points").alias("points"))
           .where(F.col("apps") >= min_apps)
           .withColumn("points_per_app", F.col("points") / F.nullif(F.col("apps"), F.lit(0))))
@@ -144,7 +144,7 @@ def defensive_record(fact: DataFrame, epoch: int, segment: str, min_minutes: int
 
 # T12
 def bonus_leaders(fact: DataFrame, epoch: int, n: int, segment: str | None = None) -> DataFrame:
-    f = fact.where(all_of([F.col("epoch") == epoch, (F.col("segment") == segment) if segment else None]))
+    f = fact.where(all_of([F.col("epoch") == epoch, F.col("minutes") > 0, (F.col("segment") == segment) if segment else None]))
     g = (f.groupBy("entity").agg(F.sum("bonus").alias("bonus"), F.sum("points").alias("points"), _latest("side"))
           .withColumn("bonus_pct", F.lit(100.0) * F.col("bonus") / F.nullif(F.col("points"), F.lit(0))))
     return g.orderBy(F.col("bonus").desc(), "entity").limit(n)
@@ -152,28 +152,27 @@ def bonus_leaders(fact: DataFrame, epoch: int, n: int, segment: str | None = Non
 
 # T13
 def haul_hunters(fact: DataFrame, threshold: int, n: int, epoch: int | None = None,
-                 min_hauls: int = 5) -> DataFrame:
+                 min_apps: int = 5) -> DataFrame:
     f = fact.where(F.col("epoch") == epoch) if epoch is not None else fact
     g = (f.groupBy("entity")
           .agg(F.count_if(F.col("points") >= threshold).alias("hauls"), _apps(),
-               F.max("points").alias("best"), _latest("side"))
-          .where(F.col("hauls") >= min_hauls)
+               F.max("points").alias("best"), F.avg(F.when(F.col("minutes") > 0, F.col("points"))).alias("mean_points"), _latest("side"))
+          .where(F.col("apps") >= min_apps)
           .withColumn("haul_rate", F.col("hauls") / F.nullif(F.col("apps"), F.lit(0))))
-    return g.orderBy(F.col("hauls").desc(), "entity").limit(n)
+    return g.orderBy(F.col("hauls").desc(), F.col("mean_points").desc(), "entity").limit(n)
 
 
 # T14
 def current_form(fact: DataFrame, epoch: int, last_n: int, min_minutes: int, n: int) -> DataFrame:
-    f = last_n_steps(fact.where(F.col("epoch") == epoch), "step", last_n)
-    g = (f.groupBy("entity").agg(F.sum("points").alias("form_points"), F.sum("minutes").alias("minutes"),
-                                 F.count(F.lit(1)).alias("rows"))
-          .where(F.col("minutes") >= min_minutes))
+    f = last_n_steps(fact.where(F.col("epoch") == epoch), "step", last_n).where(F.col("minutes") >= min_minutes)
+    g = f.groupBy("entity").agg(F.sum("points").alias("form_points"), F.sum("minutes").alias("minutes"),
+                                F.count(F.lit(1)).alias("rows"))
     return g.orderBy(F.col("form_points").desc(), "entity").limit(n)
 
 
 # T15
 def venue_splits(fact: DataFrame, entity: int, by_epoch: bool = False) -> DataFrame:
-    f = fact.where(F.col("entity") == entity).withColumn("venue", venue_label(F.col("is_home")))
+    f = fact.where((F.col("entity") == entity) & (F.col("minutes") > 0)).withColumn("venue", venue_label(F.col("is_home")))
     keys = ["epoch", "venue"] if by_epoch else ["venue"]
     return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.avg("points").alias("mean_points"),
                                 F.sum("goals").alias("goals"))
@@ -182,7 +181,7 @@ def venue_splits(fact: DataFrame, entity: int, by_epoch: bool = False) -> DataFr
 # T16
 def attacking_returns(fact: DataFrame, epoch: int, sort: str, min_apps: int, n: int) -> DataFrame:
     col = _check(sort, ["returns", "goals", "assists"])
-    g = (fact.where(F.col("epoch") == epoch).groupBy("entity")
+    g = (fact.where((F.col("epoch") == epoch) & (F.col("minutes") > 0)).groupBy("entity")
              .agg(F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), _apps())
              .withColumn("returns", F.col("goals") + F.col("assists"))
              .where(F.col("apps") >= min_apps))
@@ -200,20 +199,20 @@ def double_steps(fact: DataFrame, epoch: int, step: int | None = None) -> DataFr
 
 
 # T18
-def keeper_stats(fact: DataFrame, epoch: int, segment: str, sort: str, min_apps: int, n: int) -> DataFrame:
+def keeper_stats(fact: DataFrame, epoch: int, segment: str, sort: str, min_apps: int, n: int, min_minutes: int = 60) -> DataFrame:
     col = _check(sort, ["saves", "save_points", "saves_per_90"])
-    g = (fact.where((F.col("epoch") == epoch) & (F.col("segment") == segment)).groupBy("entity")
-             .agg(F.sum("saves").alias("saves"), F.sum("minutes").alias("minutes"), _apps())
+    f = fact.where((F.col("epoch") == epoch) & (F.col("segment") == segment) & (F.col("minutes") >= min_minutes))
+    g = (f.groupBy("entity").agg(F.sum("saves").alias("saves"), F.sum("minutes").alias("minutes"), _apps())
              .where(F.col("apps") >= min_apps)
-             .withColumn("save_points", F.floor(F.col("saves") / 3).cast("bigint"))
+             .withColumn("save_points", F.round(F.col("saves") / 3).cast("bigint"))
              .withColumn("saves_per_90", per90(F.col("saves"), F.col("minutes"))))
     return g.orderBy(F.col(col).desc_nulls_last(), "entity").limit(n)
 
 
 # T19
 def suspension_risk(fact: DataFrame, epoch: int, n: int, limit_yellow: int = 5) -> DataFrame:
-    g = (fact.where(F.col("epoch") == epoch).groupBy("entity")
+    g = (fact.where((F.col("epoch") == epoch) & (F.col("minutes") > 0)).groupBy("entity")
              .agg(F.sum("yellow").alias("yellow"), F.sum("red").alias("red"), _apps())
              .withColumn("cards_per_app", (F.col("yellow") + F.col("red")) / F.nullif(F.col("apps"), F.lit(0)))
              .withColumn("at_risk", F.col("yellow") >= limit_yellow))
-    return g.orderBy(F.col("yellow").desc(), "entity").limit(n)
+    return g.orderBy(F.col("yellow").desc(), F.col("red").desc(), "entity").limit(n)

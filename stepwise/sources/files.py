@@ -99,15 +99,32 @@ def census(spark: SparkSession, root: str, kinds: Mapping[str, str], season_rege
 
 
 # SRC8 ------------------------------------------------------------------------
-_READ_ONLY = ("select", "with", "values", "table", "from")
+#: Logical nodes a parsed query may consist of; commands and inserts are none of them.
+_QUERY_NODES = {
+    "Aggregate", "AsOfJoin", "Deduplicate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit",
+    "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving",
+    "UnresolvedInlineTable", "UnresolvedOrderBy", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases",
+    "UnresolvedTableValuedFunction", "UnresolvedWith", "Unpivot", "View", "Window", "WithWindowDefinition",
+}
 
 
 def read_only_sql(spark: SparkSession, text: str, args: Mapping | None = None) -> DataFrame:
     """Ad hoc SQL over registered views with bound parameters
-    (``:name`` markers); only a single query statement is accepted."""
+    (``:name`` markers).  Spark's parser reads the text, and only a plan made of
+    query nodes is accepted: no command, no insert, no second statement."""
+    from pyspark.errors import ParseException
     body = text.strip().rstrip(";").strip()
-    if ";" in body or body.split(None, 1)[0].lower() not in _READ_ONLY:
-        raise ValueError("only a single read-only query is allowed")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+    except ParseException as e:
+        raise ValueError("only a single read-only query is allowed") from e
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in _QUERY_NODES:
+            raise ValueError(f"only a single read-only query is allowed, not {node.nodeName()}")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
     return spark.sql(body, args=dict(args or {}))
 
 

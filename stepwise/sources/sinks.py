@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepwise.session import path_exists
+
 
 # SNK1 ------------------------------------------------------------------------
 def rebuild(tables: Mapping[str, DataFrame], base: str) -> str:
@@ -56,11 +58,8 @@ def cached_table(spark: SparkSession, base: str, freshness: str, build, force: b
     build and write it.  ``freshness`` is derived from the inputs (for
     example the max step), so new data never hits a stale cache."""
     path = f"{base.rstrip('/')}/fresh={freshness}"
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 -- absent cache
-            pass
+    if not force and path_exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -75,10 +74,7 @@ def append_log(df: DataFrame, path: str, replace_keys: Sequence[str] | None = No
     """Append-only log; with ``replace_keys`` rows of the same key are
     replaced (drop + append) and the new version is written beside the old."""
     spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 -- first write
-        old = None
+    old = spark.read.parquet(path) if path_exists(spark, path) else None
     if old is None:
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from stepwise.operators.relational import column_drift
 from stepwise.operators.windows import rolling_alert
-from stepwise.session import checkpoint_dir
+from stepwise.session import checkpoint_dir, cut_lineage, path_exists
 from stepwise.sources.sinks import upsert_slice
 
 
@@ -32,10 +32,9 @@ def _versioned_write(df: DataFrame, table: str) -> None:
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame | None:
-    try:
-        v = spark.read.parquet(f"{table}/_versions").agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001 -- table not created yet
+    if not path_exists(spark, f"{table}/_versions"):
         return None
+    v = spark.read.parquet(f"{table}/_versions").agg(F.max("version")).first()[0]
     return spark.read.parquet(v)
 
 
@@ -54,19 +53,20 @@ def ingest_slices(spark: SparkSession, landing: str, schema: StructType, table:
     ``partition``) on ``keys``; replaying a slice changes nothing.
 
     Only the partitions present in a batch are rewritten (dynamic partition
-    overwrite), so the cost of a batch follows the batch, not the table."""
-    from stepwise.session import cut_lineage
-
+    overwrite), so the cost of a batch follows the batch, not the table.  Of rows
+    of a batch that share their keys the largest stays.  A failing read, merge or
+    checkpoint fails the batch, which is then run again; nothing is overwritten."""
     def batch(df: DataFrame, _epoch_id: int) -> None:
-        new = df.dropDuplicates(list(keys))
+        rest = [c for c in df.columns if c not in keys]
+        new = (df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_rest")).select(*keys, "_rest.*").select(*df.columns)
+               if rest else df.select(*keys).distinct())
         parts = [r[0] for r in new.select(partition).distinct().collect()]   # partition values of the batch
         if not parts:
             return
-        try:
+        merged = new
+        if path_exists(spark, table):
             old = spark.read.parquet(table).where(F.col(partition).isin(parts))
             merged = cut_lineage(upsert_slice(old, new, keys))   # read and overwrite the same partitions
-        except Exception:  # noqa: BLE001 -- first batch, no table yet
-            merged = new
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy(partition).parquet(table))
     _run(spark, landing, schema, batch, "ingest", max_files)
@@ -100,28 +100,33 @@ def drift_monitor(spark: SparkSession, landing: str, expected: Sequence[str], al
          .select("path").writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
+    if path_exists(spark, alerts):
         return spark.read.parquet(alerts)
-    except Exception:  # noqa: BLE001 -- no drift seen
-        return spark.createDataFrame([], "batch long, epoch int, step int, new_columns string, "
-                                         "dropped_columns string, logged_at timestamp")
+    return spark.createDataFrame([], "batch long, epoch int, step int, new_columns string, "
+                                     "dropped_columns string, logged_at timestamp")
 
 
 # STR3 ------------------------------------------------------------------------
 def error_monitor(spark: SparkSession, landing: str, schema: StructType, log: str, by: Sequence[str],
                   y: str, pred: str, threshold: float, k: int = 5, max_files: int = 1) -> DataFrame:
-    """Per-slice MAE/RMSE of each batch, upserted into the log on
-    ``by + (epoch, step)``; the rolling ``k``-slice MAE over the whole log
-    (ordered by epoch, step) and an alert flag are recomputed each batch."""
+    """Per-slice MAE/RMSE with the rolling ``k``-slice MAE over the whole log
+    (ordered by epoch, step) and an alert flag.
+
+    The log keeps mergeable sums (n, absolute and squared error) per slice and
+    landed file, upserted on both: a slice may come in several files and
+    batches, and a file delivered again replaces its own sums."""
     key = list(by) + ["epoch", "step"]
 
     def batch(df: DataFrame, _epoch_id: int) -> None:
         e = F.col(pred) - F.col(y)
-        m = df.groupBy(*key).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                                 F.count(F.lit(1)).alias("n"))
+        m = (df.withColumn("_file", F.input_file_name()).groupBy(*key, "_file")
+             .agg(F.count(e).alias("n"), F.sum(F.abs(e)).alias("abs_sum"), F.sum(e * e).alias("sq_sum")))
         old = read_table(spark, log)
-        merged = m if old is None else upsert_slice(old.select(*key, "mae", "rmse", "n"), m, key)
-        out = rolling_alert(merged, by, ["epoch", "step"], "mae", threshold, k, "rolling_mae", "alert")
-        _versioned_write(out, log)
+        _versioned_write(m if old is None else upsert_slice(old, m, [*key, "_file"]), log)
     _run(spark, landing, schema, batch, "monitor", max_files)
-    return read_table(spark, log)
+    sums = read_table(spark, log)
+    if sums is None:
+        raise ValueError(f"no slice has landed in {landing}")
+    per_slice = sums.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("abs_sum").alias("_a"), F.sum("sq_sum").alias("_s"))
+    per_slice = per_slice.select(*key, (F.col("_a") / F.col("n")).alias("mae"), F.sqrt(F.col("_s") / F.col("n")).alias("rmse"), "n")
+    return rolling_alert(per_slice, by, ["epoch", "step"], "mae", threshold, k, "rolling_mae", "alert")

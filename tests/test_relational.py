@@ -68,3 +68,10 @@ def test_bridge_join_counts_unmatched(spark):
     assert sorted(r["sk"] for r in out.collect()) == [10, 30]
     c = counts.first()
     assert (c["unmatched"], c["rows"]) == (1, 3)
+
+
+def test_orphans_not_in_with_a_null_second_key(spark):
+    from stepwise.operators import relational as R
+    child = spark.createDataFrame([(1, None), (1, 2), (3, 4)], "a int, b int")
+    parent = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert [tuple(r) for r in R.orphans(child, parent, ["a", "b"], not_in=True).collect()] == [(3, 4)]

@@ -97,3 +97,52 @@ def test_sinks_cache_and_log(spark, tmp_path):
                      log, ["seg", "step"])
     assert sorted((r["step"], r["mae"]) for r in out.collect()) == [(1, 2.0), (2, 3.0)]
     assert os.path.isdir(log)
+
+
+def test_read_only_sql_accepts_queries_only(spark, tmp_path):
+    import pytest
+
+    from stepwise.sources.files import read_only_sql
+    spark.range(3).createOrReplaceTempView("ro_t")
+    assert read_only_sql(spark, "WITH a AS (SELECT id FROM ro_t) SELECT count(*) AS n, ';' AS s FROM a;").first().n == 3
+    for bad in ("FROM ro_t INSERT INTO ro_x SELECT id", "WITH a AS (SELECT 1 AS id) INSERT INTO ro_x SELECT id FROM a", "SELECT 1; SELECT 2", "DROP VIEW ro_t",
+                "SET x = 1", "CREATE TABLE z AS SELECT 1"):
+        with pytest.raises(ValueError):
+            read_only_sql(spark, bad)
+
+
+def test_ingest_fails_rather_than_losing_rows(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from stepwise.streaming import jobs
+    schema = "epoch int, step int, k int, v int"
+    table, keys = str(tmp_path / "t"), ["epoch", "step", "k"]
+
+    def land(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+    one = land("a", [(1, 1, 1, 10), (1, 1, 2, 20)])
+    jobs.ingest_slices(spark, one, spark.read.parquet(one).schema, table, keys)
+    two = land("b", [(1, 1, 3, 30), (1, 1, 3, 31)])
+
+    def broken(*a, **k):
+        raise OSError("checkpoint store is away")
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "cut_lineage", broken)
+        with pytest.raises(Exception):
+            jobs.ingest_slices(spark, two, spark.read.parquet(two).schema, table, keys)
+    assert spark.read.parquet(table).count() == 2
+    out = jobs.ingest_slices(spark, two, spark.read.parquet(two).schema, table, keys)
+    assert sorted((r.k, r.v) for r in out.collect()) == [(1, 10), (2, 20), (3, 31)]
+
+
+def test_monitor_merges_a_slice_over_two_files(spark, tmp_path):
+    from stepwise.streaming import jobs
+    schema = "seg string, epoch int, step int, y double, pred double"
+    for name, rows in (("x", [("a", 1, 1, 0.0, 1.0), ("a", 1, 1, 0.0, 2.0)]), ("y", [("a", 1, 1, 0.0, 3.0), ("a", 1, 1, 0.0, 4.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    src = str(tmp_path / "landing")
+    args = (spark, src, spark.read.parquet(src).schema, str(tmp_path / "log"), ["seg"], "y", "pred", 9.0)
+    for _ in range(2):  # the second run delivers the same files again
+        r = jobs.error_monitor(*args, max_files=1).collect()
+        assert [(x.mae, x.n) for x in r] == [(2.5, 4)]
