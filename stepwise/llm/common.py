@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,15 @@ def worker_cache(name: str, make):
     return store[name]
 
 
+def release() -> None:
+    """Hand freed memory back to the system: Python workers live on for later
+    stages, and what their allocators hold back counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one slice stay near ``limit`` bytes
     (a slice has at least one row)."""
@@ -55,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def held_out(id_col: Column) -> Column:

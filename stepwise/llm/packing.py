@@ -35,7 +35,7 @@ from stepwise.llm.common import share, slices, worker_cache
 from stepwise.session import write_and_reload
 
 #: Texts tokenised together, in bytes.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 
 
 # ---- tokens ----

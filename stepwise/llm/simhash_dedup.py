@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import slices
+from stepwise.llm.common import release, slices
 from stepwise.llm.components import connected_components
 from stepwise.session import write_and_reload
 
@@ -204,6 +204,8 @@ def link_fingerprints(fps: DataFrame, fp_col: str = "fp", bits: int = 3) -> Data
             held.append((k, f))
         if held:
             yield emit(*joined())
+        held.clear()
+        release()
 
     return posts.mapInArrow(run, "a long, b long").distinct()
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from stepwise.llm.chunks import span_index
-from stepwise.llm.common import slices
+from stepwise.llm.common import release, slices
 from stepwise.session import write_and_reload
 
 GRAM = 32
@@ -283,6 +283,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         which, runs = np.unique(gram[open_], return_counts=True)
         open_in[open_ & np.isin(gram, which[runs > split_runs])] = fine
         out = seen | open_
+        release()
         return pa.concat_tables([_found(ids[out], start[out], width[out], open_in[out]), _found(d0, s0, w0, np.full(len(s0), -1))])
 
     entries = docs.mapInArrow(list_anchors, _ENTRIES)
@@ -347,6 +348,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 first = hit[lead]
                 size = np.diff(np.r_[np.flatnonzero(lead), len(hit)])
                 out.append(_found(ids[run[first]], begin[first], size, np.full(len(first), -1)))
+        release()
         return pa.concat_tables(out)
 
     opened = (found.where("open_in >= 0").groupBy("k", "h")
