@@ -230,7 +230,7 @@ def warc_archives(records: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
     return records.mapInArrow(run, "content binary")
 
 
-def write_warc(archives: DataFrame, path: str, compression: str = "none") -> None:
+def write_warc(archives: DataFrame, path: str, compression: str = "gzip") -> None:
     """One file per archive, through Spark's own writer (any store Spark can write)."""
     (archives.select(F.col("content").cast("string").alias("value")).write.mode("overwrite")
      .option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", 1).text(path))
