@@ -128,11 +128,18 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ring = neighbours(src.select("k", "h", F.char_length("text").cast("long").alias("n")).distinct(), [F.col("k").desc(), F.col("h").asc()], ["k", "h"])
     lends = ring.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"),
                         F.floor(F.col("n") / 3).cast("int").alias("need"))
-    # both uses read the same columns, so one exchange of the texts serves them
-    lent = (src.join(lends, ["k", "h"])
-            .select("to_k", "to_h", F.substring("text", F.lit(1), F.col("need")).alias("head"), fingerprint(F.col("text")).alias("next_fp"))
-            .groupBy("to_k", "to_h").agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp")))
+    # both uses read the same columns, so one exchange of the texts serves them; a text's fingerprint
+    # is worked out once, and goes to the document that borrows and back to its own
+    none = F.lit(None).cast("string")
+
+    def sent(fp: Column) -> Column:
+        head = F.substring("text", F.lit(1), F.col("need"))
+        return F.array(F.struct(F.col("to_k"), F.col("to_h"), head.alias("head"), fp.alias("next_fp"), none.alias("own_fp")),
+                       F.struct(F.col("k").alias("to_k"), F.col("h").alias("to_h"), none.alias("head"), none.alias("next_fp"), fp.alias("own_fp")))
+
+    lent = (src.join(lends, ["k", "h"]).select(F.inline(_bind(fingerprint(F.col("text")), sent)))
+            .groupBy("to_k", "to_h").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("head", "next_fp", "own_fp")]))
     both = src.join(lent, (src.k == lent.to_k) & (src.h == lent.to_h)).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.col("n_chars").cast("int") - F.floor(F.col("n_chars") / 3).cast("int")
-    return both.select(F.when(F.col("k") != low, F.col("k")).alias("id"), "text", "n_chars", fingerprint(F.col("text")).alias("fingerprint"),
+    return both.select(F.when(F.col("k") != low, F.col("k")).alias("id"), "text", "n_chars", F.col("own_fp").alias("fingerprint"),
                        F.concat(F.substring("text", F.lit(1), cut), F.col("head")).alias("edited"), "next_fp")
