@@ -161,13 +161,42 @@ SELECT segment, stratum, count(*) AS n, avg(abs(pred - points)) AS mae,
   UNION ALL SELECT segment, pred, points, 'vs_top6' FROM bp WHERE opp_rank <= 6
   UNION ALL SELECT segment, pred, points, 'vs_rest' FROM bp WHERE opp_rank > 6) t
 WHERE pred IS NOT NULL AND points IS NOT NULL GROUP BY segment, stratum HAVING count(*) >= 10""",
-    *FM_SQL, BASE_PRED_CTE), ids=("ST7", "ST8"))
+    *FM_SQL, BASE_PRED_CTE), ids=("ST7",))
 def q_st7(spark, sf):
     strata = {"home": F.col("is_home") == 1, "away": F.col("is_home") != 1,
               "vs_top6": F.col("opp_rank") <= 6, "vs_rest": F.col("opp_rank") > 6}
     return ST.stratified_metrics(_baseline_pred(spark, sf), ["segment"], "points", "pred", strata, 10)
 
 
+MINUTE_BUCKETS = ((30, "cameo"), (60, "rotation"))
+PRICE_EDGES = (0.0, 120.0, 150.0, 180.0, float("inf"))
+PRICE_BANDS = ("budget", "mid", "premium", "elite")
+
+
+@register("st_minutes_price_metrics", with_ctes("""
+md AS (SELECT segment, median(price_lag1) AS md FROM bp GROUP BY segment),
+x AS (SELECT bp.segment, pred, points, CASE WHEN mins < 30 THEN 'cameo' WHEN mins < 60 THEN 'rotation' ELSE 'starter' END AS bucket,
+        CASE WHEN price < 120 THEN 'budget' WHEN price < 150 THEN 'mid' WHEN price < 180 THEN 'premium' ELSE 'elite' END AS band
+      FROM (SELECT bp.*, coalesce(f.minutes, 60) AS mins, coalesce(bp.price_lag1, md.md) AS price
+            FROM bp LEFT JOIN (SELECT epoch, step, fixture, entity, minutes FROM fact) f USING (epoch, step, fixture, entity)
+            LEFT JOIN md ON md.segment = bp.segment) bp)
+SELECT segment, stratum, count(*) AS n, avg(abs(pred - points)) AS mae, sqrt(avg((pred - points) * (pred - points))) AS rmse,
+       1.0 - sum((pred - points) * (pred - points)) / nullif(count(*) * var_pop(points), 0) AS r2
+FROM (SELECT segment, pred, points, bucket AS stratum FROM x UNION ALL SELECT segment, pred, points, band FROM x) t
+WHERE pred IS NOT NULL AND points IS NOT NULL GROUP BY segment, stratum HAVING count(*) >= 10""", *FM_SQL, BASE_PRED_CTE)
+    .replace("\nmd AS (", "\n, md AS (", 1), ids=("ST8", "JN11", "PRJ14", "PRJ16"))
+def q_st8(spark, sf):
+    from stepwise.functions.scalars import bucket_upper_bounds, fill_then_band
+    from stepwise.operators.relational import reattach
+    p = reattach(_baseline_pred(spark, sf), B.fact(spark, sf), ["epoch", "step", "fixture", "entity"], ["minutes"], {"minutes": 60})
+    med = ST.exact_quantiles(p, ["segment"], "price_lag1", [0.5], ["_median"])
+    p = p.join(med, "segment", "left")
+    bucket = bucket_upper_bounds(F.col("minutes"), MINUTE_BUCKETS, "starter")
+    band = fill_then_band(F.col("price_lag1"), F.col("_median"), PRICE_EDGES, PRICE_BANDS)
+    strata = {b: bucket == b for b in ("cameo", "rotation", "starter")} | {b: band == b for b in PRICE_BANDS}
+    return ST.stratified_metrics(p, ["segment"], "points", "pred", strata, 10)
+
+
 @register("st_calibration", with_ctes("""
 q AS (SELECT segment, list_sort(list_distinct(quantile_cont(pred, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e
       FROM bp WHERE pred IS NOT NULL GROUP BY segment)
@@ -374,8 +403,10 @@ def q_ml16(spark, sf):
 
 @register("ml_two_stage", ids=("ML14",))
 def q_ml14(spark, sf):
-    feats = ["points_roll5", "minutes_roll5", "minutes_todate", "opp_rank"]
-    oof = CV.two_stage(_long(spark, sf), feats, "points", "minutes_roll3", 60)
+    from stepwise.operators.relational import reattach
+    long = reattach(_long(spark, sf), B.fact(spark, sf), ["epoch", "step", "fixture", "entity"], ["minutes"])
+    oof = CV.two_stage(long, RIDGE_FEATS, "points", "minutes", 60,
+                       start_feats=["minutes_roll3", "minutes_roll5", "minutes_todate", "points_roll5", "opp_rank"])
     return ST.regression_metrics(oof, ["segment", "fold"], "points", "pred")
 
 
@@ -424,7 +455,7 @@ def q_ml19(spark, sf):
     return CV.full_fit_and_save(feature_matrix(spark, sf), RIDGE_FEATS, "points", 10.0, cv)
 
 
-@register("ml_score_slice_ensemble", ids=("ML20", "FLT5", "WIN13", "V12", "V14", "V22"))
+@register("ml_score_slice_ensemble", ids=("ML20", "FLT5", "WIN13"))
 def q_ml20(spark, sf):
     from stepwise.plans.slices import select_slice
     fm = feature_matrix(spark, sf)
@@ -490,21 +521,34 @@ def q_pl3(spark, sf):
     return out["summary"]
 
 
-@register("pl_slice_run_monitor", ids=("PL2", "SNK2", "SET3", "ST4", "WIN10"))
+@register("pl_slice_run_monitor", with_ctes("""
+s AS (SELECT segment, epoch, step, count(*) AS n, avg(abs(pred - points)) AS mae, sqrt(avg((pred - points) * (pred - points))) AS rmse,
+        1.0 - sum((pred - points) * (pred - points)) / nullif(count(*) * var_pop(points), 0) AS r2
+      FROM bp WHERE pred IS NOT NULL GROUP BY ALL)
+SELECT *, avg(mae) OVER w AS rolling_mae, avg(mae) OVER w > 20.0 AS alert, 'delivery' AS new_columns, '' AS dropped_columns
+FROM s WINDOW w AS (PARTITION BY segment ORDER BY epoch, step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", *FM_SQL, BASE_PRED_CTE)
+    .replace("\ns AS (", "\n, s AS (", 1), ids=("PL2", "SNK1", "SNK2", "SET3", "ST4", "WIN10"))
 def q_pl2(spark, sf):
+    """The newest slice arrives with an extra column; the log holds the epoch's earlier slices."""
     from stepwise.plans.pipelines import run_slice
+    from stepwise.session import scratch_path
     f = B.fact(spark, sf)
     last = f.groupBy().agg(F.max(F.struct("epoch", "step")).alias("m")).first()["m"]   # one scalar
     is_new = (F.col("epoch") == last["epoch"]) & (F.col("step") == last["step"])
-    existing, new = f.where(~is_new), f.where(is_new)
+    existing, new = f.where(~is_new), f.where(is_new).withColumn("delivery", F.lit("2nd"))
 
     def features(table):
         from stepwise.catalog.rel_q import standings_rank
         return build_feature_matrix(table, standings_rank(spark, sf))
 
     def score(fm, sl):
-        tm = fm.groupBy("segment").agg(F.avg("points").alias("_tm"))
+        # learnt from the epochs before the slice's own
+        tm = fm.where(F.col("epoch") < last["epoch"]).groupBy("segment").agg(F.avg("points").alias("_tm"))
         s = fm.join(sl.select("entity", "fixture"), ["entity", "fixture"], "left_semi")
-        return M.rolling_baseline(s.join(F.broadcast(tm), "segment"), "points_roll5", F.col("_tm"))
-    out = run_slice(existing, new, ["step", "fixture", "entity"], f.columns, features, score, None, 20.0)
-    return out["monitor"]
+        return M.rolling_baseline(s.join(F.broadcast(tm), "segment", "left"), "points_roll5", F.col("_tm"))
+    earlier = existing.where(F.col("epoch") == last["epoch"])
+    log = ST.regression_metrics(score(feature_matrix(spark, sf), earlier), ["segment", "epoch", "step"], "points", "pred")
+    out = run_slice(existing, new, ["epoch", "step", "fixture", "entity"], f.columns, features, score, log, 20.0,
+                    base=scratch_path(spark, "slice-run"))
+    d = out["drift"].withColumn("_k", F.lit(0))   # one row
+    return out["monitor"].withColumn("_k", F.lit(0)).join(F.broadcast(d), "_k").drop("_k")

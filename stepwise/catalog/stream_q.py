@@ -38,22 +38,25 @@ SELECT entity, fixture, epoch, step, points FROM fact""", FACT_CTE), ids=("STR1"
 def q_str1(spark, sf):
     f = B.fact(spark, sf).select("entity", "fixture", "epoch", "step", "points")
     landing = _scratch(spark, "landing-ingest")
-    f.repartition("epoch").write.partitionBy("epoch").parquet(landing)
+    f.repartition("epoch", "step").write.partitionBy("epoch").parquet(landing)   # several files per slice
     # the slices of one epoch land a second time (a replayed delivery)
     f.where(F.col("epoch") == 2001).write.mode("append").partitionBy("epoch").parquet(landing)
     table = _scratch(spark, "ingested")
     schema = spark.read.parquet(landing).schema
-    out = J.ingest_slices(spark, landing, schema, table, ["epoch", "step", "fixture", "entity"], "epoch", 2)
+    out = J.ingest_slices(spark, landing, schema, table, ["epoch", "step", "fixture", "entity"], "epoch", 8)
     return out.select("entity", "fixture", "epoch", "step", "points")
 
 
-@register("stream_schema_drift", ids=("STR2", "SET3", "SRC4"))
+@register("stream_schema_drift", with_ctes("""
+SELECT 'xg' AS new_columns, 'minutes' AS dropped_columns, max(epoch) AS epoch, max(step) AS step
+FROM fact WHERE epoch >= 1998 HAVING count(*) > 0""", FACT_CTE), ids=("STR2", "SET3", "SRC4"))
 def q_str2(spark, sf):
     f = B.fact(spark, sf)
     landing = _scratch(spark, "landing-drift")
     base = ["entity", "fixture", "epoch", "step", "points", "minutes"]
     # two schema eras: from 1998 on, `minutes` is gone and `xg` appears
-    f.where("epoch < 1998").select(*base).coalesce(1).write.parquet(f"{landing}/era1")
-    f.where("epoch >= 1998").select(*base[:-1], "xg").coalesce(1).write.parquet(f"{landing}/era2")
+    f.where("epoch < 1998").select(*base).write.parquet(f"{landing}/era1")
+    f.where("epoch >= 1998").select(*base[:-1], "xg").write.parquet(f"{landing}/era2")
     alerts = _scratch(spark, "drift-alerts")
-    return J.drift_monitor(spark, landing, base, alerts).drop("logged_at", "batch")
+    out = J.drift_monitor(spark, landing, base, alerts)   # one row per file
+    return out.groupBy("new_columns", "dropped_columns").agg(F.max("epoch").alias("epoch"), F.max("step").alias("step"))

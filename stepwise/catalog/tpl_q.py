@@ -1,5 +1,7 @@
 """Analyst templates T1-T20 bound to the fact binding, with oracles."""
 
+from pyspark.sql import functions as F
+
 from stepwise.catalog import FACT_CTE, register, with_ctes
 from stepwise.plans import bindings as B
 from stepwise.plans import templates as T
@@ -43,7 +45,7 @@ SELECT epoch, CAST(sum(points) AS BIGINT) AS points, CAST(sum(minutes) AS BIGINT
        CAST(sum(goals) AS BIGINT) AS goals, count(*) AS rows,
        arg_min(price, (step, fixture)) AS start_price, arg_max(price, (step, fixture)) AS end_price,
        arg_max(price, (step, fixture)) - arg_min(price, (step, fixture)) AS price_change
-FROM fact WHERE entity = 7 GROUP BY epoch""", FACT_CTE), ids=("T4", "T20", "V4", "AGG22"))
+FROM fact WHERE entity = 7 GROUP BY epoch""", FACT_CTE), ids=("T4", "V4", "AGG22"))
 def q_t4(spark, sf):
     return T.entity_career(_f(spark, sf), 7)
 
@@ -156,7 +158,10 @@ def q_t16(spark, sf):
 
 
 @register("tpl17_double_steps", with_ctes("""
-SELECT entity, step, count(DISTINCT fixture) AS fixtures, CAST(sum(points) AS BIGINT) AS points
+SELECT entity, step, count(DISTINCT fixture) AS fixtures, CAST(sum(points) AS BIGINT) AS points,
+       CAST(sum(minutes) AS BIGINT) AS minutes, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists,
+       round(max(price) / 10.0, 1) AS price, arg_max(side, (epoch, step, fixture)) AS side,
+       arg_max(segment, (epoch, step, fixture)) AS segment
 FROM fact WHERE epoch = 1998 GROUP BY entity, step HAVING fixtures > 1""", FACT_CTE), ids=("T17",))
 def q_t17(spark, sf):
     return T.double_steps(_f(spark, sf), 1998)
@@ -180,3 +185,39 @@ SELECT entity, CAST(sum(yellow) AS BIGINT) AS yellow, CAST(sum(red) AS BIGINT) A
 FROM fact WHERE epoch = 2001 AND minutes > 0 GROUP BY entity ORDER BY yellow DESC, red DESC, entity LIMIT 10""", FACT_CTE), ids=("T19",))
 def q_t19(spark, sf):
     return T.suspension_risk(_f(spark, sf), 2001, 10)
+
+
+@register("tpl17_double_steps_of_step", with_ctes("""
+SELECT entity, step, count(DISTINCT fixture) AS fixtures, CAST(sum(points) AS BIGINT) AS points,
+       CAST(sum(minutes) AS BIGINT) AS minutes, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists,
+       round(max(price) / 10.0, 1) AS price, arg_max(side, (epoch, step, fixture)) AS side,
+       arg_max(segment, (epoch, step, fixture)) AS segment
+FROM fact WHERE epoch = 1998 AND step = 5 AND segment = 'ASIA' GROUP BY entity, step HAVING fixtures > 1""", FACT_CTE), ids=("T17",))
+def q_t17_step(spark, sf):
+    return T.double_steps(_f(spark, sf), 1998, 5, "ASIA")
+
+
+@register("tpl17_double_step_list", with_ctes("""
+SELECT DISTINCT step FROM (SELECT entity, step FROM fact WHERE epoch = 1998 GROUP BY entity, step HAVING count(DISTINCT fixture) > 1) t""",
+    FACT_CTE), ids=("T17",))
+def q_t17_list(spark, sf):
+    return T.double_step_list(_f(spark, sf), 1998)
+
+
+@register("tpl20_season_history", with_ctes("""
+h AS (SELECT entity, epoch, sum(points) AS points, sum(minutes) AS minutes, sum(goals) AS goals, sum(assists) AS assists,
+        count(*) FILTER (WHERE CASE WHEN is_home = 1 THEN away_score ELSE home_score END = 0) AS clean_sheets,
+        sum(saves) AS saves, sum(bonus) AS bonus,
+        arg_min(price, (step, fixture)) AS start_cost, arg_max(price, (step, fixture)) AS end_cost
+      FROM fact GROUP BY entity, epoch),
+dim AS (SELECT DISTINCT epoch, CAST(epoch AS VARCHAR) || '/' || lpad(CAST((epoch + 1) % 100 AS VARCHAR), 2, '0') AS label FROM fact)
+SELECT epoch, label AS season, CAST(points AS BIGINT) AS points, CAST(minutes AS BIGINT) AS minutes, CAST(goals AS BIGINT) AS goals,
+       CAST(assists AS BIGINT) AS assists, clean_sheets, CAST(saves AS BIGINT) AS saves, CAST(bonus AS BIGINT) AS bonus,
+       round(start_cost / 10.0, 1) AS start_price, round(end_cost / 10.0, 1) AS end_price,
+       round((end_cost - start_cost) / 10.0, 1) AS price_change
+FROM h JOIN dim USING (epoch) WHERE entity = 7""", FACT_CTE).replace("\nh AS (", "\n, h AS (", 1), ids=("T20",))
+def q_t20(spark, sf):
+    f = _f(spark, sf)
+    dim = f.select("epoch").distinct().withColumn(
+        "label", F.concat_ws("/", F.col("epoch").cast("string"), F.lpad(((F.col("epoch") + 1) % 100).cast("string"), 2, "0")))
+    return T.season_history(T.epoch_history(f), dim, 7)

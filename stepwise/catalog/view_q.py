@@ -194,3 +194,47 @@ def q_v23(spark, sf):
         "abs_error", F.abs(F.col("points") - F.col("pred")))
     return p.orderBy(F.col("abs_error").desc(), "entity", "fixture").limit(5).select(
         "segment", "entity", "fixture", "points", "pred", "abs_error")
+
+
+LATEST_CTE = """lat AS (SELECT max((epoch, step)) AS m FROM bp WHERE pred IS NOT NULL),
+sl AS (SELECT bp.*, f.selected FROM bp JOIN (SELECT epoch, step, fixture, entity, selected FROM fact) f USING (epoch, step, fixture, entity), lat
+       WHERE pred IS NOT NULL AND (bp.epoch, bp.step) = lat.m)"""
+_FDR = "CASE WHEN opp_rank <= 6 THEN 5 WHEN opp_rank <= 10 THEN 4 WHEN opp_rank <= 14 THEN 3 WHEN opp_rank <= 17 THEN 2 ELSE 1 END"
+
+
+def _latest_pred(spark, sf):
+    from stepwise.catalog.model_q import _baseline_pred
+    from stepwise.operators.relational import reattach
+    from stepwise.plans.slices import select_slice
+    p = select_slice(_baseline_pred(spark, sf).where(F.col("pred").isNotNull()), "epoch", "step")
+    return reattach(p, B.fact(spark, sf), ["epoch", "step", "fixture", "entity"], ["selected"])
+
+
+@register("view12_ranked_predictions", with_ctes(f"""
+SELECT segment, entity, fixture, pred, price, difficulty, ownership_pct, differential, CAST(pick AS INTEGER) AS pick FROM (
+  SELECT sl.segment, entity, fixture, pred, round(price_lag1 / 10.0, 1) AS price, {_FDR} AS difficulty,
+         100.0 * selected / nullif(total, 0) AS ownership_pct, pred >= md AND 100.0 * selected / nullif(total, 0) < 10.0 AS differential,
+         row_number() OVER (PARTITION BY sl.segment ORDER BY pred DESC, entity, fixture) AS pick
+  FROM sl JOIN (SELECT segment, median(pred) AS md, sum(selected) AS total FROM sl GROUP BY segment) g ON g.segment = sl.segment) t
+WHERE pick <= 10""", *BP, LATEST_CTE), ids=("V12", "PRJ17", "WIN13", "WIN14", "JN16"))
+def q_v12(spark, sf):
+    return V.ranked_predictions(_latest_pred(spark, sf), ["segment"], "price_lag1", "opp_rank", "selected", 10)
+
+
+@register("view14_captain_candidates", with_ctes(f"""
+SELECT entity, fixture, segment, side, other_side, CASE WHEN is_home = 1 THEN 'H' ELSE 'A' END AS venue, {_FDR} AS difficulty, pred
+FROM sl ORDER BY pred DESC, entity, fixture LIMIT 3""", *BP, LATEST_CTE), ids=("V14", "SRT2"))
+def q_v14(spark, sf):
+    return V.captain_candidates(_latest_pred(spark, sf), "opp_rank", 3)
+
+
+@register("view22_landing_status", with_ctes("""
+m AS (SELECT segment, epoch, step, avg(abs(pred - points)) AS mae FROM bp WHERE pred IS NOT NULL GROUP BY ALL),
+a AS (SELECT *, avg(mae) OVER (PARTITION BY segment ORDER BY epoch, step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 20.0 AS alert FROM m)
+SELECT segment, epoch, step, mae, 20.0 AS threshold, CASE WHEN alert THEN 'ALERT' ELSE 'PASS' END AS status
+FROM a WHERE (epoch, step) = (SELECT max((epoch, step)) FROM a)""", *BP).replace("\nm AS (", "\n, m AS (", 1), ids=("V22", "FLT5", "WIN10"))
+def q_v22(spark, sf):
+    from stepwise.catalog.model_q import _baseline_pred
+    from stepwise.operators import stats as ST
+    m = ST.regression_metrics(_baseline_pred(spark, sf), ["segment", "epoch", "step"], "points", "pred")
+    return V.latest_status(W.rolling_alert(m, ["segment"], ["epoch", "step"], "mae", 20.0, 5, "rolling_mae", "alert"), 20.0)

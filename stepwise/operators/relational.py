@@ -140,13 +140,17 @@ def column_drift(expected: Sequence[str], actual: Sequence[str]) -> tuple[list[s
 
 # SET4 ------------------------------------------------------------------------
 def top_set_overlap(df: DataFrame, by: Sequence[str], a: str, b: str, key: str, n: int) -> DataFrame:
-    """Size of the intersection of the top-``n`` by ``a`` and by ``b`` per group."""
-    wa = Window.partitionBy(*by).orderBy(F.col(a).desc(), F.col(key))
-    wb = Window.partitionBy(*by).orderBy(F.col(b).desc(), F.col(key))
-    flagged = (df.withColumn("_ta", F.row_number().over(wa) <= n)
-                 .withColumn("_tb", F.row_number().over(wb) <= n))
-    return flagged.groupBy(*by).agg(F.count_if(F.col("_ta") & F.col("_tb")).alias("overlap"),
-                                    F.count(F.lit(1)).alias("n"))
+    """Size of the intersection of the top-``n`` by ``a`` and by ``b`` per group.
+
+    Both lists are ``row_number() <= n`` filters, so only ``n`` rows per group
+    and task are sorted together; ``key`` identifies a row within its group."""
+    def top(c: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.col(c).desc(), F.col(key))
+        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(*by, key)
+
+    both = top(a).intersect(top(b)).groupBy(*by).agg(F.count(F.lit(1)).alias("overlap"))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(both, list(by), "left").select(*by, F.coalesce("overlap", F.lit(0).cast("bigint")).alias("overlap"), "n")
 
 
 # SET5 ------------------------------------------------------------------------

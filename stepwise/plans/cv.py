@@ -84,10 +84,14 @@ def alpha_search(oof: DataFrame, target: str) -> DataFrame:
 
 
 def two_stage(long: DataFrame, feats: Sequence[str], target: str, minutes: str, start_min: int = 60,
-              alpha: float = 1.0, min_rows: int = 10) -> DataFrame:
+              alpha: float = 1.0, min_rows: int = 10, start_feats: Sequence[str] | None = None) -> DataFrame:
     """ML14: P(start) x E[y | start] + (1 - P) x E[y | bench] per segment and
-    fold; a split with fewer than ``min_rows`` training rows uses all rows."""
-    d = long.withColumn("_start", (F.col(minutes) >= start_min).cast("double"))
+    fold; a split with fewer than ``min_rows`` training rows uses all rows.
+
+    ``minutes`` is the row's own match, read as a label in training rows only
+    (null: not started); P(start) is fitted on ``start_feats``."""
+    start_feats = list(start_feats or feats)
+    d = long.withColumn("_start", F.coalesce((F.col(minutes) >= start_min).cast("double"), F.lit(0.0)))
     train = d.where(F.col("role") == "train")
     val = d.where(F.col("role") == "val")
 
@@ -97,8 +101,8 @@ def two_stage(long: DataFrame, feats: Sequence[str], target: str, minutes: str,
         g = tr.agg(F.count(F.lit(1)).alias("n"), F.sum("_start").alias("n_start")).first()
         n, n_start = g["n"], g["n_start"] or 0.0
         if 0 < n_start < n:
-            clf = M.spark_ml_fit(tr, feats, "_start", "logistic", n=n)
-            va = M.spark_ml_predict(clf, va, feats, "_p", prob=True)
+            clf = M.spark_ml_fit(tr, start_feats, "_start", "logistic", n=n)
+            va = M.spark_ml_predict(clf, va, start_feats, "_p", prob=True)
         else:
             va = va.withColumn("_p", F.lit(float(n_start > 0)))
         for flag, name in ((1.0, "_e1"), (0.0, "_e0")):

@@ -11,15 +11,16 @@ from stepwise.operators import stats as ST
 from stepwise.operators.relational import column_drift
 from stepwise.operators.windows import rolling_alert
 from stepwise.plans import cv as CV
-from stepwise.sources.sinks import upsert_slice
+from stepwise.sources.sinks import rebuild, upsert_slice
 
 
 def run_slice(existing: DataFrame, new_slice: DataFrame, keys: Sequence[str], expected_cols: Sequence[str],
-              features, score, monitor_log: DataFrame | None, threshold: float) -> dict[str, DataFrame]:
+              features, score, monitor_log: DataFrame | None, threshold: float, base: str | None = None) -> dict[str, DataFrame]:
     """PL2: upsert the new slice (SNK2), check its columns (SET3), rebuild
     features, score the slice, compute its metrics and the rolling monitor.
 
     ``features(table) -> feature frame``; ``score(features, slice) -> frame with pred``.
+    With ``base`` every result is written as one new build there (SNK1) and read back.
     """
     spark = existing.sparkSession
     new_cols, dropped = column_drift(expected_cols, new_slice.columns)
@@ -30,7 +31,11 @@ def run_slice(existing: DataFrame, new_slice: DataFrame, keys: Sequence[str], ex
     m = ST.regression_metrics(scored, ["segment", "epoch", "step"], "points", "pred")
     log = m if monitor_log is None else upsert_slice(monitor_log, m, ["segment", "epoch", "step"])
     mon = rolling_alert(log, ["segment"], ["epoch", "step"], "mae", threshold, 5, "rolling_mae", "alert")
-    return {"table": table, "drift": drift, "scored": scored, "monitor": mon}
+    out = {"table": table, "drift": drift, "scored": scored, "monitor": mon}
+    if base is None:
+        return out
+    build = rebuild(out, base)
+    return {name: spark.read.parquet(f"{build}/{name}") for name in out}
 
 
 def retrain(fm: DataFrame, feats: Sequence[str], target: str, alphas: Sequence[float], n_folds: int = 3,

@@ -44,7 +44,8 @@ def team_roster(fact: DataFrame, side: int, epoch: int, segments: Sequence[str]
     f = fact.where(all_of([F.col("side") == side, F.col("epoch") == epoch, in_list("segment", segments)]))
     return (f.groupBy("entity", "segment")
              .agg(F.sum("points").alias("points"), F.sum("minutes").alias("minutes"),
-                  F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), _apps()))
+                  F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), _apps())
+             .orderBy(F.col("points").desc(), "entity", "segment"))
 
 
 # T2
@@ -64,7 +65,7 @@ def team_summary(fact: DataFrame, epoch: int, sort: str = "points") -> DataFrame
     return g.orderBy(F.col(col).desc(), "side")
 
 
-# T4 / T20
+# T4
 def entity_career(fact: DataFrame, entity: int) -> DataFrame:
     return (fact.where(F.col("entity") == entity).groupBy("epoch")
                 .agg(F.sum("points").alias("points"), F.sum("minutes").alias("minutes"),
@@ -80,7 +81,7 @@ def step_results(fact: DataFrame, epoch: int, step: int, min_minutes: int = 0,
     f = fact.where(all_of([F.col("epoch") == epoch, F.col("step") == step,
                            F.col("minutes") >= min_minutes, in_list("segment", segments)]))
     return f.select("entity", "fixture", "segment", "side", "other_side", "minutes", "points",
-                    venue_label(F.col("is_home"), short=True).alias("venue"))
+                    venue_label(F.col("is_home"), short=True).alias("venue")).orderBy(F.col("points").desc(), "entity", "fixture")
 
 
 # T6
@@ -139,7 +140,8 @@ def defensive_record(fact: DataFrame, epoch: int, segment: str, min_minutes: int
              .agg(F.count_distinct(F.when(ga == 0, F.col("fixture"))).alias("clean_sheets"),
                   F.count_distinct("fixture").alias("fixtures"))
              .withColumn("clean_sheet_pct",
-                         F.lit(100.0) * F.col("clean_sheets") / F.nullif(F.col("fixtures"), F.lit(0))))
+                         F.lit(100.0) * F.col("clean_sheets") / F.nullif(F.col("fixtures"), F.lit(0)))
+             .orderBy(F.col("clean_sheet_pct").desc_nulls_last(), "side"))
 
 
 # T12
@@ -189,13 +191,21 @@ def attacking_returns(fact: DataFrame, epoch: int, sort: str, min_apps: int, n:
 
 
 # T17
-def double_steps(fact: DataFrame, epoch: int, step: int | None = None) -> DataFrame:
-    f = fact.where(F.col("epoch") == epoch)
-    if step is not None:
-        f = f.where(F.col("step") == step)
+def double_steps(fact: DataFrame, epoch: int, step: int | None = None, segment: str | None = None) -> DataFrame:
+    f = fact.where(all_of([F.col("epoch") == epoch, (F.col("step") == step) if step is not None else None,
+                           (F.col("segment") == segment) if segment else None]))
     return (f.groupBy("entity", "step")
-             .agg(F.count_distinct("fixture").alias("fixtures"), F.sum("points").alias("points"))
-             .where(F.col("fixtures") > 1))
+             .agg(F.count_distinct("fixture").alias("fixtures"), F.sum("points").alias("points"),
+                  F.sum("minutes").alias("minutes"), F.sum("goals").alias("goals"), F.sum("assists").alias("assists"),
+                  F.round(F.max("price") / 10.0, 1).alias("price"), _latest("side"), _latest("segment"))
+             .where(F.col("fixtures") > 1).orderBy(F.col("points").desc(), "entity", "step"))
+
+
+def double_step_list(fact: DataFrame, epoch: int) -> DataFrame:
+    """The steps of an epoch in which some entity has several fixtures."""
+    return (fact.where(F.col("epoch") == epoch).groupBy("entity", "step")
+                .agg(F.min("fixture").alias("_first"), F.max("fixture").alias("_last"))
+                .where("_first < _last").select("step").distinct().orderBy("step"))
 
 
 # T18
@@ -216,3 +226,26 @@ def suspension_risk(fact: DataFrame, epoch: int, n: int, limit_yellow: int = 5)
              .withColumn("cards_per_app", (F.col("yellow") + F.col("red")) / F.nullif(F.col("apps"), F.lit(0)))
              .withColumn("at_risk", F.col("yellow") >= limit_yellow))
     return g.orderBy(F.col("yellow").desc(), F.col("red").desc(), "entity").limit(n)
+
+
+# T20
+def epoch_history(fact: DataFrame) -> DataFrame:
+    """One row per entity and epoch: totals, first and last price."""
+    o = F.struct("step", "fixture")
+    ga = F.when(F.col("is_home") == 1, F.col("away_score")).otherwise(F.col("home_score"))
+    return (fact.groupBy("entity", "epoch")
+                .agg(*[F.sum(c).alias(c) for c in ("points", "minutes", "goals", "assists")],
+                     F.count_if(ga == 0).alias("clean_sheets"), F.sum("saves").alias("saves"), F.sum("bonus").alias("bonus"),
+                     F.min_by("price", o).alias("start_cost"), F.max_by("price", o).alias("end_cost")))
+
+
+def season_history(history: DataFrame, epochs: DataFrame, entity: int) -> DataFrame:
+    """An entity's history with the labels of the epoch dimension (``epoch, label``)."""
+    def tenths(c: Column) -> Column:
+        return F.round(c / 10.0, 1)
+
+    return (history.where(F.col("entity") == entity).join(epochs.select("epoch", "label"), "epoch")
+                   .select("epoch", F.col("label").alias("season"), "points", "minutes", "goals", "assists", "clean_sheets", "saves", "bonus",
+                           tenths(F.col("start_cost")).alias("start_price"), tenths(F.col("end_cost")).alias("end_price"),
+                           tenths(F.col("end_cost") - F.col("start_cost")).alias("price_change"))
+                   .orderBy("epoch"))

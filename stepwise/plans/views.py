@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.functions.scalars import abbrev3, rank_difficulty
+from stepwise.functions.scalars import abbrev3, rank_difficulty, venue_label
+from stepwise.operators.windows import median_flag, top_n_per_group
+from stepwise.plans.slices import select_slice
 
 
 def quadrants(df: DataFrame, by: Sequence[str], x: str, y: str, labels=("high-high", "high-low", "low-high", "low-low"),
@@ -69,3 +71,36 @@ def price_trajectory(fact: DataFrame) -> DataFrame:
     return per_step.groupBy("entity", "epoch").agg(
         F.min_by("price", "step").alias("start_price"), F.max_by("price", "step").alias("end_price"),
         (F.max_by("price", "step") - F.min_by("price", "step")).alias("delta"), F.sum("points").alias("points"))
+
+
+# V12
+def ranked_predictions(pred: DataFrame, by: Sequence[str], price: str, rank: str, selected: str, n: int,
+                       max_ownership: float = 10.0, differentials: bool = False) -> DataFrame:
+    """Top ``n`` predictions per group with price, opponent difficulty, ownership
+    share and the differential flag (at or above the group's median, owned by
+    less than ``max_ownership`` per cent of the group's selections)."""
+    total = pred.groupBy(*by).agg(F.sum(selected).alias("_all"))
+    p = (pred.join(total, list(by), "left")
+             .withColumn("price", F.round(F.col(price) / 10.0, 1)).withColumn("difficulty", rank_difficulty(F.col(rank)))
+             .withColumn("ownership_pct", F.lit(100.0) * F.col(selected) / F.nullif(F.col("_all"), F.lit(0))))
+    p = median_flag(p, by, "pred", F.col("ownership_pct") < max_ownership, flag_name="differential", skew_safe=True)
+    if differentials:
+        p = p.where("differential")
+    return top_n_per_group(p, by, [F.col("pred").desc(), F.col("entity"), F.col("fixture")], n, rank_name="pick").select(
+        *by, "entity", "fixture", "pred", "price", "difficulty", "ownership_pct", "differential", "pick")
+
+
+# V14
+def captain_candidates(pred: DataFrame, rank: str, n: int = 3) -> DataFrame:
+    """The ``n`` best predictions of a slice, whatever the price."""
+    return (pred.withColumn("difficulty", rank_difficulty(F.col(rank))).withColumn("venue", venue_label(F.col("is_home"), short=True))
+                .orderBy(F.col("pred").desc(), "entity", "fixture").limit(n)
+                .select("entity", "fixture", "segment", "side", "other_side", "venue", "difficulty", "pred"))
+
+
+# V22
+def latest_status(log: DataFrame, threshold: float) -> DataFrame:
+    """Each segment's row of the newest logged slice with its status."""
+    return (select_slice(log, "epoch", "step").withColumn("threshold", F.lit(threshold))
+            .withColumn("status", F.when(F.col("alert"), "ALERT").otherwise("PASS"))
+            .select("segment", "epoch", "step", "mae", "threshold", "status"))

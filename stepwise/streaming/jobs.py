@@ -75,9 +75,10 @@ def ingest_slices(spark: SparkSession, landing: str, schema: StructType, table:
 
 # STR2 ------------------------------------------------------------------------
 def drift_monitor(spark: SparkSession, landing: str, expected: Sequence[str], alerts: str,
-                  epoch_col: str = "epoch", step_col: str = "step") -> DataFrame:
-    """Compare the columns of each batch's files with ``expected``; append
-    one alert row per batch with new and dropped columns (never stops)."""
+                  epoch_col: str = "epoch", step_col: str = "step", max_files: int = 8) -> DataFrame:
+    """Compare the columns of each landed file with ``expected``; append one
+    alert row per file with new or dropped columns (never stops).  A batch holds
+    at most ``max_files`` files, so the driver sees a bounded list of names."""
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, TimestampType
     file_schema = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()),
                               StructField("length", LongType()), StructField("content", BinaryType())])
@@ -96,7 +97,7 @@ def drift_monitor(spark: SparkSession, landing: str, expected: Sequence[str], al
                 out.write.mode("append").parquet(alerts)
     ckpt = f"{checkpoint_dir(spark)}/stream-drift-{uuid.uuid4().hex[:8]}"
     q = (spark.readStream.format("binaryFile").schema(file_schema).option("pathGlobFilter", "*.parquet")
-         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).load(landing)
+         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(landing)
          .select("path").writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
