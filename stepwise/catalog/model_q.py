@@ -347,8 +347,8 @@ RIDGE_FEATS = feature_names()
 
 
 def _long(spark, sf):
-    from stepwise.session import materialized
-    return materialized(spark, ("cv_long", sf), lambda: CV.prepare_folds(feature_matrix(spark, sf), RIDGE_FEATS, 3))
+    from stepwise.session import remember
+    return remember(spark, ("cv_long", sf), lambda: CV.prepare_folds(feature_matrix(spark, sf), RIDGE_FEATS, 3))
 
 
 def _ridge_oof(spark, sf):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stepwise.operators import models as M
 from stepwise.operators import stats as ST
-from stepwise.session import cut_lineage, scratch_path
+from stepwise.session import scratch_path, write_and_reload
 
 FIT_THREADS = 4   # concurrent Spark ML fits (separate jobs share the cluster)
 
@@ -47,13 +47,13 @@ KEYS = ["segment", "epoch", "step", "fixture", "entity"]
 
 def prepare_folds(fm: DataFrame, feats: Sequence[str], n_folds: int = 3) -> DataFrame:
     """Long (row x fold) table with stratified imputation fitted on each
-    fold's training rows (ML1), checkpointed: every model of the fold
-    reads it."""
+    fold's training rows (ML1), written partitioned by fold and segment: every
+    model of the fold reads it, and a fit of one group scans that group only."""
     folds = ST.expanding_folds(fm, "epoch", n_folds)
     long = ST.assign_folds(fm, folds, "epoch")
     train = long.where(F.col("role") == "train")
     means = M.impute_fit_grouped(train, ["segment", "fold"], "epoch", feats)
-    return cut_lineage(M.impute_apply(long, means, "epoch", feats, by=["segment", "fold"]))
+    return write_and_reload(M.impute_apply(long, means, "epoch", feats, by=["segment", "fold"]), "folds", ["fold", "segment"])
 
 
 def ridge_oof(long: DataFrame, feats: Sequence[str], target: str, alphas: Sequence[float],

@@ -11,6 +11,7 @@ from stepwise.operators import stats as ST
 from stepwise.operators.relational import column_drift
 from stepwise.operators.windows import rolling_alert
 from stepwise.plans import cv as CV
+from stepwise.session import write_and_reload
 from stepwise.sources.sinks import rebuild, upsert_slice
 
 
@@ -46,8 +47,9 @@ def retrain(fm: DataFrame, feats: Sequence[str], target: str, alphas: Sequence[f
     if n_epochs < min_epochs:
         raise ValueError(f"need at least {min_epochs} epochs, found {n_epochs}")
     long = CV.prepare_folds(fm, feats, n_folds)
-    oof = CV.ridge_oof(long, feats, target, alphas)
+    oof = write_and_reload(CV.ridge_oof(long, feats, target, alphas), "retrain-oof")   # read by the grid, the metrics and the stack
     grid = CV.alpha_search(oof, target)
+    grid = write_and_reload(grid, "retrain-grid")   # one row per segment and alpha
     best = grid.where("is_best").select("segment", F.col("alpha").alias("best_alpha"))
     oof_best = oof.join(best, "segment").where(F.col("alpha") == F.col("best_alpha"))
     metrics = ST.metrics_with_rank(oof_best, ["segment", "fold"], target, "pred")

@@ -106,22 +106,25 @@ def is_local_path(path: str) -> bool:
 
 
 __all__ = ["get_session", "checkpoint_dir", "scratch_path", "cut_lineage",
-           "write_and_reload", "is_local_path", "materialized"]
+           "write_and_reload", "is_local_path", "materialized", "remember"]
 
 
 _MATERIALIZED: dict = {}
 
 
-def materialized(spark: SparkSession, key, build) -> DataFrame:
+def remember(spark: SparkSession, key, build) -> DataFrame:
+    """What ``build()`` returned for ``key`` before in this application."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _MATERIALIZED:
+        _MATERIALIZED[k] = build()
+    return _MATERIALIZED[k]
+
+
+def materialized(spark: SparkSession, key, build, partition_by: list[str] | None = None) -> DataFrame:
     """Build a derived table once per application and keep it as Parquet in
     the shared checkpoint folder (lineage cut, survives the loss of an
     executor, and later scans get column pruning and filter pushdown).
     Later calls with the same ``key`` reuse it."""
-    k = (spark.sparkContext.applicationId, key)
-    hit = _MATERIALIZED.get(k)
-    if hit is None:
-        name = "_".join(str(x) for x in (key if isinstance(key, tuple) else (key,)))
-        name = "".join(ch if ch.isalnum() else "_" for ch in name)[-60:]
-        hit = write_and_reload(build(), name)
-        _MATERIALIZED[k] = hit
-    return hit
+    name = "_".join(str(x) for x in (key if isinstance(key, tuple) else (key,)))
+    name = "".join(ch if ch.isalnum() else "_" for ch in name)[-60:]
+    return remember(spark, key, lambda: write_and_reload(build(), name, partition_by))

@@ -75,3 +75,19 @@ def test_orphans_not_in_with_a_null_second_key(spark):
     child = spark.createDataFrame([(1, None), (1, 2), (3, 4)], "a int, b int")
     parent = spark.createDataFrame([(1, 2)], "a int, b int")
     assert [tuple(r) for r in R.orphans(child, parent, ["a", "b"], not_in=True).collect()] == [(3, 4)]
+
+
+def test_row_rules_count_planted_violations(spark):
+    from stepwise.operators import quality as Q
+    df = spark.createDataFrame([(1, 95), (2, -1), (None, 10), (4, 90)], "k int, minutes int")
+    rows = Q.row_rules(df, {"A": ("no null key", F.col("k").isNull()), "B": ("at most 90", F.col("minutes") > 90),
+                            "C": ("never 1000", F.col("minutes") == 1000)})
+    got = {r["rule_id"]: (r["violations"], r["passed"]) for r in Q.run_checks([], more=[rows]).collect()}
+    assert got == {"A": (1, False), "B": (1, False), "C": (0, True)}
+
+
+def test_top_set_overlap_counts_empty_intersections(spark):
+    from stepwise.operators import relational as R
+    df = spark.createDataFrame([("g", i, i, -i) for i in range(6)] + [("h", 1, 1, 1)], "g string, k int, a int, b int")
+    got = {r["g"]: (r["overlap"], r["n"]) for r in R.top_set_overlap(df, ["g"], "a", "b", "k", 2).collect()}
+    assert got == {"g": (0, 6), "h": (1, 1)}
