@@ -2,7 +2,7 @@
 
 The base kinds are fixed patterns.  The method reads a text as source or
 configuration: a lexer turns it into name-literal pairs (assignments,
-mappings, flags, attributes), constants are propagated through names and
+mappings, subscripts, flags, attributes), constants are propagated through names and
 concatenations, and a literal is scored by how sensitive the names are that it
 reaches and by its own shape.  Literals that score enough are reported as kind
 ``literal`` unless a base span already covers them.
@@ -69,6 +69,11 @@ SENSITIVE = {
 #: Names that speak about a secret without holding it.
 HARMLESS = {"file", "path", "name", "type", "url", "uri", "length", "len", "size", "count", "expiry", "expires", "ttl", "timeout", "policy", "hint", "label", "field", "id", "regex", "format", "max", "min", "public"}
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$[A-Z_]+|null|none|nil|true|false|undefined|changeme|change_me|example|placeholder|dummy|test|todo|your[_-].*|enter[_-].*)$")
+#: A name given with one or two dashes; its value is the next word or string.
+FLAG = re.compile(r"--?([A-Za-z][\w.-]*)$")
+FLAG_IN_TEXT = re.compile(r"""(?:^|[\s"'`\[(,])--?[A-Za-z]""", re.M)
+OPENS = re.compile(r"[^\S\n]*:?=(?![=>])")  # what gives f(name) a value; f(name): and f(name) => do not
+BRACKETS = {"]": "[", ")": "(", ">": "<"}
 THRESHOLD = 4.0
 MIN_LITERAL = 8
 #: A name links to its last values, a value to so many literals.
@@ -100,12 +105,18 @@ def literal_score(value: str) -> float:
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int]]]]]:
     """(target name, operands) of each assignment-like construct.  An operand is
     ("literal", (start, end)) or ("name", name); several come from ``+``."""
-    before: list[tuple[str, str, int, int]] = []  # words and strings since the last separator on the line
+    before: list[tuple] = []  # words and strings since the last separator on the line
     target: str | None = None
     operands: list = []
     chain: list[str] = []  # names in front of the target: a = b = value, name: type = value
     joined = False
     opener = ""
+    inside: list[tuple[str, str]] = []  # open brackets and the name each follows
+    typed: tuple | None = None  # name: type[..., kept until the bracket ends
+
+    def flag(word: str) -> str:
+        found = FLAG.match(word)
+        return found[1] if found and name_score(found[1]) > 0 else ""
 
     def flush():
         if target and operands:
@@ -126,9 +137,15 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int
             continue
         if kind == "word":
             word = m[0]
+            if opener == "flag" and target is not None and not operands and FLAG.match(word):
+                target = None  # a flag without a value
+            if flag(word):
+                yield from flush()
+                target, operands, joined, opener, chain, before = flag(word), [], False, "flag", [], [("word", word, start, end)]
+                continue
             if target is not None and (not operands or joined):
                 plain = word.rstrip(".,;!?")
-                if opener in ("=", ":", ":=", "=>") and not re.match(r"[A-Za-z_][A-Za-z0-9_.]*$", plain):
+                if opener in ("=", ":", ":=", "=>", "flag") and not re.match(r"[A-Za-z_][A-Za-z0-9_.]*$", plain):
                     operands.append(("literal", (start, start + len(plain))))
                 elif plain:
                     operands.append(("word", (plain, start, start + len(plain))))
@@ -141,27 +158,60 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int
             joined = target is not None and bool(operands)
             continue
         if op in ("=", ":", ":=", "=>") and before and (target is None or op != ":"):
-            name = before[-1][1]
+            name, also = before[-1][1], before[-1][4:]
             if target is not None and len(operands) == 1 and operands[0][0] == "word" and operands[0][1][0] == name:
                 chain = [*chain, target][-MAX_PARTS:]
             else:
                 yield from flush()
                 chain = []
+            chain += also
             target, operands, joined, opener, before = name.lstrip("-$@"), [], False, op, []
             continue
         if op == ":" and target is not None and not operands and before == []:
             continue  # "::"
         if kind == "line" and joined:
             continue
+        if op in ("[", "(", "<"):
+            base = before[-1] if before and before[-1][3] == start else None
+            inside.append((op, "" if not base else base[1].rpartition(".")[2] if base[0] == "string" else base[1]))
+            if base and typed is None and op != "(" and target is not None and opener == ":" and [x[0] for x in operands] == ["word"]:
+                typed = len(inside), target, operands, chain, base
+                target, operands, joined, before, chain = None, [], False, [], []
+                continue
+        if op in BRACKETS and inside and inside[-1][0] == BRACKETS[op]:
+            if typed and typed[0] == len(inside):
+                inside.pop()
+                _, target, operands, chain, base = typed
+                joined, opener, before, typed = False, ":", [(*base[:3], end)], None
+                continue
+            base, last = inside.pop()[1], before[-1] if before and op != ">" else None
+            yield from flush()
+            target, operands, joined, chain = None, [], False, []
+            if last is None or last[0] == "word" and last[1].isdigit():
+                before = [("word", base, start, end)] if base else []
+            elif last[0] == "string":  # the key says whether a table of secrets holds one there
+                before = [("string", f"{base}.{last[1]}", start, end)] if op == "]" else [("string", last[1], start, end)]
+            else:  # a variable as key: it or the name in front may tell
+                before = [("word", last[1], start, end, base)] if base else [("word", last[1], start, end)]
+            if op == ")":
+                after = OPENS.match(text, end)
+                before = before if after else []
+            continue
         if op in ("<", ">", "[", "]", "(", ")", "{", "}", ",", ";") or kind in ("line", "other"):
             yield from flush()
-            target, operands, joined, before, chain = None, [], False, [], []
+            if typed and kind == "line":
+                _, target, operands, chain, _ = typed
+                typed = None
+                yield from flush()
+            told = flag(before[-1][1]) if op == "," and before and before[-1][0] == "string" else ""
+            target, operands, joined, before, chain = told or None, [], False, [], []
+            opener = "flag" if told else opener
     yield from flush()
 
 
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name directly or through constants."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and not FLAG_IN_TEXT.search(text):
         return []
     env: dict[str, list[tuple[int, int]]] = {}
     reach: dict[tuple[int, int], float] = {}

@@ -248,6 +248,20 @@ def test_secret_spans(spark):
     assert got[1].redacted == "é [redacted]'" and got[2].redacted is None and got[3].spans == []
 
 
+@pytest.mark.parametrize("line", [
+    'config["client_secret"] = "{}"', "os.environ['AUTH_KEY'] = '{}'", '$cfg["db_pwd"] = "{}";', 'static const char privateKey[] = "{}";', 'char authKey[KEY_LEN] = "{}";',
+    'cfg["db"]["db_pwd"] = "{}"', 'config[CLIENT_SECRET] = "{}"', 'authKey: Optional[str] = "{}"', 'let db_pwd: Option<String> = "{}"', 'Session("db_pwd") = "{}"',
+    'secrets["alice"] = "{}"', "mysql --user bob --db-pwd {} shop", 'tool --db-pwd "{}"', 'run(["mysql", "--db-pwd", "{}"])', "--password {}"])
+def test_secrets_of_subscripts_and_flags(line):
+    text = line.replace("{}", "aB3$kd93kdLQ")
+    assert [(k, text[s:e]) for k, s, e in secret_scan.find_spans(text)] == [("literal", "aB3$kd93kdLQ")]
+
+
+def test_subscripts_and_flags_without_a_secret():
+    for text in ('secrets["file"] = "aB3$kd93kdLQ"', 'def f(auth_key): "aB3$kd93kdLQ"', "tool --db-pwd --verbose-output", 'x["db_pwd"] = 1\ny = [1]\nz = "aB3$kd93kdLQ"'):
+        assert secret_scan.find_spans(text) == []
+
+
 # ---- 10 ----
 
 def test_simhash_components_equal_brute_force(spark, texts):
