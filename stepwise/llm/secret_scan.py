@@ -2,8 +2,8 @@
 
 The base kinds are fixed patterns.  The method reads a text as source or
 configuration: a lexer turns it into name-literal pairs (assignments,
-mappings, subscripts, flags, attributes), constants are propagated through names and
-concatenations, and a literal is scored by how sensitive the names are that it
+mappings, subscripts, flags, attributes), constants are propagated through names (all
+values assigned to one so far) and concatenations of any length, and a literal is scored by how sensitive the names are that it
 reaches and by its own shape.  Literals that score enough are reported as kind
 ``literal`` unless a base span already covers them.
 
@@ -76,8 +76,13 @@ OPENS = re.compile(r"[^\S\n]*:?=(?![=>])")  # what gives f(name) a value; f(name
 BRACKETS = {"]": "[", ")": "(", ">": "<"}
 THRESHOLD = 4.0
 MIN_LITERAL = 8
-#: A name links to its last values, a value to so many literals.
-MAX_PARTS = 16
+#: A name brings so many characters of its value to the shape of a concatenation it is part of, a literal
+#: all of its own.  Every literal of both is reported, and each is scored on its own as well.
+HEAD = 256
+#: What stands between ``name:`` and ``=`` in typed code; such a word holds no value itself.
+TYPES = {"string", "str", "char", "bytes", "byte", "text", "any", "auto", "const", "var", "object", "int", "number"}
+#: A concatenation goes on behind the line break.
+GOES_ON = re.compile(r"\s*\+")
 
 
 def name_score(name: str) -> float:
@@ -102,14 +107,18 @@ def literal_score(value: str) -> float:
     return (entropy >= 2.5) + (entropy >= 3.5) + (classes >= 2) * 1.0 - (classes == 1 and value.isalpha()) * 1.0
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int]]]]]:
-    """(target name, operands) of each assignment-like construct.  An operand is
-    ("literal", (start, end)) or ("name", name); several come from ``+``."""
+def pairs(text: str) -> Iterator[tuple[list[str], tuple[str, ...], list[tuple]]]:
+    """(target names, names that only tell about the value, operands) of each
+    assignment-like construct.  An operand is ("literal", (start, end)), ("word",
+    (word, start, end)) or ("name", name); several come from ``+`` and adjoining strings."""
     before: list[tuple] = []  # words and strings since the last separator on the line
     target: str | None = None
     operands: list = []
     chain: list[str] = []  # names in front of the target: a = b = value, name: type = value
+    hints: tuple[str, ...] = ()  # variable keys and the name of their table
     joined = False
+    grouped = False  # name = ( over several lines
+    plus = -1
     opener = ""
     inside: list[tuple[str, str]] = []  # open brackets and the name each follows
     typed: tuple | None = None  # name: type[..., kept until the bracket ends
@@ -119,10 +128,8 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int
         return found[1] if found and name_score(found[1]) > 0 else ""
 
     def flush():
-        if target and operands:
-            yield target, operands[:MAX_PARTS]
-            for name in chain:
-                yield name, [("name", target)]
+        if operands and (target or chain or hints):
+            yield [target, *chain], hints, operands
 
     for m in TOKEN.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
@@ -130,7 +137,8 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int
             continue
         if kind in ("string", "triple"):
             q = 3 if kind == "triple" else 1
-            if target is not None and (not operands or joined):
+            adjoins = operands and operands[-1][0] == "literal" and opener != "flag" and before and before[-1][0] == "string"
+            if target is not None and (not operands or joined or adjoins):
                 operands.append(("literal", (start + q, end - q)))
                 joined = False
             before = [("string", text[start + q:end - q], start, end)]
@@ -141,7 +149,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int
                 target = None  # a flag without a value
             if flag(word):
                 yield from flush()
-                target, operands, joined, opener, chain, before = flag(word), [], False, "flag", [], [("word", word, start, end)]
+                target, operands, joined, opener, chain, hints, grouped, before = flag(word), [], False, "flag", [], (), False, [("word", word, start, end)]
                 continue
             if target is not None and (not operands or joined):
                 plain = word.rstrip(".,;!?")
@@ -155,44 +163,51 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int
             continue
         op = m[0] if kind == "op" else ""
         if op == "+":
-            joined = target is not None and bool(operands)
+            joined, plus = target is not None and bool(operands), end
             continue
         if op in ("=", ":", ":=", "=>") and before and (target is None or op != ":"):
-            name, also = before[-1][1], before[-1][4:]
-            if target is not None and len(operands) == 1 and operands[0][0] == "word" and operands[0][1][0] == name:
-                chain = [*chain, target][-MAX_PARTS:]
+            name = before[-1][1].lstrip("-$@")
+            if target is not None and len(operands) == 1 and operands[0][0] == "word" and operands[0][1][0] == before[-1][1]:
+                chain.append(target)
+            elif target is not None and not operands and before[-1][0] == "key":
+                chain.append(target)  # a = table[key] = value
             else:
                 yield from flush()
-                chain = []
-            chain += also
-            target, operands, joined, opener, before = name.lstrip("-$@"), [], False, op, []
+                chain, hints = [], ()
+            hints += before[-1][4:]
+            more = op == "=" and plus == start  # name += value
+            target, operands, joined, opener, before, grouped = name, [("name", name)] if more else [], more, op, [], False
             continue
         if op == ":" and target is not None and not operands and before == []:
             continue  # "::"
-        if kind == "line" and joined:
+        if kind == "line" and (joined or grouped or operands and GOES_ON.match(text, end)):
+            continue
+        if op == "(" and target is not None and not operands and opener != "flag" and not before:
+            inside.append((op, ""))
+            grouped = True
             continue
         if op in ("[", "(", "<"):
             base = before[-1] if before and before[-1][3] == start else None
             inside.append((op, "" if not base else base[1].rpartition(".")[2] if base[0] == "string" else base[1]))
             if base and typed is None and op != "(" and target is not None and opener == ":" and [x[0] for x in operands] == ["word"]:
-                typed = len(inside), target, operands, chain, base
-                target, operands, joined, before, chain = None, [], False, [], []
+                typed = len(inside), target, operands, chain, hints, base
+                target, operands, joined, before, chain, hints = None, [], False, [], [], ()
                 continue
         if op in BRACKETS and inside and inside[-1][0] == BRACKETS[op]:
             if typed and typed[0] == len(inside):
                 inside.pop()
-                _, target, operands, chain, base = typed
+                _, target, operands, chain, hints, base = typed
                 joined, opener, before, typed = False, ":", [(*base[:3], end)], None
                 continue
             base, last = inside.pop()[1], before[-1] if before and op != ">" else None
             yield from flush()
-            target, operands, joined, chain = None, [], False, []
+            target, operands, joined, chain, hints, grouped = None, [], False, [], (), False
             if last is None or last[0] == "word" and last[1].isdigit():
                 before = [("word", base, start, end)] if base else []
             elif last[0] == "string":  # the key says whether a table of secrets holds one there
                 before = [("string", f"{base}.{last[1]}", start, end)] if op == "]" else [("string", last[1], start, end)]
             else:  # a variable as key: it or the name in front may tell
-                before = [("word", last[1], start, end, base)] if base else [("word", last[1], start, end)]
+                before = [("key", "", start, end, last[1], base)]
             if op == ")":
                 after = OPENS.match(text, end)
                 before = before if after else []
@@ -200,11 +215,11 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str | tuple[int, int
         if op in ("<", ">", "[", "]", "(", ")", "{", "}", ",", ";") or kind in ("line", "other"):
             yield from flush()
             if typed and kind == "line":
-                _, target, operands, chain, _ = typed
+                _, target, operands, chain, hints, _ = typed
                 typed = None
                 yield from flush()
             told = flag(before[-1][1]) if op == "," and before and before[-1][0] == "string" else ""
-            target, operands, joined, before, chain = told or None, [], False, [], []
+            target, operands, joined, before, chain, hints, grouped = told or None, [], False, [], [], (), False
             opener = "flag" if told else opener
     yield from flush()
 
@@ -213,33 +228,72 @@ def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name directly or through constants."""
     if "=" not in text and ":" not in text and not FLAG_IN_TEXT.search(text):
         return []
-    env: dict[str, list[tuple[int, int]]] = {}
-    reach: dict[tuple[int, int], float] = {}
-    for target, operands in pairs(text):
-        spans: list[tuple[int, int]] = []
-        value = ""
+    nodes: list[tuple[str, tuple]] = []  # literals, values of operands, and the values of a name up to a point
+    weight: list[float] = []
+    env: dict[str, int] = {}  # name: node of all its values so far, shared by those who use the name
+    scores: dict[str, float] = {}
+
+    def node(kind: str, parts: tuple, names: float = 0.0) -> int:
+        nodes.append((kind, parts))
+        weight.append(names)
+        return len(nodes) - 1
+
+    for targets, hints, operands in pairs(text):
+        parts = []
         for kind, what in operands:
-            if kind == "name":
-                spans += env.get(what, [])
-            elif kind == "word":
-                word, s, e = what
-                if word in env:
-                    spans += env[word]
-                else:
-                    spans.append((s, e))
-            else:
-                spans.append(what)
-        spans = [s for s in spans[-MAX_PARTS:] if s[1] > s[0]]
-        if not spans:
+            name = what if kind == "name" else what[0] if kind == "word" else None
+            if name in env:
+                parts.append(env[name])
+            elif kind != "name":
+                s, e = what[-2:]
+                if e > s:
+                    parts.append(node("literal", (s, e)))
+        if not parts:
+            continue
+        for name in (*targets, *hints):
+            if name not in scores:
+                scores[name] = name_score(name)
+        value = node("value", tuple(parts), max([scores[n] for n in (*targets, *hints)]))
+        for name in targets:
+            if name and name not in TYPES:
+                env[name] = node("name", (value, env[name]) if name in env else (value,))
+    if not any(weight):
+        return []
+
+    # a node comes after its parts: weights go down from the names, shapes up from the literals, scores of joined values down
+    for i in range(len(nodes) - 1, -1, -1):
+        kind, parts = nodes[i]
+        if weight[i] > 0 and kind != "literal":
+            for p in parts:
+                weight[p] = max(weight[p], weight[i])
+    head = [""] * len(nodes)
+    shape = [-4.0] * len(nodes)
+    for i, (kind, parts) in enumerate(nodes):
+        if weight[i] <= 0:
+            continue
+        if kind == "literal":
+            head[i], shape[i] = text[parts[0]:min(parts[1], parts[0] + HEAD)], literal_score(text[parts[0]:parts[1]])
+        elif len(parts) == 1:
+            head[i], shape[i] = head[parts[0]], shape[parts[0]]
+        elif kind == "name":  # of several values, the most telling one stands in concatenations
+            best = max(parts, key=lambda p: (shape[p], len(head[p])))
+            head[i], shape[i] = head[best], shape[best]
+        else:
+            whole = "".join([text[slice(*nodes[p][1])] if nodes[p][0] == "literal" else head[p] for p in parts])
+            head[i], shape[i] = whole[:HEAD], literal_score(whole)
+    total = [-9.0] * len(nodes)
+    reach: dict[tuple[int, int], float] = {}
+    for i in range(len(nodes) - 1, -1, -1):
+        kind, parts = nodes[i]
+        if weight[i] <= 0:
             continue
-        value = "".join(text[s:e] for s, e in spans)
-        env[target] = spans
-        names = name_score(target)
-        if names <= 0:
+        if kind == "literal":
+            reach[parts] = max(reach.get(parts, -9.0), total[i], weight[i] + shape[i])
             continue
-        score = names + literal_score(value)
-        for s in spans:
-            reach[s] = max(reach.get(s, -9.0), score)
+        if kind == "value" and len(parts) > 1:
+            total[i] = max(total[i], weight[i] + shape[i])
+        for p in parts:
+            total[p] = max(total[p], total[i])
     return [("literal", s, e) for (s, e), score in reach.items() if score >= THRESHOLD]
 
 

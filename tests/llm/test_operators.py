@@ -262,6 +262,23 @@ def test_subscripts_and_flags_without_a_secret():
         assert secret_scan.find_spans(text) == []
 
 
+def test_secrets_of_many_parts():
+    def found(t):
+        return [t[s:e] for k, s, e in secret_scan.find_spans(t)]
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHK2345678") for _ in range(11)) for _ in range(30)]
+    quoted = [f'"{p}"' for p in parts]
+    for value in (" + ".join(quoted), " +\n  ".join(quoted), "\n  + ".join(quoted), "(\n" + "\n".join(quoted) + "\n)"):
+        assert found(f'signing_key = {value}\nother = "aB3$kd93kdLQ"') == parts
+    names = [f"part{i}" for i in range(30)]
+    lines = "".join(f"{n} = {q}\n" for n, q in zip(names, quoted))
+    assert found(lines + "signing_key = " + " + ".join(names)) == parts
+    assert found("signing_key = ''\n" + "".join(f"signing_key += {q}\n" for q in quoted)) == parts
+    assert found(" = ".join(names) + ' = "aB3$kd93kdLQ"\ndb_pwd = part0') == ["aB3$kd93kdLQ"]
+    assert found('if a:\n  k = "aB3$kd93kdLQ"\nelse:\n  k = "changeme"\nif b:\n  k = "zQ9$kd93kdLW"\ndb_pwd = k') == ["aB3$kd93kdLQ", "zQ9$kd93kdLW"]
+    assert found('name: string = "aB3$kd93kdLQ"\ndb_pwd: string\n') == []
+
+
 # ---- 10 ----
 
 def test_simhash_components_equal_brute_force(spark, texts):
