@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.llm.common import release, slices
@@ -56,16 +56,17 @@ def fingerprint_text(text: str | None, n: int, seed: int) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(votes)).tobytes(), "big")
 
 
-def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long."""
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed: int = 42, marks: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, fp): the fingerprint of every row as a signed long; then the longs ``marks`` as m0, m1 and so on."""
+    names = [f"m{i}" for i in range(len(marks))]
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[m.cast("long").alias(c) for m, c in zip(marks, names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fp = np.array([fingerprint_text(t.as_py(), n, seed) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp), *[b.column(c) for c in names]], ["id", "fp", *names])
 
-    return src.mapInArrow(run, "id long, fp long")
+    return src.mapInArrow(run, "id long, fp long" + "".join(f", {c} long" for c in names))
 
 
 def _lowest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -210,25 +211,41 @@ def link_fingerprints(fps: DataFrame, fp_col: str = "fp", bits: int = 3) -> Data
     return posts.mapInArrow(run, "a long, b long").distinct()
 
 
+def _with_roots(first: DataFrame, bits: int) -> DataFrame:
+    """``first``, one row per fingerprint, with ``root``: the smallest linked fingerprint."""
+    roots = connected_components(link_fingerprints(first, "fp", bits), "a", "b")
+    linked = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return linked.select(*first.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp, component_id) per row; ``component_id`` is the smallest id whose
     fingerprint is reachable through links (null where every such id is null)."""
     fps = write_and_reload(simhash(df, id_col, text_col, n, seed), "simhash")
     first = write_and_reload(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-first")
-    roots = connected_components(link_fingerprints(first, "fp", bits), "a", "b")
-    linked = write_and_reload(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                              .select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    linked = write_and_reload(_with_roots(first, bits), "simhash-roots")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = linked.join(lowest, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
 def keep_first_of_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of ``df``, all columns, that stand for their component: its smallest id.
-
-    Repeated rows of that id collapse to one; rows without an id go unless their
-    whole component has none, and then one stays."""
-    own = simhash_components(df, id_col, text_col, n, bits)
-    stay = own.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_keep_id")).distinct()
-    kept = df.join(stay, df[id_col].cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of ``df``, all columns, for each component: the one with the smallest id.
+
+    A null id comes after all others.  Of rows that share the id, the one whose text,
+    and then whose other columns, come first by hash and length; equal rows collapse."""
+    text = F.col(text_col).cast("string")
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    marks = (F.xxhash64(text), F.coalesce(F.octet_length(text), F.lit(-1)), F.xxhash64(*hashable))
+    names = ["m0", "m1", "m2"]
+    fps = simhash(df, id_col, text_col, n, marks=marks)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", *names)
+    first = write_and_reload(fps.groupBy("fp").agg(F.min(place).alias("place")), "simhash-first")
+    stay = write_and_reload(_with_roots(first, bits).groupBy("root").agg(F.min("place").alias("place")).select("place.id", *[f"place.{c}" for c in names]), "simhash-stay")
+    stay = stay.toDF("_keep_id", *[f"_keep_{c}" for c in names])
+    own = df.withColumns({"_own_id": F.col(id_col).cast("long"), **{f"_own_{c}": m.cast("long") for c, m in zip(names, marks)}})
+    same = F.col("_own_id").eqNullSafe(F.col("_keep_id"))
+    for c in names:
+        same = same & (F.col(f"_own_{c}") == F.col(f"_keep_{c}"))
+    kept = own.join(stay, same, "left_semi").dropDuplicates(["_own_id", *[f"_own_{c}" for c in names]])
+    return kept.drop("_own_id", *[f"_own_{c}" for c in names])

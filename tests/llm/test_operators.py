@@ -358,6 +358,19 @@ def test_links_of_clustered_fingerprints(spark, monkeypatch, direct):
     assert all(len(v) == 1 for v in got.values()) and len(got) == len(set(want.values()))
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, b), (None, c), (4, c), (7, d), (7, e), (7, e), (9, d), (None, None), (None, "")]
+    blanks = []  # a null and an empty text have one fingerprint; either may stand for it, always the same one
+    for texts in (rows, rows[::-1]):
+        kept = simhash_dedup.keep_first_of_components(frame(spark, texts)).collect()
+        got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+        assert [x for x in got if x[1]] == sorted([(None, a), (None, b), (4, c), (7, d), (7, e)], key=str)
+        blanks.append([x for x in got if not x[1]])
+    assert len(blanks[0]) == 1 and blanks[0] == blanks[1]
+    assert set(kept[0].asDict()) == {"doc_id", "text", "id", "k", "h", "n", "spans", "bucket", "runs", "fp", "data"}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(5, 5), (200, 201), (201, 200), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
