@@ -187,7 +187,7 @@ def _rows(buckets: np.ndarray, docs: np.ndarray, keys: np.ndarray, doc: np.ndarr
     for s, e in zip(lead, np.r_[lead[1:], len(buckets)]):
         own, where = np.unique(doc[s:e], return_inverse=True)
         for c, v in zip(cols, (int(buckets[s]), docs[own].tobytes(), keys[s:e].tobytes() if len(keys) else b"", where.astype(np.int32).tobytes(),
-                               start[s:e].astype(np.int64).tobytes(), width[s:e].astype(np.uint8).tobytes())):
+                               start[s:e].astype(np.int64).tobytes(), width[s:e].astype(np.int32).tobytes())):
             c.append(v)
     kinds = [pa.int32()] + [pa.binary()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "docs", "keys", "doc", "start", "width"])
@@ -199,7 +199,7 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     for d, w, s, x, y in zip(*(table.column(c).to_pylist() for c in ("docs", "doc", "start", "width", "keys"))):
         docs.append(np.frombuffer(d, np.int64).reshape(-1, 2)[np.frombuffer(w, np.int32)])
         start.append(np.frombuffer(s, np.int64))
-        width.append(np.frombuffer(x, np.uint8))
+        width.append(np.frombuffer(x, np.int32))
         keys.append(y)
     if not docs:
         return np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
@@ -307,7 +307,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                     start, width = np.array([s for s, _ in some]), np.array([w for _, w in some])
                     around = b"".join([data[s:s + w + length - 1].to_pybytes() for s, w in some])
                     for c, v in zip(cols, (bucket, np.array([k, h], np.int64).tobytes(), around, np.zeros(len(some), np.int32).tobytes(),
-                                           start.tobytes(), width.astype(np.uint8).tobytes())):
+                                           start.tobytes(), width.astype(np.int32).tobytes())):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "docs", "keys", "doc", "start", "width"])
             if split:
@@ -341,7 +341,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, long)[window]).view(f"S{long}").ravel()
             run = np.repeat(np.arange(s, e), width[s:e])
             begin = start[run] + window - at[run]
-            seen = family.add(keys, rank[run] * 256 + (begin - start[run]))
+            seen = family.add(keys, rank[run] * length + (begin - start[run]))
             hit = np.flatnonzero(seen)
             if len(hit):  # runs of neighbouring windows
                 lead = np.r_[True, (run[hit[1:]] != run[hit[:-1]]) | (hit[1:] != hit[:-1] + 1)]

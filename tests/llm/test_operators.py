@@ -68,6 +68,17 @@ def test_repeats_equal_brute_force(spark, texts, monkeypatch, small):
     assert got == cut_by_hand([(low if k is None else k, (t or "").encode()) for k, t in rows], 100)
 
 
+@pytest.mark.parametrize("length", [64, 300, 700])
+def test_repeats_of_any_length(spark, monkeypatch, length):
+    monkeypatch.setattr(span_dedup, "BATCH_WINDOWS", 900)
+    rng = random.Random(length)
+    a, b = (" ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(400)) for _ in range(2))
+    rows = [(1, a), (2, "x " + a[40:] + b), (3, b[7:900] + a[300:1400]), (4, "a" * 1500), (5, "b" + "a" * 1400)]
+    got = span_dedup.remove_repeats(frame(spark, rows).repartition(3), length=length).collect()
+    got = sorted((r.id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got)
+    assert got == cut_by_hand([(k, t.encode()) for k, t in rows], length)
+
+
 def test_repeats_whole_characters(spark):
     a = "é" * 80
     rows = span_dedup.remove_repeats(frame(spark, [(1, "x" + a), (2, "zz" + a)]), whole_chars=True).collect()
