@@ -233,6 +233,13 @@ def _settled(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     return table.filter(pc.invert(done)), table.filter(done)
 
 
+def _spread(k: np.ndarray, h: np.ndarray, start: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets that settled entries travel with: by id, text and 64 KB of the text, so
+    that neither copies of a text nor a long one meet in one group."""
+    mixed = _mix(h.astype(np.uint64) ^ _mix(k.astype(np.uint64)) ^ _mix((start >> 16).astype(np.uint64) + np.uint64(1)))
+    return -1 - (_mix(mixed) % np.uint64(buckets)).astype(np.int64)
+
+
 def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(k, h, start, width): removed runs of windows of ``docs`` (k, h, data)."""
     if length < 2 * GRAM:
@@ -256,7 +263,7 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             seen = IndexFamily().add(keys, order)
             ids = np.stack([k, h], 1)
             bucket = (gram % np.uint64(buckets)).astype(np.int64)
-            for part, b, key in ((~seen, bucket[~seen], keys[~seen]), (seen, -1 - doc[seen] % buckets, keys[:0])):
+            for part, b, key in ((~seen, bucket[~seen], keys[~seen]), (seen, _spread(k[doc[seen]], h[doc[seen]], start[seen], buckets), keys[:0])):
                 rows = _rows(b, ids, key, doc[part], start[part], width[part])
                 if rows is not None:
                     yield rows

@@ -79,6 +79,13 @@ def test_repeats_of_any_length(spark, monkeypatch, length):
     assert got == cut_by_hand([(k, t.encode()) for k, t in rows], length)
 
 
+def test_settled_entries_spread():
+    n, one = 4000, np.ones(4000, np.int64)
+    for k, start in ((np.arange(n), 0 * one), (7 * one, np.arange(n) << 16)):  # copies of a text, one long text
+        got = np.bincount(-1 - span_dedup._spread(k, -5 * one, start, 16), minlength=16)
+        assert len(got) == 16 and got.max() < 400
+
+
 def test_repeats_whole_characters(spark):
     a = "é" * 80
     rows = span_dedup.remove_repeats(frame(spark, [(1, "x" + a), (2, "zz" + a)]), whole_chars=True).collect()
