@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm import fingerprints, language_id, packing, piece_bpe, quality_rules, rule_ensemble, secret_scan, simhash_dedup, span_dedup, warc
+from stepwise.llm import (filter_audit, fingerprints, language_id, line_runs, packing, piece_bpe, quality_rules, rule_ensemble, secret_scan, simhash_dedup,
+                          span_dedup, spelling, warc)
 from stepwise.llm.common import held_out, table
 from stepwise.session import scratch_path
 
@@ -89,9 +90,25 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents"), "doc_id", "text", min_chars=20, min_docs=3)
+    return out.select(F.col("key").alias("doc_id"), "n_lines", "n_dropped", _sha(F.col("kept")).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "source")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), "doc_id", "text", min_chars=5, min_count=3)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_rules, op3_fingerprints, op4_sentencepiece, op5_warc, op6_rule_ensemble, op7_language_id, op8_packing,
-    op9_secret_scan, op10_simhash_dedup)}
+    op9_secret_scan, op10_simhash_dedup, op11_line_dedup, op12_filter_audit, op13_spelling_variants)}
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op11_line_dedup": line_runs.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
