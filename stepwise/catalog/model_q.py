@@ -341,6 +341,8 @@ def q_ml3_one(spark, sf):
 
 # ------------------------------------------------------------ CV runner and learners
 from stepwise.plans import cv as CV  # noqa: E402
+from stepwise.plans import folds as FD  # noqa: E402
+from stepwise.plans import runner as RN  # noqa: E402
 from stepwise.plans.features import feature_names  # noqa: E402
 
 RIDGE_FEATS = feature_names()
@@ -351,46 +353,122 @@ def _long(spark, sf):
     return remember(spark, ("cv_long", sf), lambda: CV.prepare_folds(feature_matrix(spark, sf), RIDGE_FEATS, 3))
 
 
-def _ridge_oof(spark, sf):
-    from stepwise.session import materialized
-    return materialized(spark, ("ridge_oof", sf),
-                        lambda: CV.ridge_oof(_long(spark, sf), RIDGE_FEATS, "points", [0.1, 1.0, 10.0, 100.0, 1000.0]))
+def _folds(spark, sf):
+    from stepwise.session import remember
+    return remember(spark, ("folds", sf), lambda: FD.Folds(feature_matrix(spark, sf), RIDGE_FEATS, "points", 3))
+
 
+ALPHAS = [0.1, 1.0, 10.0, 100.0, 1000.0]
 
-@register("cv_ridge_alpha_grid", ids=("CV3", "CV2", "ML3", "ML1", "ML2", "SNK6"))
+
+@register("cv_ridge_alpha_grid", ids=("CV3", "CV2", "ML3", "ML1", "ML2"))
 def q_cv3(spark, sf):
-    return CV.alpha_search(_ridge_oof(spark, sf), "points")
+    return FD.ridge_alpha_grid(_folds(spark, sf), ALPHAS)
+
+
+#: The last three epochs of the feature matrix validate folds 1 to 3.
+FOLD_CTE = """fd AS (SELECT epoch AS val_epoch, CAST(4 - r AS INTEGER) AS fold FROM (
+  SELECT epoch, row_number() OVER (ORDER BY epoch DESC) AS r FROM (SELECT DISTINCT epoch FROM fm) a) b WHERE r <= 3)"""
+
+
+@register("cv_ridge_alpha_grid_two_features", with_ctes("""
+em AS (SELECT segment, epoch, avg(points_roll5) AS e1, avg(opp_ga_prior_rate) AS e2 FROM fm GROUP BY ALL),
+gm AS (SELECT segment, fold, avg(points_roll5) AS g1, avg(opp_ga_prior_rate) AS g2 FROM fm JOIN fd ON epoch < val_epoch GROUP BY ALL),
+tr AS (SELECT segment, fold, coalesce(points_roll5, e1, g1, 0.0) AS x1, coalesce(opp_ga_prior_rate, e2, g2, 0.0) AS x2, points AS y
+       FROM fm JOIN fd ON epoch < val_epoch JOIN em USING (segment, epoch) JOIN gm USING (segment, fold)),
+s AS (SELECT segment, fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, avg(y) AS my,
+        covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM tr GROUP BY ALL),
+ab AS (SELECT s.*, alpha, n + alpha AS a1, n * c12 / (s1 * s2) AS a2, n * c1 / s1 AS b1, n * c2 / s2 AS b2
+       FROM s, (SELECT unnest([0.1, 1.0, 10.0, 100.0, 1000.0])::DOUBLE AS alpha) al),
+be AS (SELECT *, (a1 * b1 - a2 * b2) / (a1 * a1 - a2 * a2) AS w1, (a1 * b2 - a2 * b1) / (a1 * a1 - a2 * a2) AS w2 FROM ab),
+mf AS (SELECT f.segment, fd.fold, alpha, avg(abs(my + w1 * (coalesce(points_roll5, g1, 0.0) - m1) / s1
+                                                 + w2 * (coalesce(opp_ga_prior_rate, g2, 0.0) - m2) / s2 - points)) AS mae
+       FROM fm f JOIN fd ON f.epoch = val_epoch JOIN gm ON gm.segment = f.segment AND gm.fold = fd.fold
+       JOIN be ON be.segment = f.segment AND be.fold = fd.fold GROUP BY ALL),
+mm AS (SELECT segment, alpha, avg(mae) AS mean_mae FROM mf GROUP BY ALL)
+SELECT segment, alpha, mean_mae, best_alpha, alpha = best_alpha AS is_best
+FROM mm JOIN (SELECT segment, arg_min(alpha, struct_pack(m := mean_mae, a := alpha)) AS best_alpha FROM mm GROUP BY segment) t USING (segment)""",
+    *FM_SQL, FOLD_CTE).replace("\nem AS (", "\n, em AS (", 1), ids=("CV3", "CV2", "ML1", "ML2", "ML3"))
+def q_cv3_two(spark, sf):
+    """The alpha search on two features, whose ridge has a closed form in SQL."""
+    return FD.ridge_alpha_grid(FD.Folds(feature_matrix(spark, sf), ["points_roll5", "opp_ga_prior_rate"], "points", 3), ALPHAS)
+
+
+@register("ml_collinear_columns", with_ctes("""
+em AS (SELECT segment, epoch, avg(goals_roll5) AS e1, avg(xg_roll5) AS e2, avg(goals_roll5 + xg_roll5) AS e3 FROM fm GROUP BY ALL),
+x AS (SELECT segment, coalesce(goals_roll5, e1) AS x1, coalesce(xg_roll5, e2) AS x2, coalesce(goals_roll5 + xg_roll5, e3) AS x3
+      FROM fm JOIN em USING (segment, epoch)),
+r AS (SELECT segment, 1 - corr(x1, x2) ** 2 >= 1 - corr(x1, x3) ** 2 AS second FROM x GROUP BY segment)
+SELECT segment, CASE WHEN second THEN 'xgi_roll5' ELSE 'xg_roll5' END AS dropped,
+       CASE WHEN second THEN 'goals_roll5,xg_roll5' ELSE 'goals_roll5,xgi_roll5' END AS kept FROM r""", *FM_SQL)
+    .replace("\nem AS (", "\n, em AS (", 1), ids=("ML3",))
+def q_ml3_collinear(spark, sf):
+    """A sum of two features is found and dropped by name, whichever of the three the pivots leave last."""
+    fm = feature_matrix(spark, sf).withColumn("xgi_roll5", F.col("goals_roll5") + F.col("xg_roll5"))
+    return FD.dependent_columns(FD.Folds(fm, ["goals_roll5", "xg_roll5", "xgi_roll5"], "points", 3))
+
+
+def _graph(spark, sf):
+    """Models of the feature matrix.  ``market`` is not registered, so what needs it is skipped."""
+    bases = ["ridge", "bayesian_ridge", "rolling", "venue_mean"]
+    return RN.Graph([
+        RN.linear("ridge", FD.ridge(10.0)), RN.linear("bayesian_ridge", FD.bayesian(), std=True),
+        RN.linear("lasso", FD.enet(0.1, 1.0)), RN.linear("elastic_net", FD.enet(0.5, 0.5)),
+        RN.rolling("points_roll5"), RN.venue_mean(),
+        RN.fitted("poisson", "poisson", lambda: _long(spark, sf), family="glm", alpha=1e-4),
+        RN.average("average", bases), RN.stacking(bases), RN.blending(["ridge", "bayesian_ridge", "poisson"]),
+        RN.average("baselines", ["rolling", "venue_mean"]), RN.average("with_market", ["ridge", "market"])])
+
+
+def _run(spark, sf, *names):
+    from stepwise.session import remember
+    return remember(spark, ("run", sf, names), lambda: RN.run(_graph(spark, sf), _folds(spark, sf), names))
 
 
-@register("cv_oof_metrics", ids=("CV2", "ST4", "ST7", "ST12", "SNK7"))
+@register("cv_oof_metrics", ids=("CV2", "ST4", "ST12", "UDX1"))
 def q_cv2(spark, sf):
-    oof = _ridge_oof(spark, sf).where(F.col("alpha") == 10.0)
-    m = ST.metrics_with_rank(oof, ["segment", "fold"], "points", "pred")
-    return ST.learning_curve(_long(spark, sf), m, ["segment"])
+    """Metrics per model, segment and fold of a run of the model graph; a skipped model is one row with its reason."""
+    run = _run(spark, sf, "stacking", "average", "lasso", "elastic_net", "with_market")
+    gone = spark.createDataFrame(list(run.skipped.items()), "model string, skipped string")
+    return run.metrics().withColumn("skipped", F.lit(None).cast("string")).unionByName(gone, allowMissingColumns=True)
+
+
+@register("ml_average_baselines", with_ctes("""
+tm AS (SELECT segment, fold, avg(points) AS m FROM fm JOIN fd ON epoch < val_epoch GROUP BY ALL),
+vm AS (SELECT segment, fold, is_home, avg(points) AS v FROM fm JOIN fd ON epoch < val_epoch GROUP BY ALL),
+pr AS (SELECT f.segment, fd.fold, points, coalesce(points_roll5, tm.m) AS p1, coalesce(vm.v, tm.m) AS p2
+       FROM fm f JOIN fd ON f.epoch = val_epoch LEFT JOIN tm ON tm.segment = f.segment AND tm.fold = fd.fold
+       LEFT JOIN vm ON vm.segment = f.segment AND vm.fold = fd.fold AND vm.is_home = f.is_home)
+SELECT segment, fold, count(*) AS n, avg(abs(p1 - points)) AS mae_rolling, avg(abs(p2 - points)) AS mae_venue_mean,
+       avg(abs((p1 + p2) / 2 - points)) AS mae_average FROM pr GROUP BY ALL""", *FM_SQL, FOLD_CTE)
+    .replace("\ntm AS (", "\n, tm AS (", 1), ids=("ML17", "ML8", "ML9", "UDX1"))
+def q_ml17_average(spark, sf):
+    f = _run(spark, sf, "baselines").frame
+    return f.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("n"), *[
+        F.avg(F.abs(F.col(f"pred_{p}") - F.col("points"))).alias(f"mae_{a}") for p, a in (("rolling", "rolling"), ("venue_mean", "venue_mean"), ("baselines", "average"))])
 
 
 @register("ml_bayesian_ridge", ids=("ML6",))
 def q_ml6(spark, sf):
-    long = _long(spark, sf)
-    tr, va = long.where("role = 'train'"), long.where("role = 'val'")
-    c = M.fit_linear(tr, ["segment", "fold"], RIDGE_FEATS, "points", [0.0], "bayesian_ridge",
-                     solver=M.bayesian_ridge_solver())
-    p = M.linear_predict(va, c, ["segment", "fold"], RIDGE_FEATS, "pred", std_name="pred_std")
-    return p.groupBy("segment", "fold").agg(F.avg("pred").alias("mean_pred"), F.avg("pred_std").alias("mean_std"),
-                                            F.avg(F.abs(F.col("pred") - F.col("points"))).alias("mae"))
+    f = _run(spark, sf, "bayesian_ridge").frame
+    return f.groupBy("segment", "fold").agg(F.avg("pred_bayesian_ridge").alias("mean_pred"), F.avg("pred_std_bayesian_ridge").alias("mean_std"),
+                                            F.avg(F.abs(F.col("pred_bayesian_ridge") - F.col("points"))).alias("mae"))
+
+
+#: Points a component is worth, by segment where it differs.
+COMPONENT_POINTS = {"goals": 4.0, "assists": 3.0, "bonus": 1.0, "saves": 0.0, "yellow": -1.0}
+SEGMENT_POINTS = {"AFRICA": COMPONENT_POINTS | {"goals": 6.0, "saves": 1.0 / 3}, "ASIA": COMPONENT_POINTS | {"goals": 6.0},
+                  "AMERICA": COMPONENT_POINTS | {"goals": 5.0}}
 
 
 @register("ml_component_model", ids=("ML15", "JN15", "JN11"))
 def q_ml15(spark, sf):
     from stepwise.operators.relational import reattach
-    comps = ["goals", "assists", "bonus"]
-    long = reattach(_long(spark, sf), B.fact(spark, sf), ["epoch", "step", "fixture", "entity"], comps)
-    tr = long.where("role = 'train'")
-    va = long.where("role = 'val'")
-    c = M.fit_components(tr, ["segment", "fold"], RIDGE_FEATS, comps, 1.0)
-    w = {"goals": 4.0, "assists": 3.0, "bonus": 1.0}
-    p = M.predict_components(va, c, ["segment", "fold"], RIDGE_FEATS, w, ["entity", "fixture", "epoch"])
-    return p.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"))
+    comps = list(COMPONENT_POINTS)
+    rows = reattach(feature_matrix(spark, sf), B.fact(spark, sf), ["epoch", "step", "fixture", "entity"], comps)
+    p = FD.components(FD.Folds(rows, RIDGE_FEATS, "points", 3, more=comps), comps, SEGMENT_POINTS, COMPONENT_POINTS)
+    return p.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"),
+                                            F.avg(F.abs(F.col("pred") - F.col("points"))).alias("mae"))
 
 
 @register("ml_pairwise_ridge", ids=("ML16",))
@@ -418,22 +496,32 @@ def _learner(kind, **params):
     return q
 
 
-register("ml_lasso", ids=("ML5",))(_learner("lasso", alpha=0.1))
-register("ml_elastic_net", ids=("ML4",))(_learner("elasticnet", alpha=0.5, l1_ratio=0.5))
-register("ml_poisson_glm", ids=("ML7",))(_learner("poisson", alpha=1e-4))
+def _one_model(name):
+    def q(spark, sf):
+        run = _run(spark, sf, name)
+        return ST.regression_metrics(run.frame, ["segment", "fold"], "points", f"pred_{name}").withColumn("model", F.lit(name))
+    return q
+
+
+register("ml_lasso", ids=("ML5",))(_one_model("lasso"))
+register("ml_elastic_net", ids=("ML4",))(_one_model("elastic_net"))
+register("ml_poisson_glm", ids=("ML7",))(_one_model("poisson"))
 register("ml_random_forest", ids=("ML12",))(_learner("forest", trees=200, depth=6))
 register("ml_gradient_boosting", ids=("ML13",))(_learner("gbt", trees=30, depth=4))
 
 
-@register("ml_stacking", ids=("ML17", "AGG17"))
+def _ensemble_mae(f, *names):
+    return f.groupBy("segment", "fold").agg(*[F.avg(F.abs(F.col(f"pred_{m}") - F.col("points"))).alias(f"mae_{m}") for m in names])
+
+
+@register("ml_stacking", ids=("ML17", "UDX1"))
 def q_ml17(spark, sf):
-    oof = _ridge_oof(spark, sf).where(F.col("alpha").isin(1.0, 100.0)) \
-        .withColumn("model", F.concat(F.lit("ridge_"), F.col("alpha").cast("int").cast("string")))
-    base = oof.select(*CV.KEYS, "fold", "points", "model", "pred")
-    st = CV.stack(base, ["ridge_1", "ridge_100"], "points")
-    return st.groupBy("segment", "fold").agg(
-        F.avg(F.abs(F.col("pred_average") - F.col("points"))).alias("mae_average"),
-        F.avg(F.abs(F.col("pred_stacking") - F.col("points"))).alias("mae_stacking"))
+    return _ensemble_mae(_run(spark, sf, "stacking", "average").frame, "average", "stacking")
+
+
+@register("ml_blending", ids=("ML17", "ML4", "UDX1"))
+def q_ml17_blending(spark, sf):
+    return _ensemble_mae(_run(spark, sf, "blending").frame, "ridge", "bayesian_ridge", "poisson", "blending")
 
 
 @register("ml_padded_sequences", with_ctes("""
@@ -448,31 +536,34 @@ def q_ml18(spark, sf):
                     F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x).alias("seq_sum"))
 
 
-@register("ml_full_fit_metadata", ids=("ML19", "SNK4"))
+@register("ml_full_fit_metadata", ids=("ML19",))
 def q_ml19(spark, sf):
-    cv = CV.alpha_search(_ridge_oof(spark, sf), "points").where("is_best").select(
+    cv = FD.ridge_alpha_grid(_folds(spark, sf), ALPHAS).where("is_best").select(
         "segment", F.col("alpha").alias("cv_alpha"), F.col("mean_mae").alias("cv_mae"))
-    return CV.full_fit_and_save(feature_matrix(spark, sf), RIDGE_FEATS, "points", 10.0, cv)
+    return CV.full_fit_and_save(_folds(spark, sf), 10.0, cv)
 
 
-@register("ml_score_slice_ensemble", ids=("ML20", "FLT5", "WIN13"))
-def q_ml20(spark, sf):
+def score_slice(spark, sf, models=("ridge", "rolling", "venue", "market")):
+    """ML20: the newest slice scored by every model of the list that there is; another one's column is null."""
     from stepwise.plans.slices import select_slice
     fm = feature_matrix(spark, sf)
     train = fm.where(F.col("epoch") < val_epoch(fm))
-    sl = select_slice(fm, "epoch", "step", val_epoch(fm))
-    means = M.impute_fit_grouped(train, ["segment"], "epoch", RIDGE_FEATS)
-    imp_tr = M.impute_apply(train, means, "epoch", RIDGE_FEATS, by=["segment"])
-    imp_sl = M.impute_apply(sl, means, "epoch", RIDGE_FEATS, by=["segment"])
-    c = M.fit_linear(imp_tr, ["segment"], RIDGE_FEATS, "points", [10.0])
-    p = M.linear_predict(imp_sl, c, ["segment"], RIDGE_FEATS, "pred_ridge")
+    p = select_slice(fm, "epoch", "step", val_epoch(fm))
     tm = train.groupBy("segment").agg(F.avg("points").alias("_tm"))
-    p = p.join(F.broadcast(tm), "segment").withColumn("pred_rolling", F.coalesce("points_roll5", "_tm"))
-    p = M.venue_mean_baseline(train, p, ["segment"], "is_home", "points", "pred_venue")
-    p = M.average_ensemble(p, ["pred_ridge", "pred_rolling", "pred_venue"], "pred_ensemble")
+    known = {
+        "ridge": lambda d: FD.score(d, FD.full_fit(FD.Folds(train, RIDGE_FEATS, "points", 3), 10.0), RIDGE_FEATS, "pred_ridge"),
+        "rolling": lambda d: d.join(F.broadcast(tm), "segment", "left").withColumn("pred_rolling", F.coalesce("points_roll5", "_tm")).drop("_tm"),
+        "venue": lambda d: M.venue_mean_baseline(train, d, ["segment"], "is_home", "points", "pred_venue")}
+    for m in models:
+        p = known[m](p) if m in known else p.withColumn(f"pred_{m}", F.lit(None).cast("double"))
+    return M.average_ensemble(p, [f"pred_{m}" for m in models], "pred_ensemble")
+
+
+@register("ml_score_slice_ensemble", ids=("ML20", "FLT5", "WIN13"))
+def q_ml20(spark, sf):
     from stepwise.operators.windows import top_n_per_group
-    return top_n_per_group(p.select("segment", "entity", "fixture", "pred_ridge", "pred_rolling", "pred_venue",
-                                    "pred_ensemble"),
+    p = score_slice(spark, sf)
+    return top_n_per_group(p.select("segment", "entity", "fixture", "pred_ridge", "pred_rolling", "pred_venue", "pred_market", "pred_ensemble"),
                            ["segment"], [F.col("pred_ensemble").desc(), F.col("entity"), F.col("fixture")], 5,
                            rank_name="rank")
 

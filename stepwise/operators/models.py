@@ -1,4 +1,4 @@
-"""Models (ML1-ML20, CV2, CV3, UDX1).
+"""Models (ML1-ML20); the model graph (UDX1) is :mod:`stepwise.plans.runner`.
 
 Linear models are fitted from sufficient statistics: one ``agg`` pass
 computes ``n, sum x, sum y, sum x x', sum x y, sum y^2`` per group (segment,
@@ -416,31 +416,57 @@ class ModelSpec:
 
 
 class Registry:
-    """Model registry: ``fit(train_df, spec) -> model``, ``predict(model, df) -> df``."""
+    """Models by name; anything with ``name``, ``family`` and ``deps`` can be registered."""
 
     def __init__(self):
-        self._specs: dict[str, ModelSpec] = {}
+        self._specs: dict = {}
 
-    def register(self, spec: ModelSpec) -> ModelSpec:
+    def register(self, spec):
+        if spec.name in self._specs:
+            raise ValueError(f"model {spec.name} is registered already")
         self._specs[spec.name] = spec
         return spec
 
-    def get(self, name: str) -> ModelSpec:
+    def get(self, name: str):
         return self._specs[name]
 
-    def by_family(self, family: str) -> list[ModelSpec]:
+    def by_family(self, family: str) -> list:
         return [s for s in self._specs.values() if s.family == family]
 
-    def resolve(self, names: Sequence[str]) -> list[ModelSpec]:
-        """Specs in dependency order (dependencies first)."""
-        seen: list[str] = []
-
-        def visit(n):
-            for d in self._specs[n].deps:
-                visit(d)
-            if n not in seen:
-                seen.append(n)
-        for n in names:
-            visit(n)
-        return [self._specs[n] for n in seen]
-
+    def order(self, names: Sequence[str]) -> tuple[list, dict[str, str]]:
+        """Models to run, dependencies first, and the skipped ones with the reason.
+
+        A ring of dependencies is an error that names the ring."""
+        runs: dict[str, bool] = {}     # name: whether it can run
+        skipped: dict[str, str] = {}
+        out: list = []
+        for start in names:
+            path: list[str] = []
+            stack = [(start, False)]
+            while stack:
+                name, leaving = stack.pop()
+                if leaving:
+                    path.pop()
+                    lacking = [d for d in self._specs[name].deps if not runs[d]]
+                    runs[name] = not lacking
+                    if lacking:
+                        skipped[name] = "needs " + ", ".join(lacking)
+                    else:
+                        out.append(self._specs[name])
+                elif name in path:
+                    raise ValueError("models depend on each other: " + " -> ".join([*path[path.index(name):], name]))
+                elif name not in self._specs:
+                    runs[name] = False
+                    skipped[name] = "not registered"
+                elif name not in runs:
+                    path.append(name)
+                    stack.append((name, True))
+                    stack += [(d, False) for d in reversed(self._specs[name].deps)]
+        return out, skipped
+
+    def resolve(self, names: Sequence[str]) -> list:
+        """Models in dependency order (dependencies first); an unknown name is an error."""
+        out, skipped = self.order(names)
+        if skipped:
+            raise KeyError(", ".join(f"{k}: {v}" for k, v in skipped.items()))
+        return out

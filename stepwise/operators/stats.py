@@ -55,7 +55,12 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, name: str = "spea
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     d = average_rank(d, by, x, "_rx")
     d = average_rank(d, by, y, "_ry")
-    return d.groupBy(*by).agg(F.corr("_rx", "_ry").alias(name))
+    return d.groupBy(*by).agg(correlation("_rx", "_ry").alias(name))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation of a group; null where a column does not vary (``corr`` fails there in ANSI mode)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 # ST4 -------------------------------------------------------------------------

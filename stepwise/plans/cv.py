@@ -1,9 +1,9 @@
-"""Cross-validation runner, alpha search, full fit and slice scoring
-(CV2, CV3, ML14, ML17, ML19, ML20)."""
+"""Cross-validation of learners that read rows, two-stage models and the saved
+full fit (CV2, ML12-ML14, ML16, ML19).  Linear models are in
+:mod:`stepwise.plans.folds`, the model graph in :mod:`stepwise.plans.runner`."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stepwise.operators import models as M
 from stepwise.operators import stats as ST
+from stepwise.plans import folds as FD
 from stepwise.session import scratch_path, write_and_reload
 
 FIT_THREADS = 4   # concurrent Spark ML fits (separate jobs share the cluster)
@@ -75,14 +76,6 @@ def _predict_all_alphas(val: DataFrame, coefs: DataFrame, feats: Sequence[str])
     return j.withColumn("pred", pred).drop("intercept", "coef", "mu", "sd", "cov", "noise_var")
 
 
-def alpha_search(oof: DataFrame, target: str) -> DataFrame:
-    """CV3: mean fold MAE per (segment, alpha) and the best alpha per segment."""
-    m = ST.regression_metrics(oof, ["segment", "alpha", "fold"], target, "pred")
-    mean = m.groupBy("segment", "alpha").agg(F.avg("mae").alias("mean_mae"))
-    best = mean.groupBy("segment").agg(F.min_by("alpha", F.struct("mean_mae", "alpha")).alias("best_alpha"))
-    return mean.join(best, "segment").withColumn("is_best", F.col("alpha") == F.col("best_alpha"))
-
-
 def two_stage(long: DataFrame, feats: Sequence[str], target: str, minutes: str, start_min: int = 60,
               alpha: float = 1.0, min_rows: int = 10, start_feats: Sequence[str] | None = None) -> DataFrame:
     """ML14: P(start) x E[y | start] + (1 - P) x E[y | bench] per segment and
@@ -133,43 +126,13 @@ def spark_learner_oof(long: DataFrame, feats: Sequence[str], target: str, kind:
     return _per_group(long, f"oof-{kind}", fit_one).withColumn("model", F.lit(kind))
 
 
-def stack(oof_long: DataFrame, models: Sequence[str], target: str, alpha: float = 0.5) -> DataFrame:
-    """ML17: average and stacking on out-of-fold predictions.  The stacker of
-    fold k is a ridge on the base predictions of folds < k; with fewer than
-    two earlier folds it falls back to the average."""
-    wide = oof_long.groupBy(*KEYS, "fold", target).pivot("model", list(models)).agg(F.first("pred"))
-    wide = M.average_ensemble(wide, models, "pred_average")
-    folds = sorted(r["fold"] for r in wide.select("fold").distinct().collect())
-    parts = []
-    for k in folds:
-        va = wide.where(F.col("fold") == k)
-        earlier = [f for f in folds if f < k]
-        if len(earlier) < 2:
-            parts.append(va.withColumn("pred_stacking", F.col("pred_average")))
-            continue
-        tr = wide.where(F.col("fold").isin(earlier)).na.drop(subset=list(models))
-        c = M.fit_linear(tr, ["segment"], models, target, [alpha], "stacking")
-        p = M.linear_predict(va.na.fill(0.0, subset=list(models)), c, ["segment"], models, "pred_stacking")
-        parts.append(p)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
-def full_fit_and_save(fm: DataFrame, feats: Sequence[str], target: str, alpha: float, cv_mae: DataFrame,
-                      path: str | None = None) -> DataFrame:
+def full_fit_and_save(data: FD.Folds, alpha: float, cv_mae: DataFrame, path: str | None = None) -> DataFrame:
     """ML19: fit on every epoch, write coefficients and a metadata row per
     segment (features, epochs, rows, CV MAE) as Parquet."""
-    spark = fm.sparkSession
-    means = M.impute_fit_grouped(fm, ["segment"], "epoch", feats)
-    imp = M.impute_apply(fm, means, "epoch", feats, by=["segment"])
-    coefs = M.fit_linear(imp, ["segment"], feats, target, [alpha])
-    meta = (fm.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"),
-                                      F.array_sort(F.collect_set("epoch")).alias("epochs"))
-              .withColumn("features", F.lit(json.dumps(list(feats))))
-              .join(cv_mae, "segment", "left"))
+    spark = data.rows.sparkSession
     path = path or scratch_path(spark, "model")
-    coefs.write.mode("overwrite").parquet(f"{path}/coefficients")
-    meta.write.mode("overwrite").parquet(f"{path}/metadata")
+    FD.full_fit(data, alpha).write.mode("overwrite").parquet(f"{path}/coefficients")
+    fitted = spark.read.parquet(f"{path}/coefficients")
+    meta = fitted.select("segment", F.to_json("features").alias("features"), F.transform("epochs", lambda e: e.cast("int")).alias("epochs"), "rows")
+    meta.join(cv_mae, "segment", "left").write.mode("overwrite").parquet(f"{path}/metadata")
     return spark.read.parquet(f"{path}/metadata").withColumn("path", F.lit(path))

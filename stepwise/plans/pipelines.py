@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stepwise.operators import stats as ST
 from stepwise.operators.relational import column_drift
 from stepwise.operators.windows import rolling_alert
-from stepwise.plans import cv as CV
+from stepwise.plans import folds as FD
+from stepwise.plans import runner as RN
 from stepwise.session import write_and_reload
 from stepwise.sources.sinks import rebuild, upsert_slice
 
@@ -46,22 +47,25 @@ def retrain(fm: DataFrame, feats: Sequence[str], target: str, alphas: Sequence[f
     n_epochs = fm.select("epoch").distinct().count()
     if n_epochs < min_epochs:
         raise ValueError(f"need at least {min_epochs} epochs, found {n_epochs}")
-    long = CV.prepare_folds(fm, feats, n_folds)
-    oof = write_and_reload(CV.ridge_oof(long, feats, target, alphas), "retrain-oof")   # read by the grid, the metrics and the stack
-    grid = CV.alpha_search(oof, target)
-    grid = write_and_reload(grid, "retrain-grid")   # one row per segment and alpha
+    data = FD.Folds(fm, feats, target, n_folds)
+    grid = write_and_reload(FD.ridge_alpha_grid(data, alphas), "retrain-grid")   # one row per segment and alpha
     best = grid.where("is_best").select("segment", F.col("alpha").alias("best_alpha"))
-    oof_best = oof.join(best, "segment").where(F.col("alpha") == F.col("best_alpha"))
-    metrics = ST.metrics_with_rank(oof_best, ["segment", "fold"], target, "pred")
+    chosen = {r["segment"]: r["best_alpha"] for r in best.collect()}   # bounded by the segments of the moments
+    bases = [RN.linear(f"ridge_{i}", FD.ridge(a)) for i, a in enumerate(alphas)] + [RN.linear("bayesian_ridge", FD.bayesian()), RN.venue_mean()]
+    names = [m.name for m in bases]
+    run = RN.run(RN.Graph([*bases, RN.average("average", names), RN.stacking(names)]), data, ["average", "stacking"])
+    pick = F.lit(None).cast("double")
+    for seg, a in chosen.items():
+        pick = F.when(F.col("segment") == F.lit(seg), F.col(f"pred_ridge_{list(alphas).index(a)}")).otherwise(pick)
+    oof = run.frame.withColumn("pred", pick)
+    metrics = ST.metrics_with_rank(oof, ["segment", "fold"], target, "pred")
     cv_mae = metrics.groupBy("segment").agg(F.avg("mae").alias("cv_mae"))
-    tag = F.concat(F.lit("alpha_"), (F.col("alpha") * 1000).cast("bigint").cast("string"))
-    stacked = CV.stack(oof.withColumn("model", tag).select(*CV.KEYS, "fold", target, "model", "pred"),
-                       [f"alpha_{int(a * 1000)}" for a in alphas], target)
     summary = (metrics.groupBy("segment").agg(F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"),
                                               F.avg("r2").alias("mean_r2"), F.avg("spearman").alias("mean_spearman"))
                       .join(best, "segment"))
-    stack_mae = stacked.groupBy("segment").agg(
+    stack_mae = oof.groupBy("segment").agg(
         F.avg(F.abs(F.col("pred_stacking") - F.col(target))).alias("stacking_mae"),
         F.avg(F.abs(F.col("pred_average") - F.col(target))).alias("average_mae"))
     summary = summary.join(stack_mae, "segment", "left")
+    stacked = oof
     return {"grid": grid, "metrics": metrics, "cv_mae": cv_mae, "stacked": stacked, "summary": summary}
