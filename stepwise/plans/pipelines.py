@@ -37,7 +37,7 @@ def run_slice(existing: DataFrame, new_slice: DataFrame, keys: Sequence[str], ex
     if base is None:
         return out
     build = rebuild(out, base)
-    return {name: spark.read.parquet(f"{build}/{name}") for name in out}
+    return {name: build.read(name) for name in out}
 
 
 def retrain(fm: DataFrame, feats: Sequence[str], target: str, alphas: Sequence[float], n_folds: int = 3,

@@ -1,46 +1,28 @@
 """Sinks (SNK1-SNK7).
 
-Writes go to new paths and are published afterwards, so a failed job never
-leaves a half-written table behind, and every writer is idempotent.
+Builds, logs and saved runs are versioned tables (:mod:`stepwise.sources.versions`),
+so a failed job never leaves a half-written table behind.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.session import path_exists
+from stepwise.sources.versions import Change, Store, upsert_slice
 
+__all__ = ["rebuild", "upsert_slice", "snapshot", "export_csv", "cached_table", "freshness_key", "append_log", "save_cv_results"]
 
-# SNK1 ------------------------------------------------------------------------
-def rebuild(tables: Mapping[str, DataFrame], base: str) -> str:
-    """Full rebuild in dependency order into a fresh build folder; a
-    manifest table written last marks the build complete."""
-    spark = next(iter(tables.values())).sparkSession
-    build = f"{base.rstrip('/')}/build={int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{build}/{name}")
-    spark.createDataFrame([(build, list(tables))], "build string, tables array<string>") \
-        .write.mode("append").parquet(f"{base.rstrip('/')}/_manifest")
-    return build
-
-
-def current_build(spark: SparkSession, base: str) -> str:
-    m = spark.read.parquet(f"{base.rstrip('/')}/_manifest")
-    return m.agg(F.max("build")).first()[0]
 
-
-# SNK2 / STR1 -----------------------------------------------------------------
-def upsert_slice(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replace rows whose key occurs in ``new`` (e.g. ``(step, fixture)``)
-    and append ``new``; replaying a slice leaves the table unchanged.  An
-    empty new slice returns ``existing`` as is."""
-    drop = new.select(*keys).distinct()
-    return existing.join(drop, list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+# SNK1 ------------------------------------------------------------------------
+def rebuild(tables: Mapping[str, DataFrame], base: str) -> Store:
+    """Full rebuild of several tables, published together as one version."""
+    store = Store(next(iter(tables.values())).sparkSession, base)
+    store.commit({name: Change(df) for name, df in tables.items()})
+    return store
 
 
 # SNK3 / SNK5 -----------------------------------------------------------------
@@ -70,24 +52,16 @@ def freshness_key(df: DataFrame, cols: Sequence[str]) -> str:
 
 
 # SNK6 / SNK7 -----------------------------------------------------------------
-def append_log(df: DataFrame, path: str, replace_keys: Sequence[str] | None = None) -> DataFrame:
-    """Append-only log; with ``replace_keys`` rows of the same key are
-    replaced (drop + append) and the new version is written beside the old."""
-    spark = df.sparkSession
-    old = spark.read.parquet(path) if path_exists(spark, path) else None
-    if old is None:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    if replace_keys:
-        merged = upsert_slice(old, df, replace_keys)
-        tmp = f"{path.rstrip('/')}_v{uuid.uuid4().hex[:8]}"
-        merged.write.mode("overwrite").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    df.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def save_cv_results(metrics: DataFrame, oof: DataFrame, base: str) -> None:
-    metrics.write.mode("overwrite").parquet(f"{base}/metrics")
-    oof.write.mode("overwrite").partitionBy("segment").parquet(f"{base}/oof")
+def append_log(df: DataFrame, path: str, replace_keys: Sequence[str] | None = None, partition: str | None = None) -> DataFrame:
+    """Append to a log; with ``replace_keys`` rows of the same key are replaced, and
+    with ``partition`` only the partitions of the new rows are written again."""
+    store = Store(df.sparkSession, path)
+    store.commit({"data": Change(df, "upsert" if replace_keys else "append", tuple(replace_keys or ()), partition)})
+    return store.read()
+
+
+def save_cv_results(metrics: DataFrame, oof: DataFrame, base: str) -> Store:
+    """Metrics and out-of-fold predictions of one run, published together."""
+    store = Store(metrics.sparkSession, base)
+    store.commit({"metrics": Change(metrics), "oof": Change(oof, partition="segment")})
+    return store

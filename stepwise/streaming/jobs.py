@@ -1,15 +1,17 @@
 """Streaming jobs (STR1-STR3).
 
-Each job is ``readStream`` over a landing folder -> ``foreachBatch``.  The
-batch function is idempotent (upsert on a key), the checkpoint lives below the
-shared checkpoint folder, and ``availableNow`` processes everything present
-and stops -- the weekly increments of the reference become micro-batches.
+Each job is ``readStream`` over a landing folder -> ``foreachBatch`` with
+``availableNow``: it processes what has landed since its last run and stops.
+Its checkpoint lies beside the table it writes, one per landing folder, so a
+later call goes on where the last one ended.  Every batch is committed to a
+versioned table together with its number; a batch that is run again after a
+failure finds its number in the ledger and adds nothing.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,32 +20,28 @@ from pyspark.sql.types import StructType
 
 from stepwise.operators.relational import column_drift
 from stepwise.operators.windows import rolling_alert
-from stepwise.session import checkpoint_dir, cut_lineage, path_exists
-from stepwise.sources.sinks import upsert_slice
+from stepwise.session import cut_lineage
+from stepwise.sources.versions import Change, Store
 
 
-def _versioned_write(df: DataFrame, table: str) -> None:
-    """Write a new version next to the table, then point the table at it
-    (an atomic publish through a small pointer file in the table folder)."""
-    spark = df.sparkSession
-    version = f"{table.rstrip('/')}/v={int(time.time() * 1e6)}-{uuid.uuid4().hex[:6]}"
-    df.write.mode("overwrite").parquet(version)
-    spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(f"{table}/_versions")
+def checkpoint_of(table: str, landing: str) -> str:
+    """The durable checkpoint of the job that brings ``landing`` into ``table``."""
+    return f"{table.rstrip('/')}/_stream/{hashlib.sha256(landing.rstrip('/').encode()).hexdigest()[:16]}"
 
 
-def read_table(spark: SparkSession, table: str) -> DataFrame | None:
-    if not path_exists(spark, f"{table}/_versions"):
-        return None
-    v = spark.read.parquet(f"{table}/_versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(v)
+def _run(stream: DataFrame, fn, checkpoint: str) -> None:
+    """Run ``fn(rows, job, batch)`` on every new batch; ``job`` is the checkpoint's own id,
+    so batch numbers of a checkpoint that was thrown away are not taken for its successor's."""
+    spark = stream.sparkSession
 
+    def batch(df: DataFrame, number: int) -> None:
+        meta = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])
+        fn(df, meta["id"], number)
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-def _run(spark: SparkSession, src: str, schema: StructType, fn, name: str, max_files: int = 1) -> None:
-    ckpt = f"{checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:8]}"
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
-         .writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+
+def _files(spark: SparkSession, landing: str, schema: StructType, max_files: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
 
 
 # STR1 ------------------------------------------------------------------------
@@ -52,25 +50,21 @@ def ingest_slices(spark: SparkSession, landing: str, schema: StructType, table:
     """Upsert every landed slice into ``table`` (partitioned by
     ``partition``) on ``keys``; replaying a slice changes nothing.
 
-    Only the partitions present in a batch are rewritten (dynamic partition
-    overwrite), so the cost of a batch follows the batch, not the table.  Of rows
-    of a batch that share their keys the largest stays.  A failing read, merge or
-    checkpoint fails the batch, which is then run again; nothing is overwritten."""
-    def batch(df: DataFrame, _epoch_id: int) -> None:
+    Only the partitions present in a batch are written again, so the cost of a batch
+    follows the batch, not the table.  Of rows of a batch that share their keys the
+    largest stays.  A failing read, merge or checkpoint fails the batch, which the
+    next call runs again; readers keep the version before it."""
+    store = Store(spark, table)
+
+    def batch(df: DataFrame, job: str, number: int) -> None:
         rest = [c for c in df.columns if c not in keys]
         new = (df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_rest")).select(*keys, "_rest.*").select(*df.columns)
                if rest else df.select(*keys).distinct())
-        parts = [r[0] for r in new.select(partition).distinct().collect()]   # partition values of the batch
-        if not parts:
-            return
-        merged = new
-        if path_exists(spark, table):
-            old = spark.read.parquet(table).where(F.col(partition).isin(parts))
-            merged = cut_lineage(upsert_slice(old, new, keys))   # read and overwrite the same partitions
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy(partition).parquet(table))
-    _run(spark, landing, schema, batch, "ingest", max_files)
-    return spark.read.parquet(table)
+        new = cut_lineage(new)   # read for its partitions, its keys and its rows
+        store.commit({"data": Change(new, "upsert", tuple(keys), partition)}, job, number)
+    _run(_files(spark, landing, schema, max_files), batch, checkpoint_of(table, landing))
+    out = store.read()
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 # STR2 ------------------------------------------------------------------------
@@ -83,26 +77,26 @@ def drift_monitor(spark: SparkSession, landing: str, expected: Sequence[str], al
     file_schema = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()),
                               StructField("length", LongType()), StructField("content", BinaryType())])
 
-    def batch(df: DataFrame, epoch_id: int) -> None:
-        paths = [r["path"] for r in df.select("path").collect()]   # file names of this batch
-        for p in paths:
-            cols = spark.read.parquet(p).columns
-            new, dropped = column_drift(expected, cols)
+    store = Store(spark, alerts)
+
+    def batch(df: DataFrame, job: str, number: int) -> None:
+        found = None
+        for p in [r["path"] for r in df.select("path").collect()]:   # file names of this batch
+            rows = spark.read.parquet(p)
+            new, dropped = column_drift(expected, rows.columns)
             if new or dropped:
-                row = spark.read.parquet(p).agg(F.max(epoch_col).alias("epoch"), F.max(step_col).alias("step"))
-                out = row.select(F.lit(epoch_id).alias("batch"), "epoch", "step",
-                                 F.lit(",".join(new)).alias("new_columns"),
-                                 F.lit(",".join(dropped)).alias("dropped_columns"),
-                                 F.current_timestamp().alias("logged_at"))
-                out.write.mode("append").parquet(alerts)
-    ckpt = f"{checkpoint_dir(spark)}/stream-drift-{uuid.uuid4().hex[:8]}"
-    q = (spark.readStream.format("binaryFile").schema(file_schema).option("pathGlobFilter", "*.parquet")
-         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(landing)
-         .select("path").writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if path_exists(spark, alerts):
-        return spark.read.parquet(alerts)
+                row = rows.agg(F.max(epoch_col).alias("epoch"), F.max(step_col).alias("step")).select(
+                    F.lit(number).cast("long").alias("batch"), "epoch", "step", F.lit(",".join(new)).alias("new_columns"),
+                    F.lit(",".join(dropped)).alias("dropped_columns"), F.current_timestamp().alias("logged_at"))
+                found = row if found is None else found.union(row)
+        if found is not None:
+            store.commit({"data": Change(found, "append")}, job, number)
+    stream = (spark.readStream.format("binaryFile").schema(file_schema).option("pathGlobFilter", "*.parquet")
+              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(landing).select("path"))
+    _run(stream, batch, checkpoint_of(alerts, landing))
+    out = store.read()
+    if out is not None:
+        return out
     return spark.createDataFrame([], "batch long, epoch int, step int, new_columns string, "
                                      "dropped_columns string, logged_at timestamp")
 
@@ -115,17 +109,19 @@ def error_monitor(spark: SparkSession, landing: str, schema: StructType, log: st
 
     The log keeps mergeable sums (n, absolute and squared error) per slice and
     landed file, upserted on both: a slice may come in several files and
-    batches, and a file delivered again replaces its own sums."""
+    batches, and a file delivered again replaces its own sums.  A batch
+    writes the epochs it touches."""
     key = list(by) + ["epoch", "step"]
 
-    def batch(df: DataFrame, _epoch_id: int) -> None:
+    store = Store(spark, log)
+
+    def batch(df: DataFrame, job: str, number: int) -> None:
         e = F.col(pred) - F.col(y)
         m = (df.withColumn("_file", F.input_file_name()).groupBy(*key, "_file")
              .agg(F.count(e).alias("n"), F.sum(F.abs(e)).alias("abs_sum"), F.sum(e * e).alias("sq_sum")))
-        old = read_table(spark, log)
-        _versioned_write(m if old is None else upsert_slice(old, m, [*key, "_file"]), log)
-    _run(spark, landing, schema, batch, "monitor", max_files)
-    sums = read_table(spark, log)
+        store.commit({"data": Change(cut_lineage(m), "upsert", (*key, "_file"), "epoch")}, job, number)
+    _run(_files(spark, landing, schema, max_files), batch, checkpoint_of(log, landing))
+    sums = store.read()
     if sums is None:
         raise ValueError(f"no slice has landed in {landing}")
     per_slice = sums.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("abs_sum").alias("_a"), F.sum("sq_sum").alias("_s"))
