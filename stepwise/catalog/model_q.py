@@ -526,14 +526,19 @@ def q_ml17_blending(spark, sf):
 
 @register("ml_padded_sequences", with_ctes("""
 SELECT entity, epoch, CAST(block AS INTEGER) AS block, CAST(count(*) AS INTEGER) AS n_steps,
-       sum(coalesce(points_roll3, 0.0) + coalesce(minutes_roll3, 0.0)) AS seq_sum FROM (
-  SELECT *, (row_number() OVER (PARTITION BY entity, epoch ORDER BY step, fixture) - 1) // 38 AS block FROM fm) t
+       string_agg(x, ',' ORDER BY pos) || repeat(',0:0', CAST(38 - count(*) AS INTEGER)) AS seq,
+       repeat('1', CAST(count(*) AS INTEGER)) || repeat('0', CAST(38 - count(*) AS INTEGER)) AS mask FROM (
+  SELECT *, pos // 38 AS block FROM (
+    SELECT entity, epoch, row_number() OVER (PARTITION BY entity, epoch ORDER BY step, fixture) - 1 AS pos,
+           CAST(round(coalesce(points_roll3, 0.0) * 1000) AS BIGINT) || ':' || CAST(round(coalesce(minutes_roll3, 0.0) * 1000) AS BIGINT) AS x FROM fm) a) t
 GROUP BY entity, epoch, block""", *FM_SQL), ids=("ML18",))
 def q_ml18(spark, sf):
+    """Each block's steps in order, in thousandths, and its mask, as text."""
     s = M.padded_sequences(feature_matrix(spark, sf), ["entity", "epoch"], ["step", "fixture"],
                            ["points_roll3", "minutes_roll3"], 38)
-    return s.select("entity", "epoch", "block", "n_steps",
-                    F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x).alias("seq_sum"))
+    thousandths = F.transform("seq", lambda x: F.array_join(F.transform(x, lambda v: F.round(v * 1000).cast("bigint").cast("string")), ":"))
+    return s.select("entity", "epoch", "block", "n_steps", F.array_join(thousandths, ",").alias("seq"),
+                    F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "").alias("mask"))
 
 
 @register("ml_full_fit_metadata", ids=("ML19",))

@@ -3,8 +3,8 @@
 Everything is a ``groupBy().agg()`` of mergeable aggregates, so Catalyst plans
 a partial (map-side) aggregate before the shuffle and a hot key costs one
 partial row per task, not a third of the data in one task.  Exact percentiles
-are mergeable too (value->count maps); ``approx=True`` switches to the
-fixed-size ``percentile_approx`` sketch for very wide value domains.
+come from positions by ranges (:mod:`stepwise.operators.positions`);
+``approx=True`` switches to the fixed-size ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -14,11 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _pct(col: str, probs, approx: bool, accuracy: int = 10000) -> Column:
-    if approx:
-        return F.percentile_approx(col, probs, accuracy)
-    return F.percentile(col, probs)
+from stepwise.operators.positions import exact_quantiles, join_null_safe
 
 
 # AGG7 -------------------------------------------------------------------------
@@ -58,42 +54,34 @@ def dedupe_exact(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> tup
 
 
 # AGG13 / AGG14 / AGG15 ------------------------------------------------------
-def describe(df: DataFrame, by: Sequence[str], col: str, approx: bool = False,
-             skew_safe: bool = False) -> DataFrame:
+def _with_quantiles(base: DataFrame, df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], names: Sequence[str],
+                    approx: bool) -> DataFrame:
+    """``base`` with a group's quantiles; a group without values has nulls."""
+    if approx:
+        q = df.groupBy(*by).agg(F.percentile_approx(col, F.array(*[F.lit(p) for p in probs]), 10000).alias("_q"))
+        q = q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        q = exact_quantiles(df, by, col, probs, names)
+    return join_null_safe(base, q, by, "left") if by else base.join(F.broadcast(q), how="left")   # one row
+
+
+def describe(df: DataFrame, by: Sequence[str], col: str, approx: bool = False, skew_safe: bool = True) -> DataFrame:
     """``DataFrame.describe()`` per group: count, mean, sample std, min,
     25/50/75 (linear interpolation), max.
 
-    ``skew_safe=True`` computes the exact quartiles with
-    :func:`stepwise.operators.stats.exact_quantiles`, which never merges a
-    whole group in one task."""
-    if skew_safe:
-        from stepwise.operators.stats import exact_quantiles
-        base = (df.groupBy(*by).agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
-                                    F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
-                                    F.max(col).alias("max")))
-        q = exact_quantiles(df, by, col, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-        j = base.join(q, list(by), "left") if by else base.join(F.broadcast(q), how="left")
-        return j.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-    q = _pct(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), approx)
-    return (df.groupBy(*by)
-              .agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
-                   F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
-                   q.alias("_q"), F.max(col).alias("max"))
-              .select(*by, "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                      F.col("_q")[2].alias("p75"), "max"))
+    Quartiles are exact whatever a group's size (``skew_safe`` is always on);
+    ``approx`` takes them from a fixed-size sketch."""
+    base = df.groupBy(*by).agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                               F.min(col).alias("min"), F.max(col).alias("max"))
+    out = _with_quantiles(base, df, by, col, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], approx)
+    return out.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def spread(df: DataFrame, by: Sequence[str], col: str, approx: bool = False) -> DataFrame:
     """Median, p5, p95, sample std and coefficient of variation per group."""
-    q = _pct(col, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), approx)
-    return (df.groupBy(*by)
-              .agg(F.count(col).alias("n"), F.avg(col).alias("mean"),
-                   F.stddev_samp(col).alias("std"), q.alias("_q"))
-              .select(*by, "n", "mean", "std",
-                      F.col("_q")[0].alias("p5"), F.col("_q")[1].alias("median"),
-                      F.col("_q")[2].alias("p95"),
-                      (F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv")))
+    base = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"))
+    out = _with_quantiles(base, df, by, col, [0.05, 0.5, 0.95], ["p5", "median", "p95"], approx)
+    return out.select(*by, "n", "mean", "std", "p5", "median", "p95", (F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"))
 
 
 # AGG16 ------------------------------------------------------------------------

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepwise.operators.positions import prefix
+
 
 # ML1 -------------------------------------------------------------------------
 def impute_fit(train: DataFrame, epoch: str, feats: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -384,12 +386,10 @@ def padded_sequences(df: DataFrame, group: Sequence[str], order: Sequence[str],
     """Ordered feature sequences per group cut into consecutive blocks of
     ``length`` rows, each padded with zeros and a boolean mask.
 
-    A long group yields several blocks (nothing is dropped), so no single row
-    or task holds an unbounded array.
+    A long group yields several blocks (nothing is dropped), and positions come
+    from prefix counts over ranges, so no row and no task holds a whole group.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(*group).orderBy(*order)
-    d = df.withColumn("_pos", F.row_number().over(w) - 1)
+    d = prefix(df, group, order, name="_pos")
     d = d.withColumn("block", (F.col("_pos") / length).cast("int"))
     g = d.groupBy(*group, "block").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_pos"), F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0))

@@ -1,9 +1,8 @@
 """Statistics, metrics and folds (ST1-ST15, CV1).
 
-Ranks for Spearman are computed without a global window: values are cut into
-range buckets from a mergeable quantile sketch, ties are collapsed to one row
-per distinct value, and each bucket's rank offset is a prefix sum over the
-(small) bucket table.  A hot value or a huge group therefore never lands in a
+Ranks for Spearman come from :mod:`stepwise.operators.positions`: ties are
+collapsed to one row per distinct value, and positions are prefix sums over
+ranges of values.  A hot value or a huge group therefore never lands in a
 single task, and the result is exact.
 """
 
@@ -14,40 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepwise.operators.positions import average_rank, exact_quantiles
 from stepwise.operators.windows import top_n_per_group
 
 
 # ST2 -------------------------------------------------------------------------
-def average_rank(df: DataFrame, by: Sequence[str], col: str, name: str, buckets: int = 64) -> DataFrame:
-    """Add the 1-based average rank of ``col`` within ``by`` (ties share the
-    mean of their positions, as ``pandas.rank()``); nulls get a null rank."""
-    by = list(by)
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = (df.where(F.col(col).isNotNull()).groupBy(*by)
-               .agg(F.array_distinct(F.percentile_approx(col, probs, 1000)).alias("_edges")))
-    x = F.col(col)
-    keyed = _join_small(df, edges, by).withColumn(
-        "_b", F.when(x.isNotNull(), F.size(F.filter("_edges", lambda e: e < x))))
-    # one row per distinct value: ties collapse, so a hot value is one row
-    vals = keyed.where(x.isNotNull()).groupBy(*by, "_b", col).agg(F.count(F.lit(1)).alias("_n"))
-    wv = Window.partitionBy(*by, "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("_below_in_b", F.coalesce(F.sum("_n").over(wv), F.lit(0)))
-    sizes = vals.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-    wb = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-    ranks = (vals.join(sizes, by + ["_b"])
-                 .select(*by, col, (F.col("_off") + F.col("_below_in_b") + (F.col("_n") + 1) / 2.0).alias(name)))
-    return keyed.drop("_edges", "_b").join(ranks, by + [col], "left")
-
-
-def _join_small(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
-    if by:
-        return df.join(small, by, "left")
-    return (df.withColumn("_k", F.lit(0))
-              .join(F.broadcast(small.withColumn("_k", F.lit(0))), "_k", "left").drop("_k"))
-
-
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, name: str = "spearman",
              key: Sequence[str] | None = None) -> DataFrame:
     """Spearman correlation per group (Pearson on average ranks), rows with a
@@ -187,45 +157,3 @@ def learning_curve(long: DataFrame, metrics: DataFrame, by: Sequence[str]) -> Da
     """Fold metrics next to the **computed** training-set size of the fold."""
     sizes = long.where(F.col("role") == "train").groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("train_rows"))
     return metrics.join(sizes, list(by) + ["fold"], "left")
-
-
-# AGG13 / AGG14 (skew-safe) ---------------------------------------------------
-def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Exact linear-interpolation quantiles (``numpy``/``quantile_cont``
-    semantics) per group without merging a whole group in one task.
-
-    Values are cut into range buckets (mergeable sketch), collapsed to one row
-    per distinct value with its position range, and each wanted position is
-    looked up inside its own bucket only (an equi-join on ``(group, bucket)``).
-    """
-    by = list(by)
-    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    d = df.where(F.col(col).isNotNull()).select(*by, col)
-    qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = d.groupBy(*by).agg(F.array_distinct(F.percentile_approx(col, qs, 1000)).alias("_edges"))
-    x = F.col(col)
-    keyed = _join_small(d, edges, by).withColumn("_b", F.size(F.filter("_edges", lambda e: e < x)))
-    vals = keyed.groupBy(*by, "_b", col).agg(F.count(F.lit(1)).alias("_n"))
-    wv = Window.partitionBy(*by, "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("_before", F.coalesce(F.sum("_n").over(wv), F.lit(0)))
-    sizes = vals.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-    wb = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b")
-    sizes = (sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                                                 F.lit(0)))
-                  .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*by) if by else Window.partitionBy())))
-    # wanted positions (two per probability) and the bucket holding each one
-    targets = sizes.select(*by, "_total").distinct().select(
-        *by, F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), (F.lit(p) * (F.col("_total") - 1)).alias("t"))
-                                 for i, p in enumerate(probs)])).alias("_q"))
-    targets = targets.select(*by, "_q.qi", "_q.t", F.explode(F.array(F.floor("_q.t"), F.ceil("_q.t"))).alias("k"))
-    targets = targets.join(sizes, by).where((F.col("k") >= F.col("_off")) & (F.col("k") < F.col("_off") + F.col("_bn")))
-    hit = (targets.select(*by, "qi", "t", "k", "_b", "_off")
-                  .join(vals, by + ["_b"])
-                  .where((F.col("k") >= F.col("_off") + F.col("_before"))
-                         & (F.col("k") < F.col("_off") + F.col("_before") + F.col("_n"))))
-    per_q = (hit.groupBy(*by, "qi", "t")
-                .agg(F.min_by(col, "k").alias("_lo"), F.max_by(col, "k").alias("_hi"))
-                .withColumn("_v", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("t") - F.floor("t"))))
-    out = per_q.groupBy(*by).pivot("qi", list(range(len(probs)))).agg(F.first("_v"))
-    return out.select(*by, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])

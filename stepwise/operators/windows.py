@@ -15,6 +15,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepwise.operators.positions import exact_quantiles, join_null_safe
 from stepwise.roles import Roles
 
 UNB = Window.unboundedPreceding
@@ -139,18 +140,18 @@ def quantile_bins(df: DataFrame, col: str, q: int = 10, by: Sequence[str] = (),
     """``pd.qcut(x, q, duplicates='drop')``: right-closed bins on distinct
     exact quantile edges, lowest value included in the first bin.
 
-    Edges come from one aggregate (mergeable ``percentile``); the edge table
-    holds one row per ``by`` group, so it is joined back (broadcast by AQE when
-    small), never collected.
+    Edges are exact quantiles by positions; the edge table holds one row per
+    ``by`` group, so it is joined back (broadcast by AQE when small), never collected.
     """
-    probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(col, probs)).alias("_edges"))
+    names = [f"_e{i}" for i in range(q + 1)]
+    edges = exact_quantiles(df, by, col, [i / q for i in range(q + 1)], names)
+    edges = edges.select(*by, F.array_distinct(F.array(*names)).alias("_edges"))
     x = F.col(col)
     # bin = number of interior edges strictly below x (right-closed), min 0
     interior = F.slice(F.col("_edges"), 2, F.size("_edges") - 2)
     idx = F.size(F.filter(interior, lambda e: e < x))
     if by:
-        joined = df.join(edges, list(by), "left")
+        joined = join_null_safe(df, edges, by, "left")
     else:
         # one-row global aggregate: a proven size bound, so broadcast it.
         joined = df.withColumn("_one", F.lit(1)).join(
@@ -175,19 +176,14 @@ def top_n_per_group(df: DataFrame, partition: Sequence[str], order: Sequence[Col
 # WIN14 ------------------------------------------------------------------------
 def median_flag(df: DataFrame, partition: Sequence[str], col: str, extra: Column | None = None,
                 median_name: str = "segment_median", flag_name: str = "flag",
-                skew_safe: bool = False) -> DataFrame:
+                skew_safe: bool = True) -> DataFrame:
     """Flag rows at or above their group's median (optionally AND ``extra``).
 
-    The median is an aggregate per group joined back, not a window.  With
-    ``skew_safe`` it comes from the bucketed exact quantiles, so even the
-    merge of a huge group's values is split across tasks.
+    The median is an exact quantile by positions joined back, not a window, so
+    no task holds a group (``skew_safe`` is always on).
     """
-    if skew_safe:
-        from stepwise.operators.stats import exact_quantiles
-        med = exact_quantiles(df, partition, col, [0.5], [median_name])
-    else:
-        med = df.groupBy(*partition).agg(F.median(col).alias(median_name))
-    out = df.join(med, list(partition), "left")
+    med = exact_quantiles(df, partition, col, [0.5], [median_name])
+    out = join_null_safe(df, med, partition, "left")
     cond = F.col(col) >= F.col(median_name)
     if extra is not None:
         cond = cond & extra

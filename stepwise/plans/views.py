@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.scalars import abbrev3, rank_difficulty, venue_label
+from stepwise.operators.positions import exact_quantiles, join_null_safe
 from stepwise.operators.windows import median_flag, top_n_per_group
 from stepwise.plans.slices import select_slice
 
@@ -15,12 +16,14 @@ from stepwise.plans.slices import select_slice
 def quadrants(df: DataFrame, by: Sequence[str], x: str, y: str, labels=("high-high", "high-low", "low-high", "low-low"),
               name: str = "quadrant") -> DataFrame:
     """Label rows by whether ``x`` and ``y`` are at or above their group
-    medians (medians are one aggregate per group, joined back)."""
-    med = df.groupBy(*by).agg(F.median(x).alias("_mx"), F.median(y).alias("_my"))
-    # one row per group: the join strategy is left to AQE (runtime size);
-    # only the single global row is broadcast explicitly
-    j = df.join(med, list(by)) if by else \
-        df.withColumn("_k", F.lit(0)).join(F.broadcast(med.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    medians (exact quantiles by positions, joined back)."""
+    j = df
+    for col, median in ((x, "_mx"), (y, "_my")):
+        med = exact_quantiles(df, by, col, [0.5], [median])
+        # one row per group: the join strategy is left to AQE (runtime size);
+        # only the single global row is broadcast explicitly
+        j = join_null_safe(j, med, by, "left") if by else \
+            j.withColumn("_k", F.lit(0)).join(F.broadcast(med.withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
     hx, hy = F.col(x) >= F.col("_mx"), F.col(y) >= F.col("_my")
     q = (F.when(hx & hy, labels[0]).when(hx & ~hy, labels[1]).when(~hx & hy, labels[2]).otherwise(labels[3]))
     return j.withColumn(name, q).drop("_mx", "_my")
@@ -83,7 +86,7 @@ def ranked_predictions(pred: DataFrame, by: Sequence[str], price: str, rank: str
     p = (pred.join(total, list(by), "left")
              .withColumn("price", F.round(F.col(price) / 10.0, 1)).withColumn("difficulty", rank_difficulty(F.col(rank)))
              .withColumn("ownership_pct", F.lit(100.0) * F.col(selected) / F.nullif(F.col("_all"), F.lit(0))))
-    p = median_flag(p, by, "pred", F.col("ownership_pct") < max_ownership, flag_name="differential", skew_safe=True)
+    p = median_flag(p, by, "pred", F.col("ownership_pct") < max_ownership, flag_name="differential")
     if differentials:
         p = p.where("differential")
     return top_n_per_group(p, by, [F.col("pred").desc(), F.col("entity"), F.col("fixture")], n, rank_name="pick").select(
