@@ -1,5 +1,6 @@
 """Feature matrix, statistics, CV folds and models on the fact binding."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.catalog import FACT_CTE, MATCHES_CTE, register, with_ctes
@@ -37,7 +38,7 @@ bw AS (
   SELECT epoch, step, fixture, entity, segment, side, other_side, is_home, points,
 """ + ",\n".join(
     f"    avg({c}) OVER ({_W} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS {c}_roll{k}"
-    for c in ("points", "minutes", "goals", "xg") for k in (3, 5)) + """,
+    for c in ("points", "minutes", "goals", "xg", "assists", "bonus", "saves") for k in (3, 5)) + """,
     avg(points) OVER (""" + _W + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS points_todate,
     avg(minutes) OVER (""" + _W + """ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS minutes_todate,
     lag(points) OVER (""" + _W + """) AS points_lag1,
@@ -58,6 +59,53 @@ def q_pl1(spark, sf):
     return feature_matrix(spark, sf)
 
 
+def _segment_sql():
+    from stepwise.plans.features import SEGMENT_WITHOUT, feature_names
+    lines = []
+    for c in feature_names():
+        without = ", ".join(f"'{s}'" for s, w in SEGMENT_WITHOUT.items() if c in w)
+        where = f" WHERE segment NOT IN ({without})" if without else ""
+        name = {"opp_rank": "opponent_rank"}.get(c, c)
+        lines.append(f"SELECT segment, '{name}' AS feature, count({c}) AS n, avg({c}) AS mean FROM fm{where} GROUP BY segment")
+    return "\nUNION ALL ".join(lines)
+
+
+@register("pl_segment_features", with_ctes(_segment_sql(), FACT_CTE, MATCHES_CTE, FM_CTE), ids=("PL1", "PRJ21", "PRJ22", "PRJ23"))
+def q_pl1_segments(spark, sf):
+    """Coverage and mean of the features each segment uses, under the names that reports show."""
+    from functools import reduce
+
+    from stepwise.functions.scalars import feature_columns, rename, select_present
+    from stepwise.plans.features import CONTEXT, segment_features
+    fm = feature_matrix(spark, sf)
+    parts = []
+    for seg in [r[0] for r in fm.select("segment").distinct().collect()]:   # one row per segment
+        rows = fm.where(F.col("segment") == seg)
+        # a list may name features that this build of the matrix lacks
+        rows = rename(select_present(rows, [*CONTEXT, "points", *segment_features(seg), "odds"]), {"opp_rank": "opponent_rank"})
+        cols = feature_columns(rows, CONTEXT, "points")
+        wide = rows.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean")).alias(c) for c in cols])
+        parts.append(wide.select(F.lit(seg).alias("segment"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), f"{c}.n", f"{c}.mean") for c in cols])).alias("f"))
+                         .select("segment", "f.*"))
+    return reduce(DataFrame.union, parts)
+
+
+@register("snk_partition_refresh", with_ctes("""
+SELECT epoch, count(*) AS n, CAST(sum(points) AS BIGINT) AS points, epoch = 1998 AS rebuilt FROM fm GROUP BY epoch""", FACT_CTE, MATCHES_CTE, FM_CTE), ids=("SNK4", "PL1"))
+def q_snk4(spark, sf):
+    """The feature matrix is kept by epoch; rows that come late to one epoch rebuild that epoch only."""
+    from stepwise.session import scratch_path
+    from stepwise.sources.versions import Store, refresh
+    f = B.fact(spark, sf)
+    rank = standings_rank(spark, sf)
+    late = (F.col("epoch") == 1998) & (F.col("step") >= 6)
+    store = Store(spark, scratch_path(spark, "feature-store"))
+    refresh(store, "features", f.where(~late), "epoch", lambda rows: build_feature_matrix(rows, rank))
+    rebuilt = refresh(store, "features", f, "epoch", lambda rows: build_feature_matrix(rows, rank))
+    out = store.read("features").groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
+    return out.withColumn("rebuilt", F.hex(F.col("epoch").cast("string")).isin(rebuilt))
+
+
 # ============================================================ statistics / CV / models
 from stepwise.operators import models as M  # noqa: E402
 from stepwise.operators import stats as ST  # noqa: E402
@@ -343,9 +391,10 @@ def q_ml3_one(spark, sf):
 from stepwise.plans import cv as CV  # noqa: E402
 from stepwise.plans import folds as FD  # noqa: E402
 from stepwise.plans import runner as RN  # noqa: E402
-from stepwise.plans.features import feature_names  # noqa: E402
+from stepwise.plans.features import SEGMENT_WITHOUT, feature_names, segment_features  # noqa: E402
 
 RIDGE_FEATS = feature_names()
+SEGMENT_LISTS = {seg: segment_features(seg) for seg in SEGMENT_WITHOUT}
 
 
 def _long(spark, sf):
@@ -355,7 +404,7 @@ def _long(spark, sf):
 
 def _folds(spark, sf):
     from stepwise.session import remember
-    return remember(spark, ("folds", sf), lambda: FD.Folds(feature_matrix(spark, sf), RIDGE_FEATS, "points", 3))
+    return remember(spark, ("folds", sf), lambda: FD.Folds(feature_matrix(spark, sf), RIDGE_FEATS, "points", 3, lists=SEGMENT_LISTS))
 
 
 ALPHAS = [0.1, 1.0, 10.0, 100.0, 1000.0]
@@ -441,9 +490,13 @@ pr AS (SELECT f.segment, fd.fold, points, coalesce(points_roll5, tm.m) AS p1, co
        LEFT JOIN vm ON vm.segment = f.segment AND vm.fold = fd.fold AND vm.is_home = f.is_home)
 SELECT segment, fold, count(*) AS n, avg(abs(p1 - points)) AS mae_rolling, avg(abs(p2 - points)) AS mae_venue_mean,
        avg(abs((p1 + p2) / 2 - points)) AS mae_average FROM pr GROUP BY ALL""", *FM_SQL, FOLD_CTE)
-    .replace("\ntm AS (", "\n, tm AS (", 1), ids=("ML17", "ML8", "ML9", "UDX1"))
+    .replace("\ntm AS (", "\n, tm AS (", 1), ids=("ML17", "ML8", "ML9", "UDX1", "SNK7"))
 def q_ml17_average(spark, sf):
-    f = _run(spark, sf, "baselines").frame
+    """Worked out from the saved run, as it is read back."""
+    from stepwise.session import scratch_path
+    from stepwise.sources.sinks import save_cv_results
+    run = _run(spark, sf, "baselines")
+    f = save_cv_results(run.metrics(), run.frame, scratch_path(spark, "cv-results")).read("oof")
     return f.groupBy("segment", "fold").agg(F.count(F.lit(1)).alias("n"), *[
         F.avg(F.abs(F.col(f"pred_{p}") - F.col("points"))).alias(f"mae_{a}") for p, a in (("rolling", "rolling"), ("venue_mean", "venue_mean"), ("baselines", "average"))])
 

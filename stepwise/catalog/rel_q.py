@@ -180,13 +180,16 @@ def q_jn17(spark, sf):
 
 # ---------------------------------------------------------------- set ops
 @register("set_union_all", with_ctes("""
-SELECT epoch, count(*) AS n FROM (
-  SELECT epoch, entity FROM fact WHERE epoch = 1996 UNION ALL SELECT epoch, entity FROM fact WHERE epoch = 1997) t
-GROUP BY epoch""", FACT_CTE), ids=("SET1", "SNK2"))
+SELECT epoch, count(*) AS n, count(xg) AS n_xg FROM (
+  SELECT epoch, entity, CASE WHEN epoch >= 1998 THEN xg END AS xg FROM fact) t GROUP BY epoch""", FACT_CTE), ids=("SET1", "SRC4"))
 def q_set1(spark, sf):
-    f = B.fact(spark, sf).select("epoch", "entity")
-    u = f.where("epoch = 1996").unionByName(f.where("epoch = 1997"))
-    return u.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"))
+    """Extracts of all epochs united by name; those before 1998 have no xg column."""
+    from functools import reduce
+    f = B.fact(spark, sf).select("epoch", "entity", "xg")
+    epochs = [r[0] for r in f.select("epoch").distinct().collect()]   # one row per epoch
+    parts = [f.where(F.col("epoch") == e) if e >= 1998 else f.where(F.col("epoch") == e).drop("xg") for e in sorted(epochs, reverse=True)]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return u.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.count("xg").alias("n_xg"))
 
 
 @register("set_distinct_pairs", with_ctes("""

@@ -20,7 +20,7 @@ def event_features(ev: DataFrame, ks=(3, 5)) -> DataFrame:
 
 
 # ------------------------------------------------------------------ PL1
-PLAYER_ROLL = ("points", "minutes", "goals", "xg")
+PLAYER_ROLL = ("points", "minutes", "goals", "xg", "assists", "bonus", "saves")
 TODATE = ("points", "minutes")
 LAGS = ("points", "price")
 CONTEXT = ("epoch", "step", "fixture", "entity", "segment", "side", "other_side", "is_home")
@@ -94,3 +94,18 @@ def build_feature_matrix(fact: DataFrame, standings_rank: DataFrame, min_rows: i
 def feature_names() -> list[str]:
     return ([f"{c}_roll{k}" for c in PLAYER_ROLL for k in (3, 5)] + [f"{c}_todate" for c in TODATE]
             + [f"{c}_lag1" for c in LAGS] + ["team_gf_prior", "team_cs_rate5", "opp_ga_prior_rate", "opp_rank"])
+
+
+#: Features that a segment does not use; the others all do.
+SEGMENT_WITHOUT = {
+    "AFRICA": ("xg_roll3", "xg_roll5", "goals_roll3", "assists_roll3"),   # few shots, many saves
+    "AMERICA": ("saves_roll3", "saves_roll5"),
+    "ASIA": ("saves_roll3", "saves_roll5", "goals_roll3"),
+    "EUROPE": ("saves_roll3", "saves_roll5", "team_cs_rate5"),
+}
+
+
+def segment_features(segment: str) -> list[str]:
+    """The features a segment's models use, in the matrix's order."""
+    without = SEGMENT_WITHOUT.get(segment, ())
+    return [c for c in feature_names() if c not in without]

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.functions.scalars import bool_to_int, coerce_numeric, count_stat, derived_with_override, null_unless
+from stepwise.functions.scalars import bool_to_int, coerce_numeric, col_or_default, count_stat, derived_with_override, null_unless
 from stepwise.operators.aggregates import keep_latest, mode_smallest
 from stepwise.operators.relational import bridge_join, keep_known, own_side_from_other
 
@@ -38,16 +38,22 @@ def dim_side(listed: DataFrame | None, observed: DataFrame, epoch: str, side: st
 
 
 # LD4
-def dim_entity_epoch(raw: DataFrame, sides: DataFrame, epoch: str, entity: str, local_side: str,
-                     now_cost: str, change: str, history_start: DataFrame | None = None) -> DataFrame:
-    d = raw.withColumns({now_cost: coerce_numeric(now_cost, "bigint"), change: coerce_numeric(change, "bigint")})
-    d = d.join(sides.select(epoch, F.col("side").alias(local_side), "side_sk"), [epoch, local_side], "left")
-    if history_start is not None:
-        d = d.join(history_start.select(entity, epoch, "start_cost"), [entity, epoch], "left")
-        start = derived_with_override(F.col("start_cost"), F.col(now_cost), F.col(change))
+def dim_entity_epoch(raw: DataFrame, sides: DataFrame, epoch: str, entity: str, local_side: str, now_cost: str, change: str,
+                     costs: DataFrame | None = None, stats: Sequence[str] = ()) -> DataFrame:
+    """A row per entity and epoch: the side's key by (epoch, local side), start and end cost, season totals.
+
+    The start cost is the history's where it has one that is not 0, else current cost
+    less change; the end cost is the history's.  ``stats`` that an era's extract does
+    not have are null.  A side that is not known leaves a null key, the row stays."""
+    d = raw.select(F.col(epoch).alias("epoch"), F.col(entity).alias("entity"), F.col(local_side).alias("side"),
+                   coerce_numeric(now_cost, "bigint").alias("_now"), coerce_numeric(change, "bigint").alias("_change"),
+                   *[coerce_numeric(col_or_default(raw, c), "double").alias(c) for c in stats])
+    d = d.join(sides.select("epoch", "side", "side_sk"), ["epoch", "side"], "left")
+    if costs is None:
+        d = d.withColumns({"_start": F.lit(None).cast("bigint"), "end_cost": F.lit(None).cast("bigint")})
     else:
-        start = F.col(now_cost) - F.col(change)
-    return d.withColumn("start_cost", start)
+        d = d.join(costs.select("entity", "epoch", F.col("start_cost").alias("_start"), "end_cost"), ["entity", "epoch"], "left")
+    return d.select("epoch", "entity", "side_sk", derived_with_override(F.col("_start"), F.col("_now"), F.col("_change")).alias("start_cost"), "end_cost", *stats)
 
 
 # LD5
@@ -58,6 +64,14 @@ def history(copies: DataFrame, entity: str, epoch: str, source: str, known: Data
     return keep_known(latest, known, [entity])
 
 
+def cost_index(latest: DataFrame, entity: str, epoch_name: str, epochs: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows (entity, epoch, start_cost, end_cost) of a deduplicated history: names such as
+    ``2021/22`` become epochs by the table (name, epoch); rows of other names or without an entity go."""
+    named = latest.where(F.col(entity).isNotNull()).join(epochs.select(F.col("name").alias(epoch_name), F.col("epoch").alias("_epoch")), epoch_name)
+    return named.select(F.col(entity).alias("entity"), F.col("_epoch").alias("epoch"), coerce_numeric(start, "bigint").alias("start_cost"),
+                        coerce_numeric(end, "bigint").alias("end_cost"))
+
+
 # LD6
 def fact_rows(raw: DataFrame, bridge: DataFrame, local_id: str, entity: str, counts: Sequence[str],
               manager_cols: Sequence[str], keys: Sequence[str], is_home: str = "was_home",
