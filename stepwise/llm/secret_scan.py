@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -53,15 +53,47 @@ def base_spans(text: str) -> list[Span]:
 # ---- lexing ----
 
 #: Tokens of common source and configuration syntax.  Strings end at their quote or the line.
-TOKEN = re.compile(r"""
-    (?P<triple>\"\"\"(?:\\.|(?!\"\"\")[^\\])*\"\"\"|'''(?:\\.|(?!''')[^\\])*''')
-  | (?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)
-  | (?P<op>:=|=>|->|[=!<>]=|[=:+,;(){}\[\]<>])
+_TRIPLE = r"""(?P<triple>\"\"\"(?:\\.|(?!\"\"\")[^\\])*\"\"\"|'''(?:\\.|(?!''')[^\\])*''')"""
+_STRING = r"""(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)"""
+_REST = r"""(?P<op>:=|=>|->|[=!<>]=|[=:+,;(){}\[\]<>])
   | (?P<line>\n)
   | (?P<blank>[^\S\n]+)
   | (?P<word>[^\s"'`:=+,;(){}\[\]<>]+)
-  | (?P<other>["'`])
-""", re.X | re.S)
+  | (?P<other>["'`])"""
+TOKEN, _NO_TRIPLE, _NO_STRING = (re.compile(" | ".join(p), re.X | re.S) for p in ((_TRIPLE, _STRING, _REST), (_STRING, _REST), (_REST,)))
+#: Where a string or a triple-quoted string can end: what an even number of backslashes stands before.
+_STOPS = {q: re.compile(rf"(?<!\\)(?:\\\\)*(?=[{q}\n])") for q in "\"'`"} | {q: re.compile(rf"(?<!\\)(?:\\\\)*(?={q})") for q in ('"""', "'''")}
+
+
+def tokens(text: str) -> Iterator[re.Match]:
+    """Tokens of a text, as ``TOKEN`` finds them, in time linear in it.
+
+    A quote that is never closed would be searched for up to the end of the text, and
+    that again for each such quote.  So the places where a quote can end are listed
+    once, and one that has no end is not tried."""
+    if "\\" not in text and '"""' not in text and "'''" not in text:
+        yield from TOKEN.finditer(text)  # strings end with their line
+        return
+    stops: dict[str, list[int]] = {}
+
+    def closes(quote: str, at: int) -> bool:
+        if quote not in stops:
+            stops[quote] = [m.end() for m in _STOPS[quote].finditer(text)]
+        i = bisect_left(stops[quote], at + len(quote))
+        return i < len(stops[quote]) and text.startswith(quote, stops[quote][i])
+
+    at = 0
+    while at < len(text):
+        use = TOKEN
+        if text[at] in "\"'`":
+            q = text[at]
+            if q == "`" or not text.startswith(q * 3, at) or not closes(q * 3, at):
+                use = _NO_TRIPLE if closes(q, at) else _NO_STRING
+        m = use.match(text, at)
+        yield m
+        at = m.end()
+
+
 #: Name parts and the weight they give to what is assigned to them.
 SENSITIVE = {
     "password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "pass": 2, "secret": 3, "secrets": 3, "token": 3, "apikey": 3, "credential": 3,
@@ -190,7 +222,7 @@ def pairs(text: str) -> Iterator[tuple[list[str], tuple[str, ...], list[tuple]]]
                 yield [], (target or "", *chain, *hints), [("rest", (first, at))]
         first = unquoted = -1
 
-    for m in TOKEN.finditer(text):
+    for m in tokens(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if kind == "blank":
             continue
@@ -328,7 +360,7 @@ def literal_spans(text: str) -> list[Span]:
         return []
     out = _own_spans(text)
     # headers, command lines and the like inside of strings
-    for m in TOKEN.finditer(text) if WITHIN.search(text) and QUOTE.search(text) else ():
+    for m in tokens(text) if WITHIN.search(text) and QUOTE.search(text) else ():
         if m.lastgroup in ("string", "triple"):
             q = 3 if m.lastgroup == "triple" else 1
             s, e = m.start() + q, m.end() - q

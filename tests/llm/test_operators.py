@@ -434,3 +434,27 @@ def test_pipeline_stages_by_hand(spark):
     assert all(not secret_scan.base_spans(t) for t in four.values()) and len(four) == len(rows)
     out = P.run(spark, SF)
     assert out.count() == out.select("doc_id", "piece").distinct().count() > 0
+
+
+# ---- 9: lexing in linear time ----
+
+def test_tokens_equal_the_plain_pattern():
+    rng = random.Random(17)
+    for _ in range(4000):
+        text = "".join(rng.choice(["\\", "'", '"', "`", "'''", '"""', "\n", "a", " = ", "\\\\"]) for _ in range(rng.randint(0, 25)))
+        assert [(m.lastgroup, m.span()) for m in secret_scan.tokens(text)] == [(m.lastgroup, m.span()) for m in secret_scan.TOKEN.finditer(text)], text
+
+
+@pytest.mark.parametrize("line", ["\\'''\n", '\\"""\n', '\\"\\\n', "\\'\\\n", "\\`\\\n", "'''\\'\n", "x = '\\\n", "\\\\\\\\'''\n"])
+def test_lexing_is_linear(line):
+    import time
+
+    def took(size):
+        text = "password = 1\n" + line * (size // len(line))
+        best = 1e9
+        for _ in range(2):
+            t = time.process_time()
+            secret_scan.find_spans(text)
+            best = min(best, time.process_time() - t)
+        return best
+    assert took(400_000) < 3.2 * took(200_000) + 0.2
