@@ -152,12 +152,16 @@ def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of texts in id order: (ids, text hashes, bytes, starts, offset of each
-    piece in its text).  A long text comes in pieces that share length - 1 bytes."""
+    piece in its text).  A long text comes in pieces that share length - 1 bytes; of
+    rows equal in id and text a slice has one."""
     for b in slices(batches, "data", SLICE):
-        order = np.argsort(b.column("k").to_numpy(), kind="stable")
-        k, h = b.column("k").to_numpy()[order], b.column("h").to_numpy()[order]
+        k, h = b.column("k").to_numpy(), b.column("h").to_numpy()
+        order = np.lexsort((h, k))
+        new = np.r_[True, (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])] if len(order) else np.empty(0, bool)
+        order = order[new]
+        k, h = k[order], h[order]
         raw = [b.column("data")[int(i)].as_buffer() for i in order]
-        if b.num_rows == 1 and raw[0] is not None and raw[0].size > 2 * SLICE:
+        if len(order) == 1 and raw[0] is not None and raw[0].size > 2 * SLICE:
             whole = np.frombuffer(raw[0], np.uint8)
             for at in range(0, len(whole) - length + 1, SLICE):
                 part = whole[at:at + SLICE + length - 1]
@@ -358,9 +362,9 @@ def find_repeats(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         release()
         return pa.concat_tables(out)
 
-    opened = (found.where("open_in >= 0").groupBy("k", "h")
-              .agg(F.collect_list(F.struct("start", "width", "open_in")).alias("runs")))  # bounded by the text
-    late = docs.join(opened, ["k", "h"]).select("k", "h", "data", "runs")
+    # a set: rows equal in id and text have the same runs, so it is bounded by the text
+    opened = found.where("open_in >= 0").groupBy("k", "h").agg(F.collect_set(F.struct("start", "width", "open_in")).alias("runs"))
+    late = docs.join(opened, ["k", "h"]).select("k", "h", "data", "runs").dropDuplicates(["k", "h"])
     late = late.mapInArrow(list_windows, _ENTRIES).groupBy(own.alias("own")).applyInArrow(index_windows, _FOUND)
     return found.where("open_in < 0").select("k", "h", "start", "width").union(late.select("k", "h", "start", "width"))
 
@@ -400,7 +404,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = src.withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(_NULL_ID))).withColumn("h", F.xxhash64("data"))
     total = src.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    runs = find_repeats(src.select("k", "h", "data"), length, buckets).groupBy("k", "h").agg(F.collect_list(F.struct("start", "width")).alias("runs"))
+    runs = find_repeats(src.select("k", "h", "data"), length, buckets).groupBy("k", "h").agg(F.collect_set(F.struct("start", "width")).alias("runs"))
     joined = src.join(runs, ["k", "h"], "left").drop("k", "h")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("data", "runs"))
     others = [c for c in joined.columns if c not in ("data", "runs")]

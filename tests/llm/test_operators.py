@@ -458,3 +458,22 @@ def test_lexing_is_linear(line):
             best = min(best, time.process_time() - t)
         return best
     assert took(400_000) < 3.2 * took(200_000) + 0.2
+
+
+# ---- 1: rows that are equal in id and text ----
+
+def test_many_equal_rows(spark):
+    import time
+    rng = random.Random(5)
+    passage = " ".join(f"p{rng.randrange(10 ** 6)}" for _ in range(120))
+    other = " ".join(f"q{rng.randrange(10 ** 6)}" for _ in range(150))
+    distinct = [(1, "start " + passage), (2, passage + " end " + other), (7, other[200:] + passage[:300]), (None, "null " + other)]
+    rows = distinct[:1] + distinct[1:2] * 2000 + distinct[2:3] + distinct[3:] * 2000
+    began = time.time()
+    got = span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), length=100).collect()
+    took = time.time() - began
+    low = span_dedup._NULL_ID
+    want = {r[0]: r for r in cut_by_hand([(low if k is None else k, t.encode()) for k, t in distinct], 100)}
+    assert len(got) == len(rows) and took < 60
+    for r in got:
+        assert (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) == want[low if r.id is None else r.id][1:]
