@@ -265,6 +265,7 @@ SELECT seq,
   CAST(floor(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS BIGINT) AS k,
   coalesce(CAST(floor(TRY_CAST(CASE WHEN target > 100 THEN 'n/a' ELSE CAST(target AS VARCHAR) END AS DOUBLE)) AS BIGINT), 0) AS target_count,
   CASE WHEN lower(CAST(target > 50 AS VARCHAR)) IN ('true', '1', '1.0') THEN 1 ELSE 0 END AS high,
+  CASE WHEN target > 80 THEN NULL WHEN target > 50 THEN 1 WHEN target > 20 THEN 0 END AS flag,
   CASE segment WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END AS code
 FROM ev""", EVENTS_CTE), ids=("PRJ1", "PRJ2", "PRJ3", "PRJ4", "PRJ5", "SRC6"))
 def q_prj_coerce(spark, sf):
@@ -275,6 +276,8 @@ def q_prj_coerce(spark, sf):
         S.coerce_numeric(F.get_json_object("props", "$.k"), "bigint").alias("k"),
         S.count_stat(raw).alias("target_count"),
         S.bool_to_int((F.col("target") > 50)).alias("high"),
+        # text that is neither true nor false is no flag
+        S.bool_to_int(F.when(F.col("target") > 80, "yes").when(F.col("target") > 50, "True").when(F.col("target") > 20, "0.0")).alias("flag"),
         S.code_map("segment", {"view": 1, "click": 2, "purchase": 3}, 0).alias("code"))
 
 

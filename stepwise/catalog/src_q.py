@@ -103,6 +103,28 @@ def _order_extracts(spark, sf):
     return root
 
 
+@register("src_bad_files", """
+SELECT CAST(year(o_orderdate) AS VARCHAR) AS label, 'read' AS status, count(*) AS n FROM orders WHERE year(o_orderdate) <> 1997 GROUP BY 1
+UNION ALL SELECT '1997', 'lacks o_totalprice', 1 UNION ALL SELECT '1000', 'no header line', 1
+UNION ALL SELECT '2050', 'no file', 1""", ids=("SRC2", "SRC3"))
+def q_src3_bad(spark, sf):
+    """Yearly extracts of which one lacks a required column, one is empty and one that is expected is not there."""
+    from stepwise.sources.files import bad_files, file_headers, read_labelled
+    root = scratch_path(spark, "extracts")
+    o = B.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"))
+    for part in (o.where("y <> 1997"), o.where("y = 1997").drop("o_totalprice")):
+        part.repartition("y").write.partitionBy("y").mode("append").option("header", True).csv(root)
+    spark.createDataFrame([("",)], "x string").coalesce(1).write.text(f"{root}/y=1000")
+    headers = file_headers(spark, root, "part-*")
+    years = [str(r[0]) for r in o.select("y").distinct().collect()]   # one row per year
+    df, missing = read_labelled(spark, root, "part-*", r"y=(\d{4})", "label", [*years, "2050"], ["o_orderkey", "o_totalprice"], headers=headers)
+    read = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.lit("read").alias("status"), "n")
+    bad = bad_files(headers, ["o_orderkey", "o_totalprice"]).groupBy(F.regexp_extract("path", r"y=(\d{4})", 1).alias("label"), F.col("reason").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"))
+    gone = spark.createDataFrame([(m, "no file", 1) for m in missing if m != "1997"], "label string, status string, n long")
+    return read.union(bad).union(gone)
+
+
 @register("src_census", """
 SELECT 'orders' AS kind, count(DISTINCT year(o_orderdate)) AS files, CAST(min(year(o_orderdate)) AS VARCHAR) AS first_season,
        CAST(max(year(o_orderdate)) AS VARCHAR) AS last_season, count(DISTINCT year(o_orderdate)) AS representatives FROM orders""", ids=("SRC5",))

@@ -38,10 +38,10 @@ def count_stat(c: Column | str) -> Column:
 
 # PRJ3 -------------------------------------------------------------------------
 def bool_to_int(c: Column | str) -> Column:
-    """bool / 'True' / 1 / '1.0' -> 1, other non-null -> 0, null -> null."""
+    """bool / 'True' / 1 / '1.0' -> 1, bool / 'False' / 0 / '0.0' -> 0, other text and null -> null."""
     c = F.col(c) if isinstance(c, str) else c
     s = F.lower(F.trim(c.cast("string")))
-    return F.when(c.isNull(), None).when(s.isin("true", "1", "1.0"), 1).otherwise(0)
+    return F.when(s.isin("true", "1", "1.0"), 1).when(s.isin("false", "0", "0.0"), 0)
 
 
 # PRJ4 -------------------------------------------------------------------------
