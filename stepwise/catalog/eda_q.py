@@ -169,9 +169,10 @@ def q_e16(spark, sf):
 
 @register("eda17_price_vs_points", with_ctes("""
 SELECT segment, count(*) AS n, corr(points, price) AS r, regr_slope(points, price) AS slope,
-       regr_intercept(points, price) AS intercept FROM fact GROUP BY segment""", FACT_CTE), ids=("E17", "ST1", "ST3"))
+       regr_intercept(points, price) AS intercept FROM (SELECT segment, points, price FROM fact UNION ALL SELECT 'ALL', points, price FROM fact) t
+GROUP BY segment""", FACT_CTE), ids=("E17", "ST1", "ST3"))
 def q_e17(spark, sf):
-    return X.regression_summary(B.fact(spark, sf), ["segment"], "points", "price")
+    return X.with_overall(B.fact(spark, sf), "segment", lambda df, by: X.regression_summary(df, by, "points", "price"))
 
 
 @register("eda18_price_bands", with_ctes("""
@@ -205,21 +206,27 @@ def q_e20(spark, sf):
 
 @register("eda21_target_correlations", with_ctes("""
 SELECT segment, corr(points, minutes) AS r_minutes, corr(points, goals) AS r_goals, corr(points, xg) AS r_xg,
-       corr(points, price) AS r_price FROM fact GROUP BY segment""", FACT_CTE), ids=("E21", "ST1"))
+       corr(points, price) AS r_price FROM (SELECT * FROM fact UNION ALL SELECT * REPLACE ('ALL' AS segment) FROM fact) t
+GROUP BY segment""", FACT_CTE), ids=("E21", "ST1"))
 def q_e21(spark, sf):
-    return X.target_correlations(B.fact(spark, sf), ["segment"], "points", ["minutes", "goals", "xg", "price"])
+    return X.with_overall(B.fact(spark, sf), "segment", lambda df, by: X.target_correlations(df, by, "points", ["minutes", "goals", "xg", "price"]))
 
 
 @register("eda22_lag1_autocorr_entity", with_ctes("""
-SELECT segment, count(*) AS n_pairs, corr(points, points_prev) AS autocorr FROM (
+p AS (SELECT segment, points, points_prev FROM (
   SELECT segment, points, lag(points) OVER (PARTITION BY entity, epoch ORDER BY step, fixture) AS points_prev
-  FROM fact) t WHERE points_prev IS NOT NULL AND points IS NOT NULL GROUP BY segment""", FACT_CTE),
-    ids=("E22", "WIN11"))
+  FROM fact) t WHERE points_prev IS NOT NULL AND points IS NOT NULL),
+r AS (SELECT segment, points, points_prev,
+        rank() OVER (PARTITION BY segment ORDER BY points) + (count(*) OVER (PARTITION BY segment, points) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY segment ORDER BY points_prev) + (count(*) OVER (PARTITION BY segment, points_prev) - 1) / 2.0 AS ry FROM p)
+SELECT segment, count(*) AS n_pairs, corr(points, points_prev) AS autocorr, corr(rx, ry) AS spearman FROM r GROUP BY segment""", FACT_CTE)
+    .replace("\np AS (", "\n, p AS (", 1), ids=("E22", "WIN11", "ST2"))
 def q_e22(spark, sf):
+    from stepwise.operators import stats as ST
     f = B.fact(spark, sf).select("entity", "epoch", "step", "fixture", "segment", "points")
     p = W.lag1_pairs(f, B.FACT_ROLES, "points")
-    return p.groupBy("segment").agg(F.count(F.lit(1)).alias("n_pairs"),
-                                    F.corr("points", "points_prev").alias("autocorr"))
+    pearson = p.groupBy("segment").agg(F.count(F.lit(1)).alias("n_pairs"), ST.correlation("points", "points_prev").alias("autocorr"))
+    return pearson.join(ST.spearman(p, ["segment"], "points", "points_prev"), "segment")
 
 
 @register("eda24_transfers_by_band", with_ctes("""

@@ -216,6 +216,27 @@ def q_st7(spark, sf):
     return ST.stratified_metrics(_baseline_pred(spark, sf), ["segment"], "points", "pred", strata, 10)
 
 
+@register("st_stratified_ranks", with_ctes(f"""
+x AS (SELECT * FROM (SELECT bp.*, 'home' AS stratum FROM bp WHERE is_home = 1 UNION ALL SELECT bp.*, 'away' FROM bp WHERE NOT is_home = 1
+        UNION ALL SELECT bp.*, 'vs_top6' FROM bp WHERE opp_rank <= 6 UNION ALL SELECT bp.*, 'vs_rest' FROM bp WHERE opp_rank > 6) u
+      WHERE pred IS NOT NULL AND points IS NOT NULL),
+sp AS (SELECT segment, stratum, count(*) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS spearman FROM (
+        SELECT segment, stratum, {_AVG_RANK.format(g='segment, stratum', x='pred')} AS rx, {_AVG_RANK.format(g='segment, stratum', x='points')} AS ry FROM x) t
+       GROUP BY ALL HAVING count(*) >= 10),
+r AS (SELECT segment, stratum, epoch, step, row_number() OVER (PARTITION BY segment, stratum, epoch, step ORDER BY pred DESC, entity, fixture) AS rp,
+        row_number() OVER (PARTITION BY segment, stratum, epoch, step ORDER BY points DESC, entity, fixture) AS ra,
+        count(*) OVER (PARTITION BY segment, stratum, epoch, step) AS rows FROM x),
+tp AS (SELECT segment, stratum, avg(hits / 10) AS top10_precision FROM (
+        SELECT segment, stratum, epoch, step, count(*) FILTER (WHERE rp <= 10 AND ra <= 10) AS hits, any_value(rows) AS rows FROM r GROUP BY ALL) t
+       WHERE rows > 10 GROUP BY ALL)
+SELECT sp.segment, sp.stratum, sp.n, sp.spearman, tp.top10_precision FROM sp LEFT JOIN tp ON tp.segment = sp.segment AND tp.stratum = sp.stratum""",
+    *FM_SQL, BASE_PRED_CTE).replace("\nx AS (", "\n, x AS (", 1), ids=("ST7", "ST2", "ST5"))
+def q_st7_ranks(spark, sf):
+    strata = {"home": F.col("is_home") == 1, "away": F.col("is_home") != 1,
+              "vs_top6": F.col("opp_rank") <= 6, "vs_rest": F.col("opp_rank") > 6}
+    return ST.stratified_ranks(_baseline_pred(spark, sf), ["segment"], "points", "pred", strata, ["epoch", "step"], ["entity", "fixture"])
+
+
 MINUTE_BUCKETS = ((30, "cameo"), (60, "rotation"))
 PRICE_EDGES = (0.0, 120.0, 150.0, 180.0, float("inf"))
 PRICE_BANDS = ("budget", "mid", "premium", "elite")
@@ -266,15 +287,20 @@ def q_st10(spark, sf):
                                             F.avg(F.when(F.col("opp_rank") <= 5, F.col("_r"))).alias("mean_residual_vs_top5"))
 
 
-@register("st_holdout_per_slice", with_ctes("""
-SELECT segment, avg(mae) AS mean_mae, avg(rmse) AS mean_rmse, count(*) AS n_slices FROM (
+@register("st_holdout_per_slice", with_ctes(f"""
+e AS (SELECT segment, avg(mae) AS mean_mae, avg(rmse) AS mean_rmse, count(*) AS n_slices FROM (
   SELECT segment, step, avg(abs(pred - points)) AS mae, sqrt(avg((pred - points) * (pred - points))) AS rmse
-  FROM bp WHERE pred IS NOT NULL GROUP BY segment, step) t GROUP BY segment""", *FM_SQL, BASE_PRED_CTE),
-    ids=("ST14",))
+  FROM bp WHERE pred IS NOT NULL GROUP BY segment, step) t GROUP BY segment),
+c AS (SELECT segment, step, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS sp FROM (
+  SELECT segment, step, {_AVG_RANK.format(g='segment, step', x='pred')} AS rx, {_AVG_RANK.format(g='segment, step', x='points')} AS ry
+  FROM bp WHERE pred IS NOT NULL) t GROUP BY ALL)
+SELECT e.*, mean_spearman, n_ranked_slices FROM e JOIN (SELECT segment, avg(sp) AS mean_spearman, count(sp) AS n_ranked_slices FROM c GROUP BY segment) s
+  USING (segment)""", *FM_SQL, BASE_PRED_CTE).replace("\ne AS (", "\n, e AS (", 1), ids=("ST14",))
 def q_st14(spark, sf):
-    m = ST.regression_metrics(_baseline_pred(spark, sf), ["segment", "step"], "points", "pred")
-    return m.groupBy("segment").agg(F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"),
-                                    F.count(F.lit(1)).alias("n_slices"))
+    p = _baseline_pred(spark, sf)
+    m = ST.regression_metrics(p, ["segment", "step"], "points", "pred")
+    m = m.groupBy("segment").agg(F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"), F.count(F.lit(1)).alias("n_slices"))
+    return m.join(ST.slice_spearman(p, ["segment"], ["step"], "points", "pred"), "segment")
 
 
 def _model_preds(spark, sf):

@@ -85,6 +85,25 @@ def stratified_metrics(df: DataFrame, by: Sequence[str], y: str, pred: str,
     return m.where(F.col("n") >= min_n)
 
 
+def stratified_ranks(df: DataFrame, by: Sequence[str], y: str, pred: str, strata: dict[str, Column], slice_cols: Sequence[str],
+                     key: Sequence[str], n: int = 10, min_n: int = 10) -> DataFrame:
+    """Spearman and top-``n`` precision per stratum, next to the row count; strata with < ``min_n`` rows dropped.
+    Ranks and top lists are those within the stratum."""
+    labels = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in strata.items()]))
+    ex = df.where(F.col(pred).isNotNull() & F.col(y).isNotNull()).withColumn("stratum", F.explode(labels))
+    g = [*by, "stratum"]
+    sizes = ex.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
+    top = top_n_precision(ex, g, slice_cols, y, pred, key, n).select(*g, f"top{n}_precision")
+    return sizes.join(spearman(ex, g, pred, y), g, "left").join(top, g, "left")
+
+
+# ST14 ------------------------------------------------------------------------
+def slice_spearman(df: DataFrame, by: Sequence[str], slice_cols: Sequence[str], y: str, pred: str) -> DataFrame:
+    """Mean over slices of the Spearman correlation within a slice; slices without one (nothing varies) are left out."""
+    per_slice = spearman(df, [*by, *slice_cols], pred, y)
+    return per_slice.groupBy(*by).agg(F.avg("spearman").alias("mean_spearman"), F.count("spearman").alias("n_ranked_slices"))
+
+
 # ST9 -------------------------------------------------------------------------
 def residual_stats(df: DataFrame, by: Sequence[str], y: str, pred: str, rank: str, step: str) -> DataFrame:
     r = df.withColumn("_res", F.col(y) - F.col(pred)).withColumn("_abs", F.abs("_res"))

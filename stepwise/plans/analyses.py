@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stepwise.functions.scalars import bucket_right_closed, per90
 from stepwise.operators import aggregates as A
+from stepwise.operators.stats import correlation
 
 
 # E2
@@ -93,14 +94,19 @@ def heterogeneity(fact: DataFrame, col: str, min_minutes: int) -> DataFrame:
     return A.spread(t, ["segment"], "p90")
 
 
+def with_overall(df: DataFrame, by: str, table, name: str = "ALL") -> DataFrame:
+    """A table per group and, as one more group, over all rows; ``table(df, by)`` builds either."""
+    return table(df, [by]).unionByName(table(df, []).withColumn(by, F.lit(name)))
+
+
 # E12 / E16 / E17 / E21 --------------------------------------------------------
 def regression_summary(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(y, x).alias("r"),
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(y, x).alias("r"),
                                F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
 def target_correlations(df: DataFrame, by: Sequence[str], target: str, cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.corr(target, c).alias(f"r_{c}") for c in cols])
+    return df.groupBy(*by).agg(*[correlation(target, c).alias(f"r_{c}") for c in cols])
 
 
 # E13
