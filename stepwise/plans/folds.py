@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.operators import models as M
@@ -154,14 +154,31 @@ def ridge_alpha_grid(data: Folds, alphas: Sequence[float]) -> DataFrame:
 
     All alphas are solved from the fold's moments and predicted in one pass over the
     validation rows, as columns; rows without a target are left out."""
-    rows = data.validation().where(F.col(data.target).isNotNull())
-    for i, a in enumerate(alphas):
-        rows = predict(rows, data.fit(ridge(a)), data.feats, f"_p{i}")
-    per_fold = rows.groupBy("segment", "fold").agg(*[F.avg(F.abs(F.col(f"_p{i}") - F.col(data.target))).alias(f"_m{i}") for i in range(len(alphas))])
+    both: dict[tuple, list] = {}
+    for alpha in alphas:
+        for seg, f, w, offset, fill, *_ in data.fit(ridge(alpha)):
+            row = both.setdefault((seg, f), [fill, [], []])
+            row[1] += w
+            row[2].append(offset)
+    kind = data.rows.schema["segment"].dataType.simpleString()
+    table = data.rows.sparkSession.createDataFrame([(*k, *v) for k, v in both.items()],
+                                                   f"segment {kind}, fold int, _fill array<double>, _w array<double>, _offset array<double>")
+    rows = data.validation().where(F.col(data.target).isNotNull()).join(F.broadcast(table), ["segment", "fold"])   # one row per segment and fold
+    d = len(data.feats)
+    rows = rows.select("segment", "fold", data.target, "_w", "_offset", *[F.coalesce(F.col(c).cast("double"), F.col("_fill")[i]).alias(f"_x{i}")
+                                                                       for i, c in enumerate(data.feats)])
+    preds = []
+    for i in range(len(alphas)):
+        pred = F.col("_offset")[i]
+        for j in range(d):
+            pred = pred + F.col("_w")[i * d + j] * F.col(f"_x{j}")
+        preds.append(pred)
+    per_fold = rows.groupBy("segment", "fold").agg(*[F.avg(F.abs(p - F.col(data.target))).alias(f"_m{i}") for i, p in enumerate(preds)])
     grid = per_fold.select("segment", F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_m{i}").alias("mae")) for i, a in enumerate(alphas)]))
                            .alias("g")).groupBy("segment", F.col("g.alpha").alias("alpha")).agg(F.avg("g.mae").alias("mean_mae"))
-    best = grid.groupBy("segment").agg(F.min_by("alpha", F.struct("mean_mae", "alpha")).alias("best_alpha"))
-    return grid.join(best, "segment").withColumn("is_best", F.col("alpha") == F.col("best_alpha"))
+    # one row per alpha in a segment
+    best = F.min_by("alpha", F.struct("mean_mae", "alpha")).over(Window.partitionBy("segment"))
+    return grid.withColumn("best_alpha", best).withColumn("is_best", F.col("alpha") == F.col("best_alpha"))
 
 
 # ML3 -------------------------------------------------------------------------
