@@ -274,7 +274,14 @@ def q_src7(spark, sf):
     return current_and_next(s, "id", "finished", "is_current")
 
 
-@register("ld_fact_rows", ids=("LD6", "JN1", "JN2", "JN3", "PRJ2", "PRJ3", "PRJ5", "PRJ6", "AGG10"))
+@register("ld_fact_rows", """
+WITH r AS (SELECT l_suppkey AS entity, CAST(year(o_orderdate) AS INTEGER) AS epoch, month(o_orderdate) AS step, l_orderkey AS fixture,
+  l_linestatus = 'O' AS home, c_nationkey AS opp, CAST(floor(l_quantity) AS BIGINT) AS pts
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = l_suppkey),
+s AS (SELECT *, CASE WHEN home THEN min(opp) FILTER (WHERE NOT home) OVER m ELSE min(opp) FILTER (WHERE home) OVER m END AS side
+      FROM r WINDOW m AS (PARTITION BY epoch, step, fixture)),
+k AS (SELECT *, row_number() OVER (PARTITION BY epoch, step, fixture, entity ORDER BY home, pts) AS rn FROM s)
+SELECT epoch, count(*) AS rows, CAST(sum(pts) AS BIGINT) AS points, count(DISTINCT side) AS sides FROM k WHERE rn = 1 GROUP BY epoch""", ids=("LD6", "JN1", "JN2", "JN3", "PRJ2", "PRJ3", "PRJ5", "PRJ6", "AGG10"))
 def q_ld6(spark, sf):
     """Raw entity x fixture extract (strings, local ids) -> cleaned fact rows."""
     li = B.table(spark, sf, "lineitem")

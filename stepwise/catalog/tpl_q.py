@@ -148,6 +148,22 @@ def q_t15(spark, sf):
     return T.venue_splits(_f(spark, sf), 11, by_epoch=True)
 
 
+@register("tpl15_venue_splits_overall", with_ctes("""
+SELECT CASE WHEN is_home = 1 THEN 'Home' ELSE 'Away' END AS venue, count(*) AS rows, avg(points) AS mean_points, CAST(sum(goals) AS BIGINT) AS goals
+FROM fact WHERE entity = 11 AND minutes > 0 GROUP BY ALL""", FACT_CTE), ids=("T15", "PRJ11"))
+def q_t15_overall(spark, sf):
+    return T.venue_splits(_f(spark, sf), 11)
+
+
+@register("tpl16_expected_returns", with_ctes("""
+SELECT entity, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists, count(*) AS apps,
+       CAST(sum(goals) + sum(assists) AS BIGINT) AS returns, sum(xg) AS xg, sum(goals) - sum(xg) AS goals_over_xg
+FROM fact WHERE epoch = 1997 AND minutes > 0 AND segment = 'ASIA' GROUP BY entity HAVING count(*) >= 5 ORDER BY goals DESC, entity LIMIT 10""",
+    FACT_CTE), ids=("T16",))
+def q_t16_xg(spark, sf):
+    return T.attacking_returns(_f(spark, sf), 1997, "goals", 5, 10, segment="ASIA", expected=True)
+
+
 @register("tpl16_attacking_returns", with_ctes("""
 SELECT entity, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists,
        count(*) FILTER (WHERE minutes > 0) AS apps, CAST(sum(goals) + sum(assists) AS BIGINT) AS returns

@@ -196,6 +196,47 @@ def q_v23(spark, sf):
         "segment", "entity", "fixture", "points", "pred", "abs_error")
 
 
+_EPOCHS = range(1995, 2002)
+
+
+@register("view03_attack_by_epoch", with_ctes("""
+SELECT side, """ + ", ".join(f"max(attack) FILTER (WHERE epoch = {e}) AS attack_{e}" for e in _EPOCHS) + """ FROM (
+  SELECT epoch, side, avg(gf) AS attack FROM (
+    SELECT DISTINCT epoch, side, fixture, CASE WHEN is_home = 1 THEN home_score ELSE away_score END AS gf,
+           CASE WHEN is_home = 1 THEN away_score ELSE home_score END AS ga FROM fact) t GROUP BY epoch, side) s GROUP BY side""", FACT_CTE), ids=("V3", "AGG17"))
+def q_v3_pivot(spark, sf):
+    return V.by_epoch(V.side_strength(B.fact(spark, sf)), "attack", _EPOCHS)
+
+
+@register("view23_top_lists", with_ctes("""
+n AS (SELECT bp.*, abs(pred - points) AS abs_error FROM bp WHERE pred IS NOT NULL AND (epoch, step) = (SELECT max((epoch, step)) FROM bp WHERE pred IS NOT NULL)),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY pred DESC, entity, fixture) AS a,
+             row_number() OVER (PARTITION BY segment ORDER BY points DESC, entity, fixture) AS b FROM n)
+SELECT segment, 'predicted' AS list, CAST(a AS INTEGER) AS place, entity, fixture, pred, points, abs_error FROM r WHERE a <= 5
+UNION ALL SELECT segment, 'actual', CAST(b AS INTEGER), entity, fixture, pred, points, abs_error FROM r WHERE b <= 5""", *BP)
+    .replace("\nn AS (", "\n, n AS (", 1), ids=("V23", "WIN13"))
+def q_v23_lists(spark, sf):
+    from stepwise.catalog.model_q import _baseline_pred
+    from stepwise.plans.slices import select_slice
+    p = select_slice(_baseline_pred(spark, sf).where(F.col("pred").isNotNull()), "epoch", "step")
+    return V.top_lists(p, ["segment"], "points", ["entity", "fixture"])
+
+
+@register("view23_slice_summary", with_ctes("""
+m AS (SELECT segment, epoch, step, count(*) AS n, avg(abs(pred - points)) AS mae, sqrt(avg((pred - points) * (pred - points))) AS rmse,
+        1.0 - sum((pred - points) * (pred - points)) / nullif(count(*) * var_pop(points), 0) AS r2 FROM bp WHERE pred IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, avg(mae) OVER (PARTITION BY segment ORDER BY epoch, step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS rolling_mae FROM m),
+k AS (SELECT segment, rank() OVER (PARTITION BY segment ORDER BY pred) + (count(*) OVER (PARTITION BY segment, pred) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY segment ORDER BY points) + (count(*) OVER (PARTITION BY segment, points) - 1) / 2.0 AS ry
+      FROM bp WHERE pred IS NOT NULL AND (epoch, step) = (SELECT max((epoch, step)) FROM m)),
+c AS (SELECT segment, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS spearman FROM k GROUP BY segment)
+SELECT l.*, rolling_mae > 14.0 AS alert, spearman FROM l LEFT JOIN c USING (segment) WHERE (epoch, step) = (SELECT max((epoch, step)) FROM m)""", *BP)
+    .replace("\nm AS (", "\n, m AS (", 1), ids=("V23", "WIN10", "ST2"))
+def q_v23_summary(spark, sf):
+    from stepwise.catalog.model_q import _baseline_pred
+    return V.slice_summary(_baseline_pred(spark, sf), ["segment"], "points", 14.0)
+
+
 LATEST_CTE = """lat AS (SELECT max((epoch, step)) AS m FROM bp WHERE pred IS NOT NULL),
 sl AS (SELECT bp.*, f.selected FROM bp JOIN (SELECT epoch, step, fixture, entity, selected FROM fact) f USING (epoch, step, fixture, entity), lat
        WHERE pred IS NOT NULL AND (bp.epoch, bp.step) = lat.m)"""

@@ -181,12 +181,15 @@ def venue_splits(fact: DataFrame, entity: int, by_epoch: bool = False) -> DataFr
 
 
 # T16
-def attacking_returns(fact: DataFrame, epoch: int, sort: str, min_apps: int, n: int) -> DataFrame:
+def attacking_returns(fact: DataFrame, epoch: int, sort: str, min_apps: int, n: int, segment: str | None = None, expected: bool = False) -> DataFrame:
+    """Goals and assists of those with enough appearances; ``expected`` adds the expected goals and what exceeds them."""
     col = _check(sort, ["returns", "goals", "assists"])
-    g = (fact.where((F.col("epoch") == epoch) & (F.col("minutes") > 0)).groupBy("entity")
-             .agg(F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), _apps())
-             .withColumn("returns", F.col("goals") + F.col("assists"))
-             .where(F.col("apps") >= min_apps))
+    f = fact.where(all_of([F.col("epoch") == epoch, F.col("minutes") > 0, (F.col("segment") == segment) if segment else None]))
+    g = (f.groupBy("entity").agg(F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), _apps(), *[F.sum("xg").alias("xg")] * expected)
+          .withColumn("returns", F.col("goals") + F.col("assists"))
+          .where(F.col("apps") >= min_apps))
+    if expected:
+        g = g.withColumn("goals_over_xg", F.col("goals") - F.col("xg"))
     return g.orderBy(F.col(col).desc(), "entity").limit(n)
 
 

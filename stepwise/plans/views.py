@@ -38,6 +38,31 @@ def side_strength(fact: DataFrame) -> DataFrame:
                                                     F.count(F.lit(1)).alias("fixtures"))
 
 
+def by_epoch(strength: DataFrame, value: str, epochs: Sequence[int]) -> DataFrame:
+    """V3's heat map: a side a row, its ``value`` in each epoch a column."""
+    wide = strength.groupBy("side").pivot("epoch", list(epochs)).agg(F.first(value))
+    return wide.select("side", *[F.col(str(e)).alias(f"{value}_{e}") for e in epochs])
+
+
+# V23
+def top_lists(pred: DataFrame, by: Sequence[str], y: str, key: Sequence[str], n: int = 5) -> DataFrame:
+    """A slice's best by prediction and by actual value, with the error of each."""
+    rows = pred.where(F.col("pred").isNotNull() & F.col(y).isNotNull()).withColumn("abs_error", F.abs(F.col("pred") - F.col(y)))
+    lists = [top_n_per_group(rows, by, [F.col(c).desc(), *[F.col(k) for k in key]], n, rank_name="place").withColumn("list", F.lit(name))
+             for name, c in (("predicted", "pred"), ("actual", y))]
+    return lists[0].unionByName(lists[1]).select(*by, "list", "place", *key, "pred", y, "abs_error")
+
+
+def slice_summary(pred: DataFrame, by: Sequence[str], y: str, threshold: float, k: int = 5) -> DataFrame:
+    """Metrics of the newest slice with its rolling MAE over the last ``k`` slices and the alert."""
+    from stepwise.operators import stats as ST
+    from stepwise.operators.windows import rolling_alert
+    m = ST.regression_metrics(pred, [*by, "epoch", "step"], y, "pred")
+    log = rolling_alert(m, by, ["epoch", "step"], "mae", threshold, k, "rolling_mae", "alert")
+    now = select_slice(pred.where(F.col("pred").isNotNull()), "epoch", "step")
+    return select_slice(log, "epoch", "step").join(ST.spearman(now, by, "pred", y), list(by), "left")
+
+
 # V13
 def difficulty_calendar(fact: DataFrame, rank: DataFrame, names: DataFrame, epoch: int) -> DataFrame:
     """Side x step: first opponent of the step, its abbreviation and the
