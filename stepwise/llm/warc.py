@@ -3,7 +3,8 @@
 An ARC archive opens with a version block whose second line names the version;
 the third line names the fields of every record header (five in version 1, ten
 in version 2).  Records are found by their declared lengths alone, so payloads
-may hold anything.  The converter keeps the block and synthesises the WARC
+may hold anything; archives may be gzip members, and a URL may hold blanks.  The
+converter keeps the block, the address and, of what is not HTTP, the type and synthesises the WARC
 fields ARC lacks: record ids (UUIDv5 of target, date and block digest), ISO
 dates, record types and SHA-1 digests.  Of records with equal payloads (of at
 least ``min_bytes``) the one with the largest key is the response; the others
@@ -19,7 +20,9 @@ bytes, a longer record stands alone.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -35,11 +38,12 @@ ARC_FIELDS = {
     "1": "URL IP-address Archive-date Content-type Archive-length",
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+MIME = re.compile(r"[\w.+-]+/[\w.+-]+")
 ARC_DATE = "20240101000000"
 ARCHIVE_BYTES = 8 << 20
 KEY_HEADER = "X-Page-Id"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-PARSED = "key long, uri string, date string, mime string, head binary, payload binary, payload_bytes long, digest string"
+PARSED = "key long, uri string, date string, mime string, ip string, head binary, payload binary, payload_bytes long, digest string"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -73,6 +77,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"ARC header at byte {at} is cut off")
         return data[at:end].decode("utf-8", "replace").rstrip("\r").split(" "), end + 1
 
+    if data[:2] == b"\x1f\x8b":  # the usual form: one or many gzip members
+        data = gzip.decompress(data)
     if not data:
         return
     first, at = line(0)
@@ -90,9 +96,10 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if at >= len(data):
             return
         values, at = line(at)
-        if len(values) != len(names):
+        if len(values) < len(names):
             raise ValueError(f"ARC header of {len(values)} fields where version {version} has {len(names)}")
-        fields = dict(zip(names, values))
+        spare = len(values) - len(names)  # blanks in the URL, which stands first
+        fields = dict(zip(names, [" ".join(values[:spare + 1]), *values[spare + 1:]]))
         size = int(fields["Archive-length"])
         if at + size > len(data):
             raise ValueError("ARC record is shorter than its declared length")
@@ -159,12 +166,12 @@ def read_arc(archives: DataFrame) -> DataFrame:
                 for f, block in parse_arc(data.as_py() or b""):
                     head, body, http = _http_split(block)
                     key = http.get(KEY_HEADER.lower())
-                    rows.append((int(key) if key else None, f["URL"], _iso(f["Archive-date"]), f["Content-type"], head, body, len(body), sha1_base32(body)))
+                    rows.append((int(key) if key else None, _safe_url(f["URL"]), _iso(f["Archive-date"]), f.get("Content-type", ""), f.get("IP-address", ""), head, body, len(body), sha1_base32(body)))
                 if rows:
                     cols = list(zip(*rows))
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
+                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                                     ["key", "uri", "date", "mime", "head", "payload", "payload_bytes", "digest"])
+                                                     ["key", "uri", "date", "mime", "ip", "head", "payload", "payload_bytes", "digest"])
 
     return archives.select("content").mapInArrow(run, PARSED)
 
@@ -187,9 +194,10 @@ def convert(records: DataFrame, min_bytes: int = 0) -> DataFrame:
            .agg(F.max(F.when(F.col("key").isNotNull(), F.struct("key", "uri", "date"))).alias("r"), F.count("*").alias("n"))
            .where("n > 1 and r is not null").select(F.col("digest").alias("_d"), F.col("payload_bytes").alias("_n"), "r"))
     joined = records.join(who, (F.col("digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_n")), "left").drop("_d", "_n")
-    other = F.col("r").isNotNull() & ~F.col("key").eqNullSafe(F.col("r.key"))
+    # what is not HTTP, a DNS answer for one, is a resource and stays whole
+    other = F.col("r").isNotNull() & ~F.col("key").eqNullSafe(F.col("r.key")) & (F.octet_length("head") > 0)
     # a revisit carries no payload
-    return joined.select("key", "uri", "date", "head", F.when(~other, F.col("payload")).alias("payload"), "payload_bytes", "digest",
+    return joined.select("key", "uri", "date", "mime", "ip", "head", F.when(~other, F.col("payload")).alias("payload"), "payload_bytes", "digest",
                          F.when(other, F.col("r.key")).alias("to_key"), F.when(other, F.col("r.uri")).alias("to_uri"), F.when(other, F.col("r.date")).alias("to_date"))
 
 
@@ -201,6 +209,10 @@ def warc_archives(records: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
         block = r["head"] + body
         fields = [("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Record-ID", _record_id(uri, date, key, digest)),
                   ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}")]
+        if r["ip"] not in ("", "-", "0.0.0.0"):  # what ARC writes where it knows none
+            fields.append(("WARC-IP-Address", r["ip"]))
+        if not r["head"]:
+            return _warc("resource", fields + [("Content-Type", r["mime"] if MIME.fullmatch(r["mime"]) else "application/octet-stream")], block)
         if r["to_key"] is None:
             return _warc("response", fields + [("Content-Type", "application/http;msgtype=response")], block)
         fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _record_id(r["to_uri"], r["to_date"], r["to_key"], digest)),
@@ -239,7 +251,6 @@ def write_warc(archives: DataFrame, path: str, compression: str = "gzip") -> Non
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields with lower-case names, block) of each record, found by declared lengths."""
     if data[:2] == b"\x1f\x8b":
-        import gzip
         data = gzip.decompress(data)
     at = 0
     while at < len(data):
@@ -256,7 +267,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response and revisit records of the archives below ``path``; digests of
+    """Response, resource and revisit records of the archives below ``path``; digests of
     responses are recomputed from the payload and must agree with the header."""
     names = ["key", "record_id", "record_type", "uri", "date", "payload_bytes", "payload_digest", "refers_to_id", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
@@ -266,11 +277,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column("content"):
                 rows = []
                 for f, block in parse_warc(data.as_py()):
-                    if f["warc-type"] not in ("response", "revisit"):
+                    if f["warc-type"] not in ("response", "revisit", "resource"):
                         continue
-                    _, body, http = _http_split(block)
+                    _, body, http = _http_split(block) if f["warc-type"] != "resource" else (b"", block, {})
                     key, digest = http.get(KEY_HEADER.lower()), f["warc-payload-digest"].removeprefix("sha1:")
-                    full = f["warc-type"] == "response"
+                    full = f["warc-type"] != "revisit"
                     if full and sha1_base32(body) != digest:
                         raise ValueError(f"payload of {f['warc-record-id']} does not match its digest")
                     size = len(body) if full else int(http.get("content-length", 0))

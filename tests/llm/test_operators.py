@@ -477,3 +477,31 @@ def test_many_equal_rows(spark):
     assert len(got) == len(rows) and took < 60
     for r in got:
         assert (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) == want[low if r.id is None else r.id][1:]
+
+
+# ---- 5: usual legacy archives ----
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_legacy_archives(spark, tmp_path, packed):
+    import gzip
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    bare = b"20240301 answer 10.0.0.1\n"
+    for version, more in (("1", b""), ("2", b" 200 ABC - 77 x.arc")):
+        head = warc.arc_version_block(version, "x.arc")
+        records = [b"dns:example.org 10.0.0.9 20240301 text/dns" + more + b" %d\n" % len(bare) + bare + b"\n",
+                   b"http://example.org/a b c 10.0.0.1 20240301123000 text/html" + more + b" %d\n" % len(http) + http + b"\n",
+                   b"ftp://example.org/x 0.0.0.0 20240301123000 no-type" + more + b" 0\n\n"]
+        data = b"".join(gzip.compress(x) for x in (head, *records)) if packed else b"".join((head, *records))
+        arcs = spark.createDataFrame([("x.arc", bytearray(data))], "path string, content binary")
+        path = str(tmp_path / f"v{version}")
+        archives = warc.warc_archives(warc.convert(warc.read_arc(arcs)))
+        found = {f["warc-target-uri"]: (f, block) for row in archives.collect() for f, block in warc.parse_warc(bytes(row.content) + b"\r\n") if f["warc-type"] != "warcinfo"}
+        f, block = found["dns:example.org"]
+        assert (f["warc-type"], f["content-type"], f["warc-ip-address"], block) == ("resource", "text/dns", "10.0.0.9", bare)
+        f, block = found["http://example.org/a%20b%20c"]
+        assert (f["warc-type"], f["content-type"], f["warc-date"], block) == ("response", "application/http;msgtype=response", "2024-03-01T12:30:00Z", http)
+        f, block = found["ftp://example.org/x"]
+        assert (f["warc-type"], f["content-type"], block) == ("resource", "application/octet-stream", b"") and "warc-ip-address" not in f
+        warc.write_warc(archives, path)
+        back = {r.uri: (r.record_type, r.payload_bytes, bytes(r.payload)) for r in warc.read_warc(spark, path).collect()}
+        assert back["dns:example.org"] == ("resource", len(bare), bare) and back["http://example.org/a%20b%20c"] == ("response", 9, b"<p>hi</p>")
