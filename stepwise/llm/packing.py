@@ -10,12 +10,17 @@ pricing on the remaining counts, best fit at the end.  The histogram has at most
 ``capacity`` entries, so driver work does not grow with the corpus.
 
 Pieces then take their places in parallel: a piece's rank among those of its
-length comes from counts per partition, and a broadcast table of runs (bounded
-by fillings x capacity) maps ranks to sequences and offsets.
+length comes from counts per partition, and a broadcast table of runs maps ranks
+to sequences and offsets.  A run stands for all copies of one size in one filling,
+so a filling has at most sqrt(2 x capacity) of them.  The table does not grow with
+the corpus: the program sees shares of the demand, and a round adds at most
+4 x capacity fillings.  It is held under ``MAX_PLAN_BYTES`` all the same: a plan
+beyond is solved again with half the rounds.
 
 Defined results: a null or empty text is one piece, the end id; repeated rows are
 packed as often as they occur; strings of special tokens in a text are ordinary
-text; an empty table gives no rows.
+text; an empty table gives no rows.  A very long text is tokenised whole, alone in
+its batch, and becomes many pieces; columns of other names do not matter.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ from stepwise.session import write_and_reload
 
 #: Texts tokenised together, in bytes.
 BATCH_BYTES = 3 << 20
+#: The most a broadcast plan may take.
+MAX_PLAN_BYTES = 32 << 20
 
 
 # ---- tokens ----
@@ -245,27 +252,43 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 60) -> list[tup
 
 
 def runs(fillings: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
-    """Per size: columns (first rank, first sequence, offset) of its runs of ranks."""
+    """Per size: columns (first rank, first sequence, offset, copies in a sequence) of its runs of ranks."""
+    times_of: dict[tuple[int, ...], int] = {}
+    for sizes, times in fillings:
+        times_of[tuple(sizes)] = times_of.get(tuple(sizes), 0) + times
     taken: dict[int, int] = {}
-    table: dict[int, list[tuple[int, int, int]]] = {}
+    table: dict[int, list[tuple[int, int, int, int]]] = {}
     sequence = 0
-    for sizes, times in fillings:
+    for sizes, times in times_of.items():
         offset = 0
-        for s in sizes:
-            table.setdefault(s, []).append((taken.get(s, 0), sequence, offset))
-            taken[s] = taken.get(s, 0) + times
-            offset += s
+        for s in sorted(set(sizes), reverse=True):
+            k = sizes.count(s)
+            table.setdefault(s, []).append((taken.get(s, 0), sequence, offset, k))
+            taken[s] = taken.get(s, 0) + times * k
+            offset += s * k
         sequence += times
     return {s: np.array(t, np.int64).T for s, t in table.items()}
 
 
+def plan_table(histogram: dict[int, int], capacity: int, rounds: int, most: int = MAX_PLAN_BYTES) -> dict[int, np.ndarray]:
+    """The runs of a plan of at most ``most`` bytes; fewer rounds give fewer fillings."""
+    while True:
+        table = runs(plan(histogram, capacity, rounds))
+        size = sum(t.nbytes for t in table.values())
+        if size <= most:
+            return table
+        if rounds <= 1:
+            raise ValueError(f"a plan of {size} bytes for {len(histogram)} lengths; the limit is {most}")
+        rounds //= 2
+
+
 def pack(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, rounds: int = 60) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) per piece."""
     spark = df.sparkSession
     pieces = write_and_reload(token_pieces(df, tokenizer_json, id_col, text_col, capacity, end_id), "pieces")
     per_part = write_and_reload(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    table = share(spark, runs(plan(histogram, capacity, rounds)))
+    table = share(spark, plan_table(histogram, capacity, rounds))
     base = per_part.select("part", "length", F.coalesce(F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k")).alias("rank"))
@@ -276,9 +299,10 @@ def pack(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: s
             seq, off = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for s in np.unique(size):
                 own = size == s
-                first, start, offset = table()[int(s)]
+                first, start, offset, copies = table()[int(s)]
                 j = np.searchsorted(first, rank[own], "right") - 1
-                seq[own], off[own] = start[j] + rank[own] - first[j], offset[j]
+                later, copy = np.divmod(rank[own] - first[j], copies[j])
+                seq[own], off[own] = start[j] + later, offset[j] + copy * s
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields[:5])
