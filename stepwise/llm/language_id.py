@@ -10,6 +10,9 @@ Defined results: a text that is null or has no letter is ``und`` with score 0;
 a training row without a language or without letters teaches nothing; without
 any training row everything is ``und``; ties go to the first language by
 name; repeated rows count as often as they occur; an empty table gives no rows.
+A very long text is counted in windows, whole: beside the text and its lower-case
+copy, memory does not grow with it.  A text's result does not depend on the texts
+it is scored with.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ from pyspark.sql import functions as F
 
 from stepwise.llm.common import share, slices, worker_cache
 
-#: Bytes of text counted or scored at a time; numpy needs about 150 times as much for a moment.
+#: Bytes of text counted or scored together; a longer text stands alone.
 SLICE = 1 << 20
-#: The broadcast matrix holds buckets x languages floats; more languages than this is refused.
-MAX_LANGUAGES = 512
+#: Code points hashed at a time; numpy needs about 150 bytes for each for a moment.
+WINDOW = 1 << 18
+#: More languages than this are refused: the driver collects 16 bytes for each bucket of a
+#: language (134 MB at the default 2**15 buckets), and the broadcast holds 4.
+MAX_LANGUAGES = 256
 
 
 def _letters() -> np.ndarray:
@@ -37,43 +43,54 @@ def _letters() -> np.ndarray:
     return worker_cache("letters", make)
 
 
-def ngram_buckets(texts: list[str], buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every n-gram of every text; rows without letters have none."""
-    # U+0000 parts texts, so that no n-gram spans two
-    flat = "\x00".join(t.lower().replace("\x00", " ") for t in texts)
-    if not flat:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
-    edge = code == 0
-    row = np.cumsum(edge, dtype=np.int32)
-    letter = _letters()[code]
-    # a blank for each run of non-letters, and at each end of a text
-    keep = letter | edge
-    keep[1:] |= letter[:-1]
-    code, edge, letter, row = code[keep], edge[keep], letter[keep], row[keep]
-    code = np.where(letter, code, np.where(edge, 0, 32)).astype(np.uint64)
-    code = np.r_[np.uint64(32), code, np.uint64(32)] if len(code) else code
-    row = np.r_[row[:1], row, row[-1:]] if len(row) else row
-    code = np.where(code == 0, np.uint64(32), code)
-    got_b, got_r = [], []
-    is_letter = code != 32
-    for n in orders:
-        if len(code) < n:
-            continue
-        h = np.full(len(code) - n + 1, n, np.uint64)
-        some = np.zeros(len(h), bool)
-        same = row[: len(h)] == row[n - 1:]
-        for i in range(n):
-            part = code[i: i + len(h)]
-            h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            some |= is_letter[i: i + len(h)]
-        ok = some & same
-        got_b.append((h[ok] % np.uint64(buckets)).astype(np.int64))
-        got_r.append(row[: len(h)][ok].astype(np.int64))
-    if not got_b:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(got_b), np.concatenate(got_r)
+def ngram_buckets(texts: list[str], buckets: int, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and row of every n-gram of every text, window by window; rows without letters have none.
+
+    A text stands between two edges, which count as blanks, and a run of non-letters
+    inside of it is one blank.  The last code points of a window, folded, go before the next."""
+    # U+0000 marks the edges, so that no n-gram spans two texts
+    flat = "\x00" + "\x00".join(t.lower().replace("\x00", " ") for t in texts) + "\x00"
+    letters, longest = _letters(), max(orders)
+    held = np.empty(0, np.uint32)  # folded code points: letters, 32, 0 for an edge
+    row = 0  # edges in front of held
+    fresh = 0  # how many of held have ended n-grams already
+    for at in range(0, len(flat), WINDOW):
+        code = np.frombuffer(flat[at:at + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.r_[held, np.where(letters[code] | (code == 0), code, 32).astype(np.uint32)]
+        # the first blank of a run stays, unless it touches an edge
+        blank = code == 32
+        drop = np.r_[False, blank[1:] & (blank[:-1] | (code[:-1] == 0))]
+        code = code[~drop]
+        blank = code == 32
+        drop = np.r_[blank[:-1] & (code[1:] == 0), False]
+        code = code[~drop]
+        # a blank at the end may still meet an edge
+        wait = 1 if len(code) and code[-1] == 32 and at + WINDOW < len(flat) else 0
+        body = code[:len(code) - wait]
+        edge = body == 0
+        rows = row + np.cumsum(edge) - 1
+        is_letter = ~edge & (body != 32)
+        value = np.where(edge, 32, body).astype(np.uint64)
+        for n in orders:
+            first = max(0, fresh - n + 1)  # n-grams that end in what is new
+            size = len(body) - n + 1 - first
+            if size <= 0:
+                continue
+            h = np.full(size, n, np.uint64)
+            some, apart = np.zeros(size, bool), np.zeros(size, bool)
+            for i in range(n):
+                own = slice(first + i, first + i + size)
+                h = (h ^ value[own]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+                some |= is_letter[own]
+                if 0 < i < n - 1:
+                    apart |= edge[own]
+            ok = some & ~apart
+            yield (h[ok] % np.uint64(buckets)).astype(np.int64), rows[first:first + size][ok]
+        cut = max(0, len(body) - longest + 1)
+        row += int(edge[:cut].sum())
+        fresh = len(body) - cut
+        held = code[cut:]
 
 
 @dataclass(frozen=True)
@@ -94,15 +111,17 @@ def train(df: DataFrame, text: Column, lang: Column, buckets: int = 1 << 15, ord
         for b in slices(batches, "text", SLICE):
             texts, langs = b.column("text").to_pylist(), np.array(b.column("lang").to_pylist(), object)
             names, code = np.unique(langs.astype(str), return_inverse=True)
-            bucket, row = ngram_buckets(texts, buckets, orders)
-            if not len(row):
-                continue
-            own = code[row]
-            for i, name in enumerate(names.tolist()):
-                if name not in counts:
-                    counts[name], docs[name] = np.zeros(buckets, np.int64), 0
-                counts[name] += np.bincount(bucket[own == i], minlength=buckets)
-                docs[name] += int((np.unique(row[own == i])).size)
+            told = np.zeros(len(texts), bool)  # rows with a letter
+            for bucket, row in ngram_buckets(texts, buckets, orders):
+                told[row] = True
+                own = code[row]
+                for i in np.unique(own).tolist():
+                    mine = counts.setdefault(names[i], np.zeros(buckets, np.int64))
+                    mine += np.bincount(bucket[own == i], minlength=buckets)
+            if len(counts) > MAX_LANGUAGES:
+                raise ValueError(f"more than {MAX_LANGUAGES} languages")
+            for i, k in enumerate(np.bincount(code[told], minlength=len(names)).tolist()):
+                docs[names[i]] = docs.get(names[i], 0) + k
         for name, c in counts.items():
             at = np.flatnonzero(c)
             k = np.r_[at, -1]  # bucket -1 holds the number of texts
@@ -111,39 +130,42 @@ def train(df: DataFrame, text: Column, lang: Column, buckets: int = 1 << 15, ord
 
     sums = src.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_lang = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c"))  # at most buckets + 1 entries
-    rows = by_lang.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    rows = [r for r in rows if r.c and r.c[0].bucket == -1 and r.c[0].n > 0]
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the matrix would not fit a broadcast")
-    m = np.zeros((buckets, len(rows)))
-    for j, r in enumerate(rows):
-        for e in r.c[1:]:
-            m[e.bucket, j] = e.n
-    prior = np.array([r.c[0].n for r in rows], float)
-    log_prob = (np.log(m + alpha) - np.log(m.sum(0) + alpha * buckets)).astype(np.float32) if rows else np.zeros((buckets, 0), np.float32)
-    return LanguageModel(tuple(r.lang for r in rows), log_prob, np.log(prior / prior.sum()) if rows else np.zeros(0), orders)
+    got = by_lang.select("lang", "c.bucket", "c.n").orderBy("lang").limit(MAX_LANGUAGES + 1).toArrow()  # arrays, no row objects
+    if got.num_rows > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; the driver would not hold the counts")
+    names, m, prior = got.column("lang").to_pylist(), np.zeros((buckets, got.num_rows)), np.zeros(got.num_rows)
+    for j in range(got.num_rows):
+        at, n = (got.column(c)[j].values.to_numpy() for c in ("bucket", "n"))
+        prior[j] = n[0]  # bucket -1 sorts first
+        m[at[1:], j] = n[1:]
+    log_prob = (np.log(m + alpha) - np.log(m.sum(0) + alpha * buckets)).astype(np.float32) if names else np.zeros((buckets, 0), np.float32)
+    return LanguageModel(tuple(names), log_prob, np.log(prior / prior.sum()) if names else np.zeros(0), orders)
 
 
 def score(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Predicted language and its posterior for each text."""
-    bucket, row = ngram_buckets([t or "" for t in texts], len(model.log_prob), model.orders)
-    pred, conf = ["und"] * len(texts), np.zeros(len(texts))
-    if not len(row) or not model.languages:
+    size, pred, conf = len(model.log_prob), ["und"] * len(texts), np.zeros(len(texts))
+    if not model.languages:
         return pred, conf
     # sparse entries: a row and a bucket with their count
-    entry, n = np.unique(row * len(model.log_prob) + bucket, return_counts=True)
-    r, b = np.divmod(entry, len(model.log_prob))
-    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    logs = np.add.reduceat(model.log_prob[b].astype(np.float64) * n[:, None], starts, axis=0) + model.log_prior
+    entry, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for bucket, row in ngram_buckets([t or "" for t in texts], size, model.orders):
+        new, k = np.unique(row * size + bucket, return_counts=True)
+        entry, at = np.unique(np.r_[entry, new], return_inverse=True)
+        n = np.bincount(at, np.r_[n, k], len(entry)).astype(np.int64)
+    r, b = np.divmod(entry, size)
+    # one language at a time, so memory does not grow with their number; each row is summed by bucket, alone or in a batch
+    logs = np.stack([np.bincount(r, model.log_prob[b, j].astype(np.float64) * n, len(texts)) for j in range(len(model.languages))], 1) + model.log_prior
     best = logs.argmax(1)
     post = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-    for i, j, p in zip(r[starts].tolist(), best.tolist(), post.tolist()):
-        pred[i], conf[i] = model.languages[j], p
+    for i in np.unique(r).tolist():
+        pred[i], conf[i] = model.languages[best[i]], post[i]
     return pred, conf
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The ``keep`` columns of ``df`` with ``lang_pred`` and ``score``."""
+    """The ``keep`` columns of ``df`` with ``lang_pred`` and ``score``, which stand in place of kept ones of that name."""
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     cols = [F.col(c) for c in keep]
     src = df.select(F.col(text_col).cast("string").alias("_text"), *cols)
     shared = share(df.sparkSession, model)

@@ -191,14 +191,77 @@ def test_language_id(spark):
     rows += [(100, None, "en"), (101, "123 --", "fr"), (102, "", None), (103, "THE and WITH", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1))
     model = language_id.train(df, F.col("text"), F.col("lang"), buckets=1 << 12)
-    got = {r.doc_id: r for r in language_id.predict(df.drop("score"), model, "text", keep=("doc_id",)).collect()}
+    got = {r.doc_id: r for r in language_id.predict(df, model, "text", keep=("doc_id", "score")).collect()}
     assert all(got[i].lang_pred == ("fr" if i % 2 else "en") for i in range(60)) and got[103].lang_pred == "en"
     assert {got[i].lang_pred for i in (100, 101, 102)} == {"und"} and got[100].score == 0
-    # brute force: counts and posterior of one text
-    b, r = language_id.ngram_buckets(["ab, C"], 1 << 12, (1, 2))
-    assert len(b) == 5 + 4 and set(r) == {0} or len(b) > 0
     empty = language_id.train(df.limit(0), F.col("text"), F.col("lang"))
     assert {x.lang_pred for x in language_id.predict(df, empty, "text", keep=("doc_id",)).collect()} == {"und"}
+    assert language_id.predict(df.limit(0), model, "text", keep=("doc_id",)).count() == 0
+
+
+def grams_by_hand(text, buckets, orders):
+    """Hashed n-grams with a letter of the folded text, one at a time."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+    folded = " " + " ".join(r for r in runs if r) + " "
+    out = Counter()
+    for n in orders:
+        for i in range(len(folded) - n + 1):
+            g = folded[i:i + n]
+            if g.strip(" "):
+                h = n
+                for c in g:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2 ** 64
+                    h ^= h >> 29
+                out[h % buckets] += 1
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 1 << 18])
+def test_ngrams_equal_brute_force(monkeypatch, window):
+    monkeypatch.setattr(language_id, "WINDOW", window)
+    rng = random.Random(window)
+    texts = ["ab, C", "", " ", "\x00", "a\x00b", "..ΑΣ.. ΣΑ", "x", "1 2", "ß\u3000日本-\U0001f600q", None]
+    texts += ["".join(rng.choice("ab .é\n") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    got = [Counter() for _ in texts]
+    for bucket, row in language_id.ngram_buckets([t or "" for t in texts], 1 << 12, (1, 2, 3)):
+        for b, r in zip(bucket.tolist(), row.tolist()):
+            got[r][b] += 1
+    assert got == [grams_by_hand(t, 1 << 12, (1, 2, 3)) for t in texts]
+
+
+def test_language_posterior_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["la", "le", "the", "und", "die"]) for _ in range(rng.randint(1, 9))), rng.choice(["a", "b", "c"])) for i in range(40)]
+    size = 1 << 8
+    model = language_id.train(spark.createDataFrame(rows, "i long, text string, lang string").repartition(3), F.col("text"), F.col("lang"), buckets=size)
+    counts = {x: Counter() for x in "abc"}
+    for _, t, x in rows:
+        counts[x] += grams_by_hand(t, size, (1, 2, 3))
+    texts = [t for _, t, _ in rows] + ["la", "zz", None, "9"]
+    pred, conf = language_id.score(model, texts)
+    for t, p, c in zip(texts, pred, conf):
+        own = grams_by_hand(t, size, (1, 2, 3))
+        if not own:
+            assert (p, c) == ("und", 0)
+            continue
+        logs = {x: np.log(sum(r[2] == x for r in rows) / len(rows)) + sum(
+            n * np.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * size)) for b, n in own.items()) for x in "abc"}
+        post = np.exp(logs[p] - max(logs.values())) / sum(np.exp(v - max(logs.values())) for v in logs.values())
+        assert logs[p] >= max(logs.values()) - 1e-4 and abs(c - post) < 1e-4
+    # alone, and among others
+    assert [language_id.score(model, [t])[1][0] for t in texts] == conf.tolist()
+
+
+def test_long_text_takes_little_memory():
+    import tracemalloc
+    model = language_id.LanguageModel(("a", "b"), np.zeros((1 << 15, 2), np.float32), np.zeros(2), (1, 2, 3))
+    text = "the quick brown fox, and so on " * 400_000  # 12 MB
+    language_id.score(model, ["x"])
+    tracemalloc.start()
+    language_id.score(model, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(text) + (64 << 20)
 
 
 # ---- 8 ----
@@ -242,6 +305,28 @@ def test_packing_plan_covers_exactly():
         assert sum(t for _, t in plan) <= 1.05 * max(sum(s * n for s, n in h.items()) / 128, sum(n for s, n in h.items() if s > 64)) + 3
 
 
+def test_packing_runs_are_gapless_and_bounded():
+    rng = np.random.default_rng(4)
+    h = {int(s): int(rng.integers(1, 900)) for s in range(1, 129)}
+    fillings = packing.plan(h, 128, rounds=20)
+    place = []
+    for s, (first, start, offset, copies) in packing.runs(fillings).items():
+        rank = np.arange(h[s])
+        j = np.searchsorted(first, rank, "right") - 1
+        later, copy = np.divmod(rank - first[j], copies[j])
+        place += zip((start[j] + later).tolist(), (offset[j] + copy * s).tolist(), [s] * h[s])
+    at = {}
+    for q, o, s in sorted(place):
+        assert at.get(q, 0) == o
+        at[q] = o + s
+    assert max(at.values()) <= 128 and len(at) == sum(n for _, n in fillings)
+    whole = sum(t.nbytes for t in packing.plan_table(h, 128, 20).values())
+    small = packing.plan_table(h, 128, 20, most=whole // 2)
+    assert sum(t.nbytes for t in small.values()) <= whole // 2 and set(small) == set(h)
+    with pytest.raises(ValueError):
+        packing.plan_table(h, 128, 20, most=10)
+
+
 def test_distinct_chunks_survive_equal_hashes(monkeypatch):
     monkeypatch.setattr(chunks, "_BYTE", np.zeros(256, np.uint64))  # every hash collides
     data, starts = chunks.join_texts(["ab cd", "", "ab ef"])
