@@ -3,11 +3,12 @@
 A 64-bit fingerprint is eight positional bytes.  Two fingerprints that differ
 in at most three bits share at least five of them, so the index posts every
 distinct fingerprint under its byte positions, five at a time: 56 lists, each
-keyed by the chosen positions and their bytes.  A pair that meets in a list is
-a candidate; its shared positional bytes are tallied, pairs below the
-guaranteed five are dropped and the rest verified by bit count.  Lists of single
-bytes would hold one 256th of the corpus each, so their pairs would grow with its
-square; five-byte lists hold only fingerprints equal in 40 bits, at most 2**24.
+keyed by the chosen positions and their bytes.  A pair that meets in a list has
+the guaranteed five by that, and is verified by bit count; in lists over ``DIRECT``
+members every value up to three bits away is looked up instead.  Counting shared
+bytes pair by pair, over lists of one or two positions, would give the same links
+from pairs that grow with the square of the corpus (README has the figures);
+five-byte lists hold only fingerprints equal in 40 bits, at most 2**24.
 
 Copies fall together before the index (one row per fingerprint), a list emits
 at most one link per member (to the smallest member reachable inside the list),
@@ -16,7 +17,9 @@ never its pairs, and components are found by Spark rounds.
 Defined results: a null text has no words; no words give fingerprint zero;
 fewer words than the shingle give one shingle of the whole sequence; repeated
 rows and ties share a fingerprint and a component; a null id takes part but is
-never the smallest id; an empty table gives no rows.
+never the smallest id; an empty table gives no rows.  A very long text is hashed
+whole, its bits counted a bounded number of shingles at a time; columns of other
+names do not matter.
 """
 
 from __future__ import annotations
@@ -159,6 +162,8 @@ def link_fingerprints(fps: DataFrame, fp_col: str = "fp", bits: int = 3) -> Data
     shared = 8 - bits
     subsets = list(combinations(range(8), shared))
     distinct = fps.select(F.col(fp_col).cast("long").alias("fp")).where("fp is not null").distinct()
+    # eight bytes a row become 16 a posting, many times over: small partitions must not be drawn together before that
+    distinct = distinct.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
     def byte(p: int):
         return F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(F.lit(255))
