@@ -11,16 +11,16 @@ from stepwise.operators import models as M
 def _rows(spark, n=3000):
     d = spark.range(n, numPartitions=5).withColumn("segment", F.when(F.col("id") % 3 == 0, "a").otherwise("b"))
     u = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0 for k in range(4)]
-    return (d.withColumns({"fold": F.lit(1), "x1": u[0], "x2": u[1], "x3": F.round(u[2] * 4)})
-            .withColumn("y", F.when(F.col("x1") > 0.5, 20.0).otherwise(0.0) + 10 * F.col("x2") + F.col("x3") + u[3]))
+    return (d.withColumns({"fold": F.lit(1), "x1": u[0], "x2": u[1], "x3": F.round(u[2] * 4), "x4": u[3]})
+            .withColumn("y", F.when(F.col("x1") > 0.5, 20.0).otherwise(0.0) + 10 * F.col("x2") + F.col("x3") + F.col("x4")))
 
 
-FEATS = ["x1", "x2", "x3"]
+FEATS = ["x1", "x2", "x3", "x4"]   # two are tried at a node
 
 
 def test_forest_predicts_as_sparks_does(spark):
     rows = _rows(spark).cache()
-    fits = FO.fit_forests(rows, ["segment", "fold"], ["id"], FEATS, "y", trees=150, depth=5)
+    fits = FO.fit_forests(rows, ["segment", "fold"], ["id"], FEATS, "y", trees=100, depth=5)
     assert set(fits) == {("a", 1), ("b", 1)}
     mine = FO.predict_forests(rows.select("id", "segment", "fold", "y", *FEATS), fits, ["segment", "fold"], FEATS)
     assert mine.columns == ["id", "segment", "fold", "y", "pred"]
@@ -28,10 +28,10 @@ def test_forest_predicts_as_sparks_does(spark):
     assert len(mine) == 3000
     for seg in "ab":
         part = rows.where(F.col("segment") == seg)
-        other = [{r["id"]: r["p"] for r in M.spark_ml_predict(M.spark_ml_fit(part, FEATS, "y", "forest", trees=150, depth=5, seed=s), part, FEATS, "p").collect()} for s in (1, 2)]
+        other = [{r["id"]: r["p"] for r in M.spark_ml_predict(M.spark_ml_fit(part, FEATS, "y", "forest", trees=100, depth=5, seed=s), part, FEATS, "p").collect()} for s in (1, 2)]
         ids = list(other[0])
         y, a, b, m = (np.array(v) for v in ([mine[i]["y"] for i in ids], [other[0][i] for i in ids], [other[1][i] for i in ids], [mine[i]["pred"] for i in ids]))
-        # nearly as near to one as two seeds of Spark's are to each other (their errors were 1.70 to 1.94 over six seeds of 200 trees)
+        # nearly as near to one as two seeds of Spark's are to each other (over eight seeds the mean errors of a were 0.77 to 0.90 there, 0.78 to 0.87 here)
         assert np.abs(m - a).mean() < 1.5 * np.abs(a - b).mean()
         assert np.abs(m - y).mean() == pytest.approx(np.abs(a - y).mean(), rel=0.25)
 
